@@ -298,16 +298,17 @@ def neighbourhood_support(events: DataFrame, radius: int, tau_us: int,
         F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])))
         .select(KEY, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"),
                 "t_us", F.explode(F.array(bucket, bucket + 1)).alias("tb")))
-    # equal times collapse to one row per (pixel, bucket, time) before the shuffle
-    per_time = adds.groupBy(KEY, "x", "y", "tb", "t_us").agg(F.count("*").alias("adds"))
-    asks = base.groupBy(KEY, "x", "y", bucket.alias("tb"), "t_us").agg(
-        F.collect_list("event_idx").alias("ids"))
     keys = [KEY, "x", "y", "tb"]
-    both = asks.join(per_time, [*keys, "t_us"], "full")
-    w = (W.partitionBy(*keys).orderBy("t_us").rangeBetween(-tau_us, -1))
+    asks = base.select(KEY, "x", "y", bucket.alias("tb"), "t_us", F.lit(0).alias("add"),
+                       F.lit(1).alias("ask"))
+    adds = adds.select(*keys, "t_us", F.lit(1).alias("add"), F.lit(0).alias("ask"))
+    # equal times collapse to one row per (pixel, bucket, time) before the shuffle
+    both = adds.unionByName(asks).groupBy(*keys, "t_us").agg(
+        F.sum("add").alias("adds"), F.max("ask").alias("ask"))
+    w = W.partitionBy(*keys).orderBy("t_us").rangeBetween(-tau_us, -1)
     counted = both.withColumn("support", F.coalesce(F.sum("adds").over(w), F.lit(0)))
-    return (counted.where(F.col("ids").isNotNull())
-            .select(KEY, F.explode("ids").alias("event_idx"), "support"))
+    asked = counted.where(F.col("ask") == 1).select(KEY, "x", "y", "t_us", "support")
+    return base.join(asked, [KEY, "x", "y", "t_us"]).select(KEY, "event_idx", "support")
 
 
 def support_filter(support: DataFrame, minimum: int) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import workspace
-from . import positions
+from . import outputs, positions
 
-ALL = [*positions.registry]
+ALL = [*positions.registry, *outputs.registry]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

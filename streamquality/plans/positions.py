@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numeric import block_quota, div, kept_total, quota_of
+from ..functions.numeric import div, kept_total
 from ..operators import metric, order, regime
 from ..schema import RETENTION_PCT
-from ..sources.tables import CORPORA, EVENT_STREAM, WIDE_STREAM, Workspace, scores
+from ..sources.tables import CORPORA, EVENT_STREAM, Workspace, read
 from .base import Registry, rnd, rounded
 from . import sql as Q
 
@@ -100,8 +100,8 @@ def _(ws):
 
 @registry.add("p9_matched_frame", Q.query([*Q.STREAMS, Q.GRID], """
 SELECT dataset, recording_id, r_pct, CAST(step * (n // step) AS BIGINT) AS frame FROM (
-  SELECT dataset, recording_id, r_pct, count(*) AS n, any_value(nsl) * (100 // gcd(r_pct, 100)) AS step
-  FROM s CROSS JOIN grid GROUP BY ALL) WHERE r_pct < 100"""))
+  SELECT dataset, recording_id, r_pct, n, nsl * (100 // gcd(r_pct, 100)) AS step
+  FROM (SELECT dataset, recording_id, nsl, count(*) AS n FROM s GROUP BY ALL) CROSS JOIN grid) WHERE r_pct < 100"""))
 def _(ws):
     return per_corpus(lambda c: order.frames(ws.stream(c), [p for p in RETENTION_PCT if p < 100], c.slice_size))
 
@@ -214,7 +214,6 @@ SELECT name, CASE WHEN regexp_matches(name, '^corpus/part/S[0-9]+-ND[0-9]+-[0-9]
 SELECT concat('corpus/part/S', l_suppkey % 10, '-ND', l_linenumber % 4, '-', l_partkey % 3) AS name, count(*) AS n
 FROM lineitem GROUP BY ALL)""")
 def _(ws):
-    from ..sources.tables import read
     name = F.concat(F.lit("corpus/part/S"), F.col("l_suppkey") % 10, F.lit("-ND"),
                     F.col("l_linenumber") % 4, F.lit("-"), F.col("l_partkey") % 3)
     names = read(ws.spark, ws.sf_dir, "lineitem").groupBy(name.alias("name")).agg(F.count("*").alias("n"))
