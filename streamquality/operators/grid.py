@@ -19,7 +19,7 @@ from ..functions.numeric import div, esr, esr_terms, pixel, quota_of, thinning_b
 
 KEY = "recording_id"
 PART = (f"{KEY} string, method string, r_pct int, slice bigint, n_events bigint, ntss double, "
-        "ln double, signal bigint, px array<int>, n array<int>, s array<int>")
+        "ln double, signal bigint, last bigint, px array<int>, n array<int>, s array<int>")
 
 
 def chunk_events(slice_size: int, block: int) -> int:
@@ -73,26 +73,26 @@ def _reducer(methods: list[str], pcts: list[int], size: int, block: int
         pdf = pdf.sort_values("event_idx")
         px = pdf["px"].to_numpy()
         signal = pdf["signal"].to_numpy()
-        first_block = int(pdf["event_idx"].iloc[0]) // block
+        first_event = int(pdf["event_idx"].iloc[0])
+        first_block = first_event // block
         sizes = np.minimum(block, len(px) - np.arange(0, len(px), block))
         out = []
 
         def emit(method, pct, keep, start):
-            p, s = (px, signal) if keep is None else (px[keep], signal[keep])
+            at_events = np.arange(len(px)) if keep is None else np.flatnonzero(keep)
+            p, s, idx = px[at_events], signal[at_events], at_events + first_event
             head = min(-start % size, len(p))
             body = (len(p) - head) // size * size
             at = start // size
-            pieces = [(at, p[:head], s[:head]),
-                      ((start + head + body) // size, p[head + body:], s[head + body:])]
-            for where, pp, ss in pieces:
-                if len(pp):
-                    _, v, n, g = _runs(pp, ss, len(pp))
-                    out.append((method, pct, where, None, None, None, None, v, n, g))
+            for where, a, b in ((at, 0, head), ((start + head + body) // size, head + body, len(p))):
+                if b > a:
+                    _, v, n, g = _runs(p[a:b], s[a:b], b - a)
+                    out.append((method, pct, where, None, None, None, None, idx[b - 1], v, n, g))
             if body:
                 ntss, ln, sig = _whole_slices(p[head:head + body], s[head:head + body], size, base)
-                first = (start + head) // size
-                out.extend((method, pct, first + i, size, ntss[i], ln[i], sig[i], None, None,
-                            None) for i in range(len(ntss)))
+                first, last = (start + head) // size, idx[head + size - 1:head + body:size]
+                out.extend((method, pct, first + i, size, ntss[i], ln[i], sig[i], last[i], None,
+                            None, None) for i in range(len(ntss)))
 
         for m in methods:
             rank = None if m not in pdf else _block_ranks(pdf[m].to_numpy(), block)
@@ -104,7 +104,7 @@ def _reducer(methods: list[str], pcts: list[int], size: int, block: int
                 emit(m, pct, rank < np.repeat(quota, sizes), first_block * full[pct])
         emit("*", 100, None, first_block * block)
         frame = pd.DataFrame(out, columns=["method", "r_pct", "slice", "n_events", "ntss", "ln",
-                                           "signal", "px", "n", "s"])
+                                           "signal", "last", "px", "n", "s"])
         frame.insert(0, KEY, pdf[KEY].iloc[0])
         frame["n_events"] = frame["n_events"].astype("Int64")
         frame["signal"] = frame["signal"].astype("Int64")
@@ -129,16 +129,18 @@ def slices(events: DataFrame, scores: dict[str, Column | None], slice_size: int,
         _reducer(list(scores), below, slice_size, block), PART)
     group = [KEY, "method", "r_pct", "slice"]
     loose = parts.select(
-        *group, "n_events", "ntss", "ln", "signal",
+        *group, "n_events", "ntss", "ln", "signal", "last",
         F.explode_outer(F.arrays_zip("px", "n", "s")).alias("e"))
     joined = loose.repartition(*group).groupBy(*group, F.col("e.px").alias("px")).agg(
         F.sum("e.n").alias("n"), F.sum("e.s").alias("s"), F.max("n_events").alias("n_events"),
-        F.max("ntss").alias("ntss"), F.max("ln").alias("ln"), F.max("signal").alias("signal"))
+        F.max("ntss").alias("ntss"), F.max("ln").alias("ln"), F.max("signal").alias("signal"),
+        F.max("last").alias("last"))
     ntss, ln = esr_terms("n", slice_size)
     return joined.groupBy(*group).agg(
         F.coalesce(F.sum("n"), F.max("n_events")).alias("n_events"),
         F.coalesce(F.sum("s"), F.max("signal")).alias("signal"),
-        F.coalesce(ntss, F.max("ntss")).alias("ntss"), F.coalesce(ln, F.max("ln")).alias("ln"))
+        F.coalesce(ntss, F.max("ntss")).alias("ntss"), F.coalesce(ln, F.max("ln")).alias("ln"),
+        F.max("last").alias("last"))
 
 
 def curve(events: DataFrame, scores: dict[str, Column | None], slice_size: int, block: int,
@@ -147,7 +149,7 @@ def curve(events: DataFrame, scores: dict[str, Column | None], slice_size: int,
 
     r = 1 keeps the whole stream under every method, so it is measured once and repeated.
     Columns: recording_id, method, r_pct, mesr, kept_events, scored_events, tp, scored_tp,
-    raw_mesr, n_events, evaluable. ``tp`` counts label-0 events and means nothing on
+    last_scored (index of the last event scored), raw_mesr, n_events, evaluable. ``tp`` counts label-0 events and means nothing on
     unlabelled streams.
     """
     whole = F.col("n_events") == slice_size
@@ -156,9 +158,11 @@ def curve(events: DataFrame, scores: dict[str, Column | None], slice_size: int,
         F.avg(F.when(whole, esr())).alias("mesr"), F.sum("n_events").alias("kept_events"),
         F.sum(F.when(whole, F.col("n_events")).otherwise(0)).alias("scored_events"),
         F.sum("signal").alias("tp"),
-        F.sum(F.when(whole, F.col("signal")).otherwise(0)).alias("scored_tp"))
+        F.sum(F.when(whole, F.col("signal")).otherwise(0)).alias("scored_tp"),
+        F.max(F.when(whole, F.col("last"))).alias("last_scored"))
     # the unfiltered row joins the others of its recording without a second pass over events
-    rows = F.struct("method", "r_pct", "mesr", "kept_events", "scored_events", "tp", "scored_tp")
+    rows = F.struct("method", "r_pct", "mesr", "kept_events", "scored_events", "tp", "scored_tp",
+                    "last_scored")
     per = measured.groupBy(KEY).agg(
         F.max(F.when(F.col("method") == "*", F.struct("mesr", "kept_events"))).alias("base"),
         F.collect_list(rows).alias("cells"))

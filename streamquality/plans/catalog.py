@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import workspace
-from . import outputs, positions
+from . import controls, outputs, positions, regimes
 
-ALL = [*positions.registry, *outputs.registry]
+AREAS = (positions, outputs, regimes, controls)
+ALL = [q for area in AREAS for q in area.registry]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

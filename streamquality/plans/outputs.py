@@ -259,7 +259,7 @@ CELLS = [*Q.STREAMS, *NATIVE]
 
 def native_cells(ws) -> DataFrame:
     """Native cells of both corpora, computed once per session."""
-    return ws._once("native-cells", lambda: per_corpus(lambda c: oracle.native_cells(
+    return ws.once("native-cells", lambda: per_corpus(lambda c: oracle.native_cells(
         ws.stream(c), MASKS, c.slice_size, c.block, SEED, "md5")))
 
 

@@ -107,7 +107,7 @@ class Workspace:
     sf_dir: str
     _made: dict[str, DataFrame] = field(default_factory=dict)
 
-    def _once(self, name: str, build) -> DataFrame:
+    def once(self, name: str, build) -> DataFrame:
         if name not in self._made:
             self._made[name] = stage(build(), name)
         return self._made[name]
@@ -122,7 +122,7 @@ class Workspace:
             build = lambda: assign_event_index(
                 wide_rows(self.spark, self.sf_dir), ["recording_id"], WIDE_ORDER,
                 "li-order").select(*STREAM)
-        return self._once(f"stream-{corpus.name}", build)
+        return self.once(f"stream-{corpus.name}", build)
 
     def both(self) -> DataFrame:
         return self.stream(EVENT_STREAM).select(F.lit("ev").alias("dataset"), *STREAM).unionByName(
@@ -141,8 +141,8 @@ class Workspace:
             parts = [grid.curve(self.stream(c), scores(), c.slice_size, c.block, RETENTION_PCT)
                      .withColumn("dataset", F.lit(c.name)) for c in CORPORA]
             scenes = self.recordings().select("dataset", "recording_id", "scene")
-            return parts[0].unionByName(parts[1]).join(scenes, ["dataset", "recording_id"])
-        return self._once("curve", build)
+            return parts[0].unionByName(parts[1]).drop("last_scored").join(scenes, ["dataset", "recording_id"])
+        return self.once("curve", build)
 
     def native(self) -> DataFrame:
         """Native retention of every two-level method; NULL for the rest."""
@@ -154,7 +154,7 @@ class Workspace:
                                        F.col(m).alias("native_retention"))
                               for m in ("raw", "label_oracle", "fa", "fb", "fc")])
             return kept.select("dataset", "recording_id", F.inline(cells))
-        return self._once("native", build)
+        return self.once("native", build)
 
 
 _WORKSPACES: dict[tuple[str, str], Workspace] = {}
