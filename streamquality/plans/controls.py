@@ -184,7 +184,7 @@ SHUFFLED = [Q.EV, Q.LI, Q.BOTH, Q.GRID, "sh AS (" + " UNION ALL ".join(
     *Q.curve_ctes("shs", "sv0", "recording_id, win, seed, method"),
     """sv AS (SELECT c.recording_id, c.win AS "window", c.seed, c.method, c.r_pct, c.mesr, c.mesr - b.mesr AS delta FROM sv0 c JOIN sv0 b ON b.recording_id = c.recording_id AND b.win = c.win
        AND b.seed = c.seed AND b.method = c.method AND b.r_pct = 100)""",
-    "smn AS (SELECT "window", method, seed, r_pct, avg(delta) AS mean FROM sv WHERE delta IS NOT NULL AND r_pct < 100 GROUP BY ALL)"]
+    '''smn AS (SELECT "window", method, seed, r_pct, avg(delta) AS mean FROM sv WHERE delta IS NOT NULL AND r_pct < 100 GROUP BY ALL)''']
 
 
 def shuffled(ws) -> DataFrame:
