@@ -70,7 +70,8 @@ def protocol_rows(curve: DataFrame, decomposition: DataFrame) -> DataFrame:
 def rank_methods(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """1 = best by ``value``; equal values keep method order. Groups hold one row per method."""
     w = W.partitionBy(*keys).orderBy(F.round(value, 12).desc_nulls_last(), "method")
-    return rows.withColumn(out, F.when(F.col(value).isNotNull(), F.row_number().over(w)))
+    return rows.withColumn(out, F.when(
+        F.col(value).isNotNull(), F.row_number().over(w).cast("bigint")))
 
 
 def at_native(curve: DataFrame, native: DataFrame) -> DataFrame:

@@ -242,8 +242,9 @@ def classification_metrics(predictions: DataFrame, keys: list[str], classes: int
     sides = cells.select(*keys, "n", F.inline(F.array(
         F.struct(F.col("target").alias("k"), F.when(right, F.col("n")).otherwise(0).alias("tp"),
                  F.lit(0).cast("bigint").alias("fp"), F.when(right, 0).otherwise(F.col("n")).alias("fn")),
-        F.struct(F.col("prediction"), F.lit(0).cast("bigint"), F.when(right, 0).otherwise(F.col("n")),
-                 F.lit(0).cast("bigint")))))
+        F.struct(F.col("prediction").alias("k"), F.lit(0).cast("bigint").alias("tp"),
+                 F.when(right, 0).otherwise(F.col("n")).alias("fp"),
+                 F.lit(0).cast("bigint").alias("fn")))))
     per = sides.groupBy(*keys, "k").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     f1 = 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))
     macro = per.groupBy(*keys).agg((F.sum(f1) / classes).alias("macro_f1"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import workspace
-from . import analyses, controls, outputs, positions, regimes
+from . import analyses, controls, outputs, positions, regimes, scans, utility
 
-AREAS = (positions, outputs, regimes, controls, analyses)
+AREAS = (scans, positions, outputs, regimes, controls, analyses, utility)
 ALL = [q for area in AREAS for q in area.registry]
 
 
