@@ -314,3 +314,22 @@ def neighbourhood_support(events: DataFrame, radius: int, tau_us: int,
 def support_filter(support: DataFrame, minimum: int) -> DataFrame:
     """Keep decision of the support filter, as a two-level score."""
     return support.withColumn("score", two_level(F.col("support") >= minimum))
+
+
+def with_packet(events: DataFrame, packet_table: DataFrame, block: int = 65536) -> DataFrame:
+    """Add each event's packet ``start``; packets meet events by the index blocks they touch."""
+    touched = packet_table.select(KEY, "start", "stop", F.explode(F.sequence(
+        div("start", block), div(F.col("stop") - 1, block))).alias("_b"))
+    inside = (F.col("event_idx") >= F.col("start")) & (F.col("event_idx") < F.col("stop"))
+    return events.withColumn("_b", div("event_idx", block)).join(
+        touched, [KEY, "_b"]).where(inside).drop("_b", "stop")
+
+
+def attribute_in_packets(events: DataFrame, packet_table: DataFrame, kept: DataFrame) -> DataFrame:
+    """Input index of rows a filter returned packet by packet.
+
+    A packet holds no event twice, so the value alone names the input row. ``kept`` holds
+    (recording, start, kept_idx, t, x, y, p); rows without a source have a NULL index.
+    """
+    source = with_packet(events.select(KEY, "event_idx", *VALUE), packet_table)
+    return kept.join(source, [KEY, "start", *VALUE], "left")
