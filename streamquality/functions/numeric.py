@@ -63,3 +63,8 @@ def esr(ntss: str = "ntss", ln: str = "ln") -> Column:
 def pixel(x: str = "x", y: str = "y") -> Column:
     """One integer per pixel of a sensor up to 65,536 columns wide."""
     return F.col(y) * 65536 + F.col(x)
+
+
+def safe_corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation as an aggregate; NULL, not an error, when a side is constant."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.order import running_offsets
+from .numeric import safe_corr
 
 BUCKETS = 1024
 
@@ -49,7 +50,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, small: bool = False
     flat = (F.min("_rx") == F.max("_rx")) | (F.min("_ry") == F.max("_ry"))
     return ranked.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.when((F.count("*") >= 3) & ~flat, F.corr("_rx", "_ry")).alias("rho"))
+        F.when((F.count("*") >= 3) & ~flat, safe_corr("_rx", "_ry")).alias("rho"))
 
 
 def kendall(df: DataFrame, keys: list[str], item: str, x: str, y: str) -> DataFrame:
@@ -141,8 +142,8 @@ def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, control: st
         rows = rank(rows, keys, c, name)
     flat = [F.min(c) == F.max(c) for c in ("_rx", "_ry", "_rc")]
     agg = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.corr("_rx", "_ry").alias("_xy"),
-        F.corr("_rx", "_rc").alias("_xc"), F.corr("_ry", "_rc").alias("_yc"),
+        F.count("*").alias("n"), safe_corr("_rx", "_ry").alias("_xy"),
+        safe_corr("_rx", "_rc").alias("_xc"), safe_corr("_ry", "_rc").alias("_yc"),
         (flat[0] | flat[1] | flat[2]).alias("_flat"))
     denominator = F.sqrt(F.greatest(1 - F.col("_xc") * F.col("_xc"), F.lit(0.0))
                          * F.greatest(1 - F.col("_yc") * F.col("_yc"), F.lit(0.0)))

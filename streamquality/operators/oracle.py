@@ -86,8 +86,8 @@ def native_cells(events: DataFrame, masks: list[str], slice_size: int, block: in
         "fp": F.col("scored") - F.col("tp"),
         "mesr_win": F.col("mesr") - F.col("oracle_mesr") > WIN_MARGIN,
         "label_class": label_class("tp", "oracle_tp"),
-        "signal_retention": F.col("tp") / F.col("n_signal"),
-        "oracle_signal_retention": F.col("oracle_tp") / F.col("n_signal"),
+        "signal_retention": F.try_divide("tp", "n_signal"),
+        "oracle_signal_retention": F.try_divide("oracle_tp", "n_signal"),
     })
 
 

@@ -206,8 +206,8 @@ def min_max_normalise(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Scale a column to [0, 1] over each group, from one small row per group."""
     bounds = df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     return df.join(bounds, keys).withColumn(
-        f"{column}_norm", (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    ).drop("_lo", "_hi")
+        f"{column}_norm", F.try_divide(
+            F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
 
 
 def scene_of(name: str, patterns: list[tuple[str, int]]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+from ..functions.numeric import safe_corr
 from ..schema import HOT_PERCENTILE, REGIME_MIN_EVENTS, REGIME_WINDOW_US
 from .metric import pixel_counts
 from .order import with_mask_positions, with_time_window
@@ -89,7 +90,7 @@ def local_global_coupling(shares: DataFrame) -> DataFrame:
     flat = (F.stddev_pop("share") == 0) | (F.stddev_pop("n") == 0)
     return shares.groupBy(KEY).agg(
         F.when(F.count("*") < 3, F.lit(None).cast("double")).when(flat, 0.0)
-        .otherwise(F.corr("share", F.col("n").cast("double"))).alias("local_global_coupling"))
+        .otherwise(safe_corr("share", F.col("n").cast("double"))).alias("local_global_coupling"))
 
 
 def event_rate_per_px(events: DataFrame, sensors: DataFrame) -> DataFrame:
@@ -110,6 +111,6 @@ def regime_profile(events: DataFrame, sensors: DataFrame, window_us: int = REGIM
         F.avg("share").alias("spatial_autocorr"),
         F.when(F.count("*") < 3, F.lit(None).cast("double"))
         .when((F.stddev_pop("share") == 0) | (F.stddev_pop("n") == 0), 0.0)
-        .otherwise(F.corr("share", F.col("n").cast("double"))).alias("local_global_coupling"))
+        .otherwise(safe_corr("share", F.col("n").cast("double"))).alias("local_global_coupling"))
     return (event_rate_per_px(events, sensors).join(hot_pixel_share(events, percentile), KEY)
             .join(local, KEY, "left"))

@@ -12,6 +12,7 @@ from ..functions.hashing import pick
 from ..schema import SEED
 
 DRAWS = 10_000
+ZERO = 1e-12  # below this a bound is rounding residue of an exact zero
 
 
 def cluster_bootstrap(values: DataFrame, keys: list[str], value: str, cluster: str,
@@ -50,7 +51,7 @@ def cluster_bootstrap(values: DataFrame, keys: list[str], value: str, cluster: s
     lo, hi = F.get("_ci", F.lit(0)), F.get("_ci", F.lit(1))
     return head.join(bounds, group, "left").select(
         *group, "mean", lo.alias("lo"), hi.alias("hi"), "n", "n_clusters",
-        F.coalesce((lo > 0) | (hi < 0), F.lit(False)).alias("excludes_zero"))
+        F.coalesce((lo > ZERO) | (hi < -ZERO), F.lit(False)).alias("excludes_zero"))
 
 
 def _bounds_at(means: DataFrame, group: list[str], level: Column) -> DataFrame:

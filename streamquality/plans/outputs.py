@@ -290,9 +290,10 @@ def _(ws):
 
 
 @registry.add("o5_oracle_bound", Q.query(CELLS, """
-SELECT a.dataset, a.recording_id, a.method, CAST(sum(least(a_b, sg)) AS BIGINT) AS bound FROM ab a JOIN (
+SELECT b.dataset, b.recording_id, m.method, CAST(sum(least(coalesce(a_b, 0), sg)) AS BIGINT) AS bound FROM (
   SELECT dataset, recording_id, event_idx // blk AS block, count(*) FILTER (WHERE label = 0) AS sg FROM s GROUP BY ALL) b
-  ON b.dataset = a.dataset AND b.recording_id = a.recording_id AND b.block = a.block GROUP BY ALL"""))
+  CROSS JOIN (VALUES ('fa'), ('fb'), ('fc')) m(method) LEFT JOIN ab a
+  ON b.dataset = a.dataset AND b.recording_id = a.recording_id AND b.block = a.block AND a.method = m.method GROUP BY ALL"""))
 def _(ws):
     return per_corpus(lambda c: oracle.oracle_bound(ws.stream(c), MASKS, c.slice_size, c.block))
 
@@ -360,7 +361,7 @@ def boot_ctes(source: str, out: str, keys: str, value: str, cluster: str, draws:
         f"""{out}_p AS (SELECT {keys}, d AS draw, {Q.word(str(seed), 'd', 'slot')} % k AS pick FROM {out}_k CROSS JOIN range(0, {draws}) t(d) WHERE k >= 2)""",
         f"""{out}_m AS (SELECT {', '.join('p.' + k.strip() for k in keys.split(','))}, draw, sum(sm) / sum(n) AS m FROM {out}_p p JOIN {out}_k s ON {on} AND s.slot = p.pick GROUP BY ALL)""",
         f"""{out}_b AS (SELECT {keys}, quantile_cont(m, {alpha} / 2) AS lo, quantile_cont(m, 1 - {alpha} / 2) AS hi FROM {out}_m GROUP BY {keys})""",
-        f"""{out} AS (SELECT h.*, lo, hi, coalesce(lo > 0 OR hi < 0, false) AS excludes_zero FROM (SELECT {keys}, sum(sm) / sum(n) AS mean, CAST(sum(n) AS BIGINT) AS n,
+        f"""{out} AS (SELECT h.*, lo, hi, coalesce(lo > 1e-12 OR hi < -1e-12, false) AS excludes_zero FROM (SELECT {keys}, sum(sm) / sum(n) AS mean, CAST(sum(n) AS BIGINT) AS n,
            count(*) AS n_clusters FROM {out}_s GROUP BY {keys}) h LEFT JOIN {out}_b USING ({keys}))""",
     ]
 

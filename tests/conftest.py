@@ -35,6 +35,7 @@ def stream(spark):
             "p": rng.integers(0, 2, n), "label": rng.integers(0, 2, n), "score": rng.integers(0, 50, n) / 10.0,
             "keep": rng.random(n) < 0.4}))
     pdf = pd.concat(parts, ignore_index=True)
+    frame = spark.createDataFrame(pdf)
     for c in ("x", "y", "p", "label"):
-        pdf[c] = pdf[c].astype("int32")
-    return spark.createDataFrame(pdf).repartition(5).cache(), pdf
+        frame = frame.withColumn(c, frame[c].cast("int"))
+    return frame.repartition(5).cache(), pdf

@@ -47,7 +47,7 @@ def test_query(spark, duck, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
-    assert got == want
+    assert got == want, [x for x in zip(got, want) if x[0] != x[1]][:2]
 
 
 def test_flagship(spark):
