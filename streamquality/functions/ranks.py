@@ -5,33 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.order import running_offsets
+from ..staging import attach
 from .numeric import safe_corr
 
 BUCKETS = 1024
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, out: str,
-                  buckets: int = BUCKETS) -> DataFrame:
-    """Add the average rank of ``value`` within ``keys``; rows with NULL values are dropped.
+def distinct_ranks(df: DataFrame, keys: list[str], value: str, out: str,
+                   counts: dict[str, Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Average rank of every distinct ``value`` within ``keys``, with its row counts.
 
-    Distinct values are counted, spread over equal-width buckets between the group's bounds,
-    and ranked by bucket offset plus position in the bucket. Ties, however many, are one row,
-    and no task sorts a whole group.
+    Distinct values are spread over equal-width buckets between the group's bounds and ranked
+    by bucket offset plus position in the bucket. Ties, however many, are one row (counted on
+    the map side), and no task sorts a whole group. ``counts`` adds conditional row counts.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count("*").alias("_c"))
-    bounds = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    extra = [c.alias(n) for n, c in (counts or {}).items()]
+    values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count("*").alias("_c"), *extra)
+    bounds = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")).cast("double")
-    placed = counts.join(bounds, keys).withColumn("_b", F.when(width > 0, F.floor(
-        (F.col(value) - F.col("_lo")) / width * buckets)).otherwise(F.lit(0)).cast("bigint"))
+    placed = attach(values, bounds, keys, name="bounds").withColumn("_b", F.when(
+        width > 0, F.floor((F.col(value) - F.col("_lo")) / width * buckets))
+        .otherwise(F.lit(0)).cast("bigint"))
     sizes = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
-    before = running_offsets(sizes, keys, "_b", ["_c"])
+    before = running_offsets(sizes, keys, "_b", ["_c"]).drop("_c_total")
     w = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranked = (placed.withColumn("_w", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-              .join(before, [*keys, "_b"])
-              .select(*keys, value, F.col("_c").alias(f"{out}_ties"),
-                      (F.col("_c_before") + F.col("_w") + (F.col("_c") + 1) / 2.0).alias(out)))
-    return df.join(ranked, [*keys, value])
+    return (placed.withColumn("_w", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+            .join(before, [*keys, "_b"])
+            .select(*keys, value, *(counts or {}), F.col("_c").alias(f"{out}_ties"),
+                    (F.col("_c_before") + F.col("_w") + (F.col("_c") + 1) / 2.0).alias(out)))
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, out: str,
+                  buckets: int = BUCKETS) -> DataFrame:
+    """Add the average rank of ``value`` within ``keys``; rows with NULL values are dropped."""
+    return df.join(distinct_ranks(df, keys, value, out, buckets=buckets), [*keys, value])
 
 
 def small_group_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -67,23 +75,27 @@ def kendall(df: DataFrame, keys: list[str], item: str, x: str, y: str) -> DataFr
         F.count_if(sx * sy < 0).alias("discordant"), F.count("*").alias("pairs"))
 
 
+def _tie_sum() -> Column:
+    """Sum of t^3 - t over tie groups, from one row per distinct value."""
+    t = F.col("_r_ties").cast("double")
+    return F.sum(t * t * t - t)
+
+
 def mann_whitney(df: DataFrame, keys: list[str], first: str, value: str) -> DataFrame:
     """U of the rows where ``first`` is true, rank-biserial effect and the normal z."""
-    ranked = average_ranks(df, keys, value, "_r")
-    g = F.col(first)
+    ranked = distinct_ranks(df, keys, value, "_r", {
+        "_a": F.count_if(F.col(first)), "_b2": F.count_if(~F.col(first))})
+    v, a, b = F.col(value), F.col("_a"), F.col("_b2")
     agg = ranked.groupBy(*keys).agg(
-        F.count_if(g).alias("n1"), F.count_if(~g).alias("n2"),
-        F.sum(F.when(g, F.col("_r"))).alias("_r1"),
-        F.avg(F.when(g, F.col(value))).alias("mean_first"),
-        F.avg(F.when(~g, F.col(value))).alias("mean_second"),
-        # every row of a tie group adds t^2 - 1, which sums to t^3 - t over the group
-        F.sum(F.col("_r_ties").cast("double") * F.col("_r_ties") - 1).alias("_ties"))
+        F.sum("_a").alias("n1"), F.sum("_b2").alias("n2"), F.sum(a * F.col("_r")).alias("_r1"),
+        F.try_divide(F.sum(a * v), F.sum("_a")).alias("mean_first"),
+        F.try_divide(F.sum(b * v), F.sum("_b2")).alias("mean_second"), _tie_sum().alias("_ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     enough = (n1 >= 2) & (n2 >= 2)
     u = F.col("_r1") - n1 * (n1 + 1) / 2.0
     mean = n1 * n2 / 2.0
-    sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     gap = F.abs(u - mean)
     return agg.select(
         *keys, "n1", "n2", "mean_first", "mean_second", F.when(enough, u).alias("u"),
@@ -109,12 +121,11 @@ def friedman(df: DataFrame, keys: list[str], block: str, treatments: int,
 def wilcoxon(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
     """Signed-rank sums of non-zero differences and the normal z."""
     moved = df.where(F.col(diff) != 0).withColumn("_abs", F.abs(F.col(diff)))
-    ranked = average_ranks(moved, keys, "_abs", "_r")
-    up = F.sum(F.when(F.col(diff) > 0, F.col("_r")).otherwise(0.0))
-    down = F.sum(F.when(F.col(diff) < 0, F.col("_r")).otherwise(0.0))
+    ranked = distinct_ranks(moved, keys, "_abs", "_r", {
+        "_up": F.count_if(F.col(diff) > 0), "_down": F.count_if(F.col(diff) < 0)})
     agg = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), up.alias("w_plus"), down.alias("w_minus"),
-        F.sum(F.col("_r_ties").cast("double") * F.col("_r_ties") - 1).alias("_ties"))
+        F.sum("_r_ties").alias("n"), F.sum(F.col("_up") * F.col("_r")).alias("w_plus"),
+        F.sum(F.col("_down") * F.col("_r")).alias("w_minus"), _tie_sum().alias("_ties"))
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0)
     return agg.select(*keys, "n", F.least("w_plus", "w_minus").alias("w"), "w_plus", "w_minus",
@@ -124,13 +135,12 @@ def wilcoxon(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, keys: list[str], positive: str, score: str) -> DataFrame:
     """Area under the ROC curve by rank sum; ties count half."""
-    ranked = average_ranks(df, keys, score, "_r")
-    p = F.col(positive)
-    n1, n0 = F.count_if(p), F.count_if(~p)
+    ranked = distinct_ranks(df, keys, score, "_r", {
+        "_p": F.count_if(F.col(positive)), "_q": F.count_if(~F.col(positive))})
+    n1, n0 = F.sum("_p"), F.sum("_q")
     return ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.when((n1 > 0) & (n0 > 0), (F.sum(F.when(p, F.col("_r")).otherwise(0.0))
-                                     - n1 * (n1 + 1) / 2.0) / (n1 * n0)).alias("auc"))
+        F.sum("_r_ties").alias("n"), F.try_divide(
+            F.sum(F.col("_p") * F.col("_r")) - n1 * (n1 + 1) / 2.0, n1 * n0).alias("auc"))
 
 
 def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, control: str,

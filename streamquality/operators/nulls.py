@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import lowest_terms
+from ..staging import attach
 from . import grid
 from .order import frame_length, shuffle_marks
 from .scorers import seeded_random
@@ -105,7 +106,8 @@ def matched_span(events: DataFrame, seeds: list[int], slice_size: int, block: in
     for v in sorted({lowest_terms(p)[1] for p in below}):
         mine = [p for p in below if lowest_terms(p)[1] == v]
         bounds = sizes.select(KEY, frame_length(F.col("_n"), mine[0], slice_size).alias("_frame"))
-        cut = events.join(bounds, KEY).where(F.col("event_idx") < F.col("_frame")).drop("_frame")
+        cut = attach(events, bounds, [KEY], name="frames").where(
+            F.col("event_idx") < F.col("_frame")).drop("_frame")
         part = seed_curves(cut, seeds, slice_size, block, mine, algorithm)
         framed = part if framed is None else framed.unionByName(part)
     original = seed_curves(events, seeds, slice_size, block, below, algorithm)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.hashing import priority
 from ..functions.numeric import block_quota, div, lowest_terms
 from ..schema import KEEP_THRESHOLD
-from ..staging import stage
+from ..staging import attach, stage
 
 ROW_BITS = 33
 SPAN = 1024
@@ -20,7 +20,7 @@ SPAN = 1024
 
 def running_offsets(counts: DataFrame, keys: list[str], piece: str, values: list[str],
                     span: int = SPAN) -> DataFrame:
-    """Exclusive prefix sums of ``values`` over ``piece`` within ``keys``, on two levels.
+    """Exclusive prefix sums of ``values`` over ``piece`` within ``keys``, and their totals.
 
     Pieces are summed inside spans of ``span`` consecutive ids, then spans are summed, so a
     recording with 10^8 blocks costs 10^5 tasks-worth of short windows instead of one long one.
@@ -31,19 +31,24 @@ def running_offsets(counts: DataFrame, keys: list[str], piece: str, values: list
     local = spanned.select(*keys, "_span", piece, *[
         F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"_in_{v}") for v in values])
     spans = spanned.groupBy(*keys, "_span").agg(*[F.sum(v).alias(v) for v in values])
+    whole = W.partitionBy(*keys)
     spans = spans.select(*keys, "_span", *[
-        F.coalesce(F.sum(v).over(outer), F.lit(0)).alias(f"_out_{v}") for v in values])
+        F.coalesce(F.sum(v).over(outer), F.lit(0)).alias(f"_out_{v}") for v in values], *[
+        F.sum(v).over(whole).alias(f"{v}_total") for v in values])
     return local.join(spans, [*keys, "_span"]).select(*keys, piece, *[
-        (F.col(f"_in_{v}") + F.col(f"_out_{v}")).alias(f"{v}_before") for v in values])
+        (F.col(f"_in_{v}") + F.col(f"_out_{v}")).alias(f"{v}_before") for v in values], *[
+        f"{v}_total" for v in values])
 
 
 def range_ordered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Stage ``df`` range-partitioned by ``keys`` and ``order``, with ``_part`` and ``_row``.
 
     Ranges are balanced whatever the key skew, because ``order`` (unique within ``keys``) is
-    part of the range key. Writing it out fixes the boundaries for every later reader.
+    part of the range key. Writing it out fixes the boundaries for every later reader. The
+    number of ranges is the session's shuffle partition count, stated so that it is kept.
     """
-    ranged = (df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(ranges, *[F.col(c) for c in [*keys, *order]])
               .sortWithinPartitions(*keys, *order)
               .withColumn("_pos", F.monotonically_increasing_id()))
     return stage(ranged.withColumn("_part", F.shiftright("_pos", ROW_BITS).cast("int"))
@@ -58,10 +63,12 @@ def assign_event_index(df: DataFrame, keys: list[str], order: list[str],
     pieces = ordered.groupBy(*keys, "_part").agg(F.count("*").alias("n"),
                                                  F.min("_row").alias("_first"))
     offsets = running_offsets(pieces, keys, "_part", ["n"])
-    offsets = offsets.join(pieces.select(*keys, "_part", "_first"), [*keys, "_part"])
-    return (ordered.join(offsets, [*keys, "_part"])
-            .withColumn("event_idx", F.col("n_before") + F.col("_row") - F.col("_first"))
-            .drop("_part", "_row", "_first", "n_before"))
+    shift = offsets.join(pieces, [*keys, "_part"]).select(
+        *keys, "_part", (F.col("n_before") - F.col("_first")).alias("_shift"))
+    # one row per (recording, range): at most ranges + recordings
+    return (attach(ordered, shift, [*keys, "_part"], name="shift")
+            .withColumn("event_idx", F.col("_shift") + F.col("_row"))
+            .drop("_part", "_row", "_shift"))
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], values: list[str],
@@ -69,11 +76,11 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], values: list[
     """Exclusive running sums ``<value>_before`` of ``values`` by ``order`` within ``keys``."""
     ordered = range_ordered(df, keys, order, name)
     pieces = ordered.groupBy(*keys, "_part").agg(*[F.sum(v).alias(v) for v in values])
-    offsets = running_offsets(pieces, keys, "_part", values)
+    offsets = running_offsets(pieces, keys, "_part", values).drop(*[f"{v}_total" for v in values])
     local = W.partitionBy(*keys, "_part").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
     out = ordered.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(f"_in_{v}")
                                 for v in values])
-    out = out.join(offsets, [*keys, "_part"])
+    out = attach(out, offsets, [*keys, "_part"], name="sums")
     for v in values:
         out = out.withColumn(f"{v}_before", F.col(f"{v}_before") + F.col(f"_in_{v}"))
     return out.drop("_part", "_row", *[f"_in_{v}" for v in values])
@@ -122,11 +129,10 @@ def with_mask_positions(events: DataFrame, masks: list[str], block: int,
     counts = flagged.groupBy(key, "block").agg(*[
         F.sum(F.col(m).cast("bigint")).alias(m) for m in masks])
     offsets = running_offsets(counts, [key], "block", masks)
-    totals = counts.groupBy(key).agg(*[F.sum(m).alias(f"{m}_total") for m in masks])
     local = W.partitionBy(key, "block").orderBy("event_idx").rowsBetween(W.unboundedPreceding, 0)
     ranked = flagged.select("*", *[
         F.sum(F.col(m).cast("bigint")).over(local).alias(f"_in_{m}") for m in masks])
-    joined = ranked.join(offsets, [key, "block"]).join(totals, key)
+    joined = ranked.join(offsets, [key, "block"])
     for m in masks:
         joined = joined.withColumn(f"{m}_pos", F.when(
             F.col(m), F.col(f"{m}_before") + F.col(f"_in_{m}") - 1))
@@ -147,7 +153,7 @@ def frame_length(n_events: Column, pct: int, slice_size: int) -> Column:
 def with_time_window(events: DataFrame, window_us: int, key: str = "recording_id") -> DataFrame:
     """Add ``win``: fixed-duration windows anchored at each recording's first event."""
     first = events.groupBy(key).agg(F.min("t_us").alias("_t0"))
-    return events.join(first, key).withColumn(
+    return attach(events, first, [key], name="first").withColumn(
         "win", div(F.col("t_us") - F.col("_t0"), window_us)).drop("_t0")
 
 
@@ -184,7 +190,8 @@ def scored_span(events: DataFrame, masks: list[str], slice_size: int, block: int
     last = scored_prefix(events, masks, slice_size, block, key).groupBy(key, "method").agg(
         F.max("event_idx").alias("last"))
     size = events.groupBy(key).agg(F.count("*").alias("n"))
-    return last.join(size, key).select(key, "method",
+    return last.join(size, key).select(
+        key, "method",
                                        ((F.col("last") + 1) / F.col("n")).alias("span"))
 
 
@@ -205,7 +212,7 @@ def released_mask(score: str) -> Column:
 def min_max_normalise(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Scale a column to [0, 1] over each group, from one small row per group."""
     bounds = df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    return df.join(bounds, keys).withColumn(
+    return attach(df, bounds, keys, name="bounds").withColumn(
         f"{column}_norm", F.try_divide(
             F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
 
@@ -236,7 +243,7 @@ def shuffle_marks(events: DataFrame, window: int | None, seed: int, marks: list[
         donors = donors.withColumn("_bucket", F.shiftrightunsigned(
             "_prio", 52 - (buckets - 1).bit_length()))
         sizes = donors.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
-        before = running_offsets(sizes, [key], "_bucket", ["_n"])
+        before = running_offsets(sizes, [key], "_bucket", ["_n"]).drop("_n_total")
         local = F.row_number().over(W.partitionBy(key, "_bucket").orderBy("_prio", "event_idx"))
         placed = donors.withColumn("_local", local).join(before, [key, "_bucket"]).withColumn(
             "_to", F.col("_n_before") + F.col("_local") - 1)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import safe_corr
 from ..schema import HOT_PERCENTILE, REGIME_MIN_EVENTS, REGIME_WINDOW_US
+from ..staging import attach
 from .metric import pixel_counts
 from .order import with_mask_positions, with_time_window
 
@@ -39,10 +40,12 @@ def hot_removal_report(pixels: DataFrame) -> DataFrame:
 def remove_hot_pixels(events: DataFrame, percentile: float, block: int) -> DataFrame:
     """The stream without its busiest pixels, re-indexed; unchanged where nothing would remain."""
     pixels = hot_pixels(events, percentile)
-    keep = pixels.select(KEY, "x", "y", F.col("is_hot").alias("_hot")).join(
-        hot_removal_report(pixels).select(KEY, "applied"), KEY)
-    kept = events.join(keep, [KEY, "x", "y"]).withColumn(
-        "cold", ~(F.col("_hot") & F.col("applied"))).drop("_hot", "applied")
+    drop = pixels.where("is_hot").join(
+        hot_removal_report(pixels).where("applied").select(KEY), KEY).select(
+        KEY, "x", "y", F.lit(True).alias("_hot"))
+    # only the busiest pixels travel, a thousandth of the sensor per recording
+    kept = attach(events, drop, [KEY, "x", "y"], "left", "hot").withColumn(
+        "cold", F.col("_hot").isNull()).drop("_hot")
     placed = with_mask_positions(kept, ["cold"], block)
     return placed.where("cold").withColumn("event_idx", F.col("cold_pos")).select(*events.columns)
 

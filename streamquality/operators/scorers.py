@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import priority, uniform
 from ..functions.numeric import div
+from ..staging import attach
 from .order import running_offsets
 
 KEY = "recording_id"
@@ -93,7 +94,7 @@ def occurrence(rows: DataFrame, idx: str, block: int = 65536) -> DataFrame:
     keys = [KEY, *VALUE]
     tagged = rows.withColumn("_blk", div(F.col(idx).cast("bigint"), block))
     counts = tagged.groupBy(*keys, "_blk").agg(F.count("*").alias("_n"))
-    offsets = running_offsets(counts, keys, "_blk", ["_n"])
+    offsets = running_offsets(counts, keys, "_blk", ["_n"]).drop("_n_total")
     local = F.row_number().over(W.partitionBy(*keys, "_blk").orderBy(idx))
     return (tagged.withColumn("_local", local).join(offsets, [*keys, "_blk"])
             .withColumn("occ", F.col("_local") + F.col("_n_before"))
@@ -166,8 +167,8 @@ def compare_routes(exact: DataFrame, whole: DataFrame, labels: DataFrame,
                       [KEY, "e"], "left")
             .join(lab.withColumnsRenamed({"event_idx": "w", "label": "label_w"}),
                   [KEY, "w"], "left"))
-    total = pair.groupBy(KEY, "method").agg(F.count("*").alias("kept"))
-    pair = pair.join(total, [KEY, "method"])
+    total = exact.groupBy(KEY, "method").agg(F.count("*").alias("kept"))
+    pair = attach(pair, total, [KEY, "method"], name="kept")
     scored = F.col("kept_idx") < div("kept", slice_size) * slice_size
     return pair.groupBy(KEY, "method").agg(
         F.first("kept").alias("kept"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions.hashing import word
 from ..operators.order import assign_event_index, scene_of
 from ..schema import KEEP_THRESHOLD, TAIL_SENTINEL
+from ..staging import attach
 
 KEY = "recording_id"
 
@@ -36,7 +37,7 @@ def read_whitespace(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 def normalise_seconds(rows: DataFrame, seconds: str, polarity: str, source: str) -> DataFrame:
     """Seconds since the first row **in file order** to whole microseconds, half-even; p >= 0.5."""
     first = rows.groupBy(KEY).agg(F.min_by(seconds, source).alias("_s0"))
-    return rows.join(first, KEY).withColumns({
+    return attach(rows, first, [KEY], name="first").withColumns({
         "t_us": F.rint((F.col(seconds) - F.col("_s0")) * 1e6).cast("bigint"),
         "p": (F.col(polarity) >= 0.5).cast("int")}).drop("_s0")
 
@@ -69,7 +70,7 @@ def with_scene_stride(recordings: DataFrame, part: str, scene: str, stride: int)
     scenes = recordings.select(part, scene).distinct()
     number = F.row_number().over(W.partitionBy(part).orderBy(scene)) - 1
     kept = scenes.withColumn("_i", number).where(F.col("_i") % stride == 0).select(part, scene)
-    return recordings.join(kept, [part, scene], "left_semi")
+    return attach(recordings, kept, [part, scene], "left_semi", "scenes")
 
 
 def all_noise(rows: DataFrame, path: str) -> DataFrame:
@@ -92,7 +93,8 @@ def limit_recordings(events: DataFrame, recordings: DataFrame, limit: int) -> Da
     """Events of the first ``limit`` recordings in name order: a benchmark's own size option."""
     names = recordings.select("dataset", KEY).distinct().withColumn(
         "_i", F.row_number().over(W.partitionBy("dataset").orderBy(KEY)))
-    return events.join(names.where(F.col("_i") <= limit).drop("_i"), ["dataset", KEY], "left_semi")
+    chosen = names.where(F.col("_i") <= limit).drop("_i")
+    return attach(events, chosen, ["dataset", KEY], "left_semi", "chosen")
 
 
 def import_scores(events: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:

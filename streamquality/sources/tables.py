@@ -130,10 +130,10 @@ class Workspace:
 
     def recordings(self) -> DataFrame:
         """One row per recording: sensor, scene, origin and size."""
-        return self.both().groupBy("dataset", "recording_id", "scene").agg(
-            F.count("*").alias("n_events")).withColumns({
+        return self.once("recordings", lambda: self.both().groupBy(
+            "dataset", "recording_id", "scene").agg(F.count("*").alias("n_events")).withColumns({
                 "width": F.lit(64), "height": F.lit(48),
-                "synthetic": F.col("recording_id").isin("click", "view", "NO", "AO")})
+                "synthetic": F.col("recording_id").isin("click", "view", "NO", "AO")}))
 
     def curve(self) -> DataFrame:
         """The benchmark grid: every recording, method and retention of both corpora."""

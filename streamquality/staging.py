@@ -25,6 +25,18 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
+           name: str = "attached") -> DataFrame:
+    """Join a large table with one that has few rows per key, without guessing its size.
+
+    ``small`` is an aggregate, whose size the optimiser cannot know; unplanned, the join would
+    shuffle the large side by ``keys`` and a hot key would land in one task. Staged, its size
+    is on disk: Spark broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and falls
+    back to a shuffled join with skew handling above it.
+    """
+    return df.join(stage(small, name), keys, how)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the staging root and read it back."""
     spark = df.sparkSession
