@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import pick
 from ..schema import SEED
+from ..staging import attach, stage
 
 DRAWS = 10_000
 ZERO = 1e-12  # below this a bound is rounding residue of an exact zero
@@ -21,13 +22,15 @@ def cluster_bootstrap(values: DataFrame, keys: list[str], value: str, cluster: s
     """Percentile interval of the pooled mean when whole clusters are resampled.
 
     Per group: mean, lo, hi, n, n_clusters, excludes_zero. Bounds are NULL below two clusters.
-    ``alpha`` may be a column name. A draw's mean weights clusters by their size.
+    ``alpha`` may be a column name. A draw's mean weights clusters by their size. Cluster sums
+    are written once: every step reads them, and their known size decides the join with the
+    draws x clusters picks.
     """
     level = F.col(alpha) if isinstance(alpha, str) else F.lit(alpha)
     group = [*keys, *([alpha] if isinstance(alpha, str) else [])]
     known = values.where(F.col(value).isNotNull())
-    sums = known.groupBy(*group, F.col(cluster).alias("_cluster")).agg(
-        F.sum(value).alias("_sum"), F.count("*").alias("_n"))
+    sums = stage(known.groupBy(*group, F.col(cluster).alias("_cluster")).agg(
+        F.sum(value).alias("_sum"), F.count("*").alias("_n")), "clusters")
     slots = sums.withColumn("_slot", F.row_number().over(
         W.partitionBy(*group).orderBy("_cluster")) - 1)
     head = sums.groupBy(*group).agg(
@@ -114,7 +117,8 @@ def paired_accuracy(predictions: DataFrame, pairs: DataFrame, draws: int = DRAWS
     """
     right = predictions.select("condition", "clip", "subject",
                                (F.col("prediction") == F.col("target")).cast("int").alias("ok"))
-    a = right.withColumnsRenamed({"condition": "a", "ok": "ok_a"}).join(pairs, "a")
+    a = attach(right.withColumnsRenamed({"condition": "a", "ok": "ok_a"}), pairs, ["a"],
+               name="pairs")
     b = right.select(F.col("condition").alias("b"), "clip", F.col("ok").alias("ok_b"))
     both = a.join(b, ["b", "clip"]).withColumn("delta", F.col("ok_a") - F.col("ok_b"))
     counts = both.groupBy("a", "b").agg(
