@@ -57,6 +57,13 @@ def curve_summary(curve: DataFrame, keys: list[str] = CELL) -> DataFrame:
         "raw_mesr", (F.col("_b.mesr") - F.col("raw_mesr")).alias("delta_at_r_star"))
 
 
+def floor_pinned(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """How many optima sit on the lowest evaluable retention."""
+    return summary.groupBy(*keys).agg(
+        F.count("*").alias("cells"), F.count_if("optimum_at_floor").alias("floor_pinned"),
+        F.avg(F.col("optimum_at_floor").cast("double")).alias("share"))
+
+
 def error_cells(curve: DataFrame) -> DataFrame:
     return curve.groupBy(*CELL).agg(F.count_if("evaluable").alias("n")).where("n = 0").drop("n")
 

@@ -61,6 +61,12 @@ def _(ws):
     return rounded(summary(ws))
 
 
+@registry.add("n15_floor_pinned_share", Q.query(FULL, """
+SELECT dataset, count(*) AS cells, count(*) FILTER (WHERE optimum_at_floor) AS floor_pinned, round(avg(CASE WHEN optimum_at_floor THEN 1.0 ELSE 0.0 END), 9) AS share FROM summ GROUP BY dataset"""))
+def _(ws):
+    return rounded(analysis.floor_pinned(summary(ws), ["dataset"]))
+
+
 @registry.add("m8_restricted_trapezoid", Q.query([*FULL, f"""tr AS (SELECT {C3}, CASE WHEN max(r) > min(r) THEN sum(area) / (max(r) - min(r)) ELSE max(mesr) END AS auc
   FROM (SELECT *, (mesr + lag(mesr) OVER w) / 2 * (r - lag(r) OVER w) AS area FROM us WHERE r_pct BETWEEN 20 AND 80 WINDOW w AS (PARTITION BY {C3} ORDER BY r_pct)) GROUP BY {C3})"""],
     f"SELECT {C3}, round(auc, 9) AS auc FROM tr"))

@@ -9,6 +9,7 @@ from ..functions.numeric import div
 from ..operators import metric, oracle, order, resample, scorers
 from ..schema import SEED, method_table
 from ..sources.tables import CORPORA, EVENT_STREAM, METHODS, scores
+from ..staging import stage
 from . import sql as Q
 from .base import Registry, rounded
 from .positions import per_corpus
@@ -105,6 +106,18 @@ def _(ws):
     return scorers.packets(coarse(ws), block=2048)
 
 
+@registry.add("d7_packet_attribution", Q.query([Q.LI, COARSE, "kept AS (SELECT * FROM co WHERE fa)"], """
+SELECT recording_id, count(*) AS kept, count(*) FILTER (WHERE event_idx IS NULL) AS unmatched, count(*) FILTER (WHERE event_idx <> event_idx) AS moved FROM kept GROUP BY ALL"""))
+def _(ws):
+    events = coarse(ws)
+    table = stage(scorers.packets(events, block=2048), "packets")
+    kept = scorers.with_packet(kept_rows(ws), table).withColumnRenamed("event_idx", "truth")
+    found = scorers.attribute_in_packets(events, table, kept)
+    return found.groupBy(KEY).agg(
+        F.count("*").alias("kept"), F.count_if(F.col("event_idx").isNull()).alias("unmatched"),
+        F.count_if(F.col("event_idx") != F.col("truth")).alias("moved"))
+
+
 GROUPS = """g AS (SELECT recording_id, t_us, x, y, p, count(*) AS n, count(*) FILTER (WHERE label = 0) AS sg FROM co GROUP BY ALL),
 per AS (SELECT recording_id, CAST(sum(n) AS BIGINT) AS events, count(*) FILTER (WHERE n >= 2) AS groups,
   CAST(coalesce(sum(n) FILTER (WHERE n >= 2), 0) AS BIGINT) AS events_in_groups, max(n) AS largest,
