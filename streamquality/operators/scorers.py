@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import priority, uniform
 from ..functions.numeric import div
-from ..staging import attach
+from ..staging import attach, stage
 from .order import running_offsets
 
 KEY = "recording_id"
@@ -230,14 +230,38 @@ def _transfer(pdf: pd.DataFrame) -> pd.DataFrame:
                          "seen": [seen[last].tolist()], "leave": [leave[last].tolist()]})
 
 
-def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("blk")
-    start, entry = 0, []
-    for seen, leave in zip(pdf["seen"], pdf["leave"]):
-        entry.append(start)
-        at = int(np.searchsorted(seen, start))
-        start = start if at == len(leave) else int(leave[at])
-    return pd.DataFrame({KEY: pdf[KEY], "blk": pdf["blk"], "entry": entry})
+def _chain(first: tuple, then: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of two neighbouring pieces of a recording, one after the other."""
+    seen, leave = first
+    at = np.searchsorted(then[0], leave)
+    through = np.where(at < len(then[0]), then[1][np.minimum(at, len(then[1]) - 1)], leave)
+    beyond = then[0] > seen[-1]
+    s, out = np.r_[seen, then[0][beyond]], np.r_[through, then[1][beyond]]
+    last = np.r_[out[1:] != out[:-1], True]
+    return s[last], out[last]
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("blk", ascending=False)
+    pieces = list(zip(pdf["seen"], pdf["leave"]))
+    whole = pieces[0]
+    for piece in pieces[1:]:
+        whole = _chain(piece, whole)
+    return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "span": [pdf["span"].iloc[0]],
+                         "seen": [list(whole[0])], "leave": [list(whole[1])]})
+
+
+def _entries(piece: str, given: bool):
+    """Where the packet open at the start of each piece began, walking pieces in order."""
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(piece)
+        start, entry = int(pdf["from"].iloc[0]) if given else 0, []
+        for seen, leave in zip(pdf["seen"], pdf["leave"]):
+            entry.append(start)
+            at = int(np.searchsorted(seen, start))
+            start = start if at == len(leave) else int(leave[at])
+        return pd.DataFrame({KEY: pdf[KEY], piece: pdf[piece], "entry": entry})
+    return walk
 
 
 def _cuts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -252,18 +276,25 @@ def _cuts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({KEY: pdf[KEY].iloc[0], "start": np.array(found, dtype="int64")})
 
 
-def packets(events: DataFrame, block: int = 1 << 20) -> DataFrame:
+def packets(events: DataFrame, block: int = 1 << 20, span: int = 1024) -> DataFrame:
     """Fewest consecutive ranges [start, stop) that hold no event twice.
 
     Where a packet ends depends on where it began, so blocks are summarised in parallel as a
-    step function from entry to exit, the step functions are chained with one short row per
-    block, and the cuts are then read off in parallel.
+    step function from entry to exit. Blocks of a span are composed in parallel, spans are
+    walked in order with one short row each, and the entries of blocks and the cuts are then
+    read off in parallel.
     """
-    repeats = _repeats(events, block)
-    steps = repeats.groupBy(KEY, "blk").applyInPandas(
-        _transfer, f"{KEY} string, blk bigint, seen array<bigint>, leave array<bigint>")
-    entries = steps.groupBy(KEY).applyInPandas(
-        _entries, f"{KEY} string, blk bigint, entry bigint")
+    repeats = stage(_repeats(events, block), "repeats")
+    function = "seen array<bigint>, leave array<bigint>"
+    steps = stage(repeats.groupBy(KEY, "blk").applyInPandas(
+        _transfer, f"{KEY} string, blk bigint, {function}").withColumn(
+        "span", div("blk", span)), "steps")
+    composed = steps.groupBy(KEY, "span").applyInPandas(
+        _compose, f"{KEY} string, span bigint, {function}")
+    opened = composed.groupBy(KEY).applyInPandas(
+        _entries("span", False), f"{KEY} string, span bigint, entry bigint")
+    entries = steps.join(opened.withColumnRenamed("entry", "from"), [KEY, "span"]).groupBy(
+        KEY, "span").applyInPandas(_entries("blk", True), f"{KEY} string, blk bigint, entry bigint")
     cuts = repeats.join(entries, [KEY, "blk"]).groupBy(KEY, "blk").applyInPandas(
         _cuts, f"{KEY} string, start bigint")
     sizes = events.groupBy(KEY).agg(F.count("*").alias("n"))

@@ -100,8 +100,8 @@ def test_packets_on_random_streams_match_a_scan(spark):
             seen, start = set(), i
         seen.add(r)
     want.append((start, len(rows)))
-    for block in (17, 100, 4096):
-        got = scorers.packets(events(spark, rows), block).orderBy("start").collect()
+    for block, span in ((17, 3), (9, 1), (100, 1024), (4096, 1024)):
+        got = scorers.packets(events(spark, rows), block, span).orderBy("start").collect()
         assert [(r["start"], r["stop"]) for r in got] == want
 
 
