@@ -68,3 +68,9 @@ def pixel(x: str = "x", y: str = "y") -> Column:
 def safe_corr(x: Column | str, y: Column | str) -> Column:
     """Pearson correlation as an aggregate; NULL, not an error, when a side is constant."""
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
+def micros(column: str) -> Column:
+    """Microseconds since 1970 of a timestamp without time zone, in any session time zone."""
+    since = f"cast({column} - timestamp_ntz'1970-01-01 00:00:00' as interval second)"
+    return F.expr(f"cast(cast({since} as decimal(20, 6)) * 1000000 as bigint)")

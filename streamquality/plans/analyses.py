@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ranks
+from ..functions.numeric import micros
 from ..operators import analysis, grid, metric, oracle, resample
 from ..operators.downstream import condition_name, dedupe_conditions
 from ..operators.order import assign_event_index, cap_events
@@ -457,7 +458,7 @@ def repeat_cells(ws) -> DataFrame:
         e = read(ws.spark, ws.sf_dir, "events").select(
             F.concat("event_type", F.lit("/"), F.when(F.col("event_id") % 2 == 0, "D-END").otherwise("N-END"), F.lit("/ND0"),
                      (F.col("user_id") % 4).cast("string")).alias("cell"),
-            (F.col("event_id") % 3).cast("int").alias("rep"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), "event_id",
+            (F.col("event_id") % 3).cast("int").alias("rep"), micros("ts").alias("t_us"), "event_id",
             (F.col("user_id") % 64).cast("int").alias("x"), ((F.col("event_id") * 7) % 48).cast("int").alias("y"))
         return assign_event_index(e.withColumn(KEY, F.concat_ws("#", "cell", "rep")), [KEY], ["t_us", "event_id"], "repeat-order")
     streams = ws.once("repeat-streams", build)

@@ -21,7 +21,7 @@ DRAWS = 400
 
 
 @registry.add("d1_d2_d3_controls", Q.query([*Q.STREAMS, Q.GRID, Q.SCORED], """
-SELECT dataset, recording_id, method, count(*) AS kept, CAST(sum(event_idx) AS BIGINT) AS idx_sum FROM (
+SELECT dataset, recording_id, method, count(*) AS kept, CAST(sum(event_idx % 1000003) AS BIGINT) AS idx_sum FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset, recording_id, method, event_idx // blk ORDER BY score, event_idx) AS rk,
     count(*) OVER (PARTITION BY dataset, recording_id, method, event_idx // blk) AS n_b
   FROM scored WHERE method IN ('raw', 'label_oracle', 'random_null'))
@@ -31,7 +31,7 @@ def _(ws):
 
     def one(c):
         parts = [metric.retain(ws.stream(c), s[m], 0.25, c.block).groupBy(KEY).agg(
-            F.count("*").alias("kept"), F.sum("event_idx").alias("idx_sum"))
+            F.count("*").alias("kept"), F.sum(F.col("event_idx") % 1000003).alias("idx_sum"))
             .withColumn("method", F.lit(m)) for m in ("raw", "label_oracle", "random_null")]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
     return per_corpus(one)
@@ -47,13 +47,13 @@ def _(ws):
 
 
 @registry.add("d5_decisions_to_scores", Q.query([Q.EV], """
-SELECT recording_id, CASE WHEN sc > 30 THEN 0.0 ELSE 1.0 END :: DOUBLE AS score, count(*) AS n, CAST(sum(event_idx) AS BIGINT) AS idx_sum
+SELECT recording_id, CASE WHEN sc > 30 THEN 0.0 ELSE 1.0 END :: DOUBLE AS score, count(*) AS n, CAST(sum(event_idx % 1000003) AS BIGINT) AS idx_sum
 FROM ev GROUP BY ALL"""))
 def _(ws):
     s = ws.stream(EVENT_STREAM)
     return scorers.decisions_to_scores(s, s.where("sc > 30")).groupBy(
         KEY, F.col("score").cast("double").alias("score")).agg(
-        F.count("*").alias("n"), F.sum("event_idx").alias("idx_sum"))
+        F.count("*").alias("n"), F.sum(F.col("event_idx") % 1000003).alias("idx_sum"))
 
 
 @registry.add("d6_native_retention", Q.query([*Q.STREAMS, Q.SCORED], """
@@ -171,7 +171,7 @@ def _(ws):
 
 
 @registry.add("d11_tie_break", Q.query(Q.STREAMS, f"""
-SELECT dataset, recording_id, seed, CAST(sum(event_idx) AS BIGINT) AS idx_sum, count(*) FILTER (WHERE fa) AS accepted, count(*) AS kept FROM (
+SELECT dataset, recording_id, seed, CAST(sum(event_idx % 1000003) AS BIGINT) AS idx_sum, count(*) FILTER (WHERE fa) AS accepted, count(*) AS kept FROM (
   SELECT s.*, seed, row_number() OVER (PARTITION BY dataset, recording_id, seed, event_idx // blk ORDER BY CASE WHEN fa THEN 0 ELSE 1 END,
     {Q.prio('seed', 'recording_id', 'event_idx')}, event_idx) AS rk, count(*) OVER (PARTITION BY dataset, recording_id, seed, event_idx // blk) AS n_b
   FROM s CROSS JOIN (VALUES (1), (2), (3)) t(seed))
@@ -183,7 +183,7 @@ def _(ws):
         for seed in (1, 2, 3):
             key = scorers.tie_broken(F.col("fa"), seed, F.col(KEY), F.col("event_idx"), algorithm="md5")
             part = metric.retain(s, key, 0.4, c.block).groupBy(KEY).agg(
-                F.sum("event_idx").alias("idx_sum"), F.count_if("fa").alias("accepted"),
+                F.sum(F.col("event_idx") % 1000003).alias("idx_sum"), F.count_if("fa").alias("accepted"),
                 F.count("*").alias("kept")).withColumn("seed", F.lit(seed))
             out = part if out is None else out.unionByName(part)
         return out
@@ -277,7 +277,7 @@ def native_cells(ws) -> DataFrame:
 
 
 @registry.add("d13_oracle_mask", Q.query(CELLS, """
-SELECT dataset, recording_id, method, side, count(*) AS n, CAST(sum(event_idx) AS BIGINT) AS idx_sum FROM sides WHERE side = 'oracle' GROUP BY ALL"""))
+SELECT dataset, recording_id, method, side, count(*) AS n, CAST(sum(event_idx % 1000003) AS BIGINT) AS idx_sum FROM sides WHERE side = 'oracle' GROUP BY ALL"""))
 def _(ws):
     return _sides(ws, "oracle")
 
@@ -285,11 +285,11 @@ def _(ws):
 def _sides(ws, side):
     return per_corpus(lambda c: oracle.matched_positions(
         ws.stream(c), MASKS, c.slice_size, c.block, SEED, "md5").where(F.col("side") == side)
-        .groupBy(KEY, "method", "side").agg(F.count("*").alias("n"), F.sum("event_idx").alias("idx_sum")))
+        .groupBy(KEY, "method", "side").agg(F.count("*").alias("n"), F.sum(F.col("event_idx") % 1000003).alias("idx_sum")))
 
 
 @registry.add("d14_matched_random_mask", Q.query(CELLS, """
-SELECT dataset, recording_id, method, side, count(*) AS n, CAST(sum(event_idx) AS BIGINT) AS idx_sum FROM sides WHERE side = 'null' GROUP BY ALL"""))
+SELECT dataset, recording_id, method, side, count(*) AS n, CAST(sum(event_idx % 1000003) AS BIGINT) AS idx_sum FROM sides WHERE side = 'null' GROUP BY ALL"""))
 def _(ws):
     return _sides(ws, "null")
 

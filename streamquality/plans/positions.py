@@ -39,14 +39,14 @@ def _(ws):
 
 
 @registry.add("p3_block_quota_retention", Q.query([*Q.STREAMS, Q.GRID], """
-SELECT dataset, recording_id, count(*) AS kept, sum(event_idx) AS idx_sum, round(sum(sc), 4) AS score_sum FROM (
+SELECT dataset, recording_id, count(*) AS kept, sum(event_idx % 1000003) AS idx_sum, round(sum(sc), 4) AS score_sum FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset, recording_id, event_idx // blk ORDER BY sc, event_idx) AS rk,
          count(*) OVER (PARTITION BY dataset, recording_id, event_idx // blk) AS n_b FROM s)
 WHERE rk <= greatest(1, round_even(n_b * CAST(0.35 AS DOUBLE), 0)) GROUP BY ALL""").replace(
-    "sum(event_idx)", "CAST(sum(event_idx) AS BIGINT)"))
+    "sum(event_idx % 1000003)", "CAST(sum(event_idx % 1000003) AS BIGINT)"))
 def _(ws):
     return per_corpus(lambda c: metric.retain(ws.stream(c), F.col("sc"), 0.35, c.block).groupBy(KEY).agg(
-        F.count("*").alias("kept"), F.sum("event_idx").alias("idx_sum"),
+        F.count("*").alias("kept"), F.sum(F.col("event_idx") % 1000003).alias("idx_sum"),
         F.round(F.sum("sc"), 4).alias("score_sum")))
 
 
@@ -125,8 +125,8 @@ def _(ws):
 
 
 def shuffle_sql(window: str, seed: int = 7) -> str:
-    return f"""SELECT a.dataset, a.recording_id, CAST(sum(a.event_idx * b.event_idx) AS BIGINT) AS moved,
-  CAST(sum(a.event_idx * (b.x + 64 * b.y)) AS BIGINT) AS marks, count(*) AS n
+    return f"""SELECT a.dataset, a.recording_id, CAST(sum((a.event_idx % 1000003) * (b.event_idx % 1000003) % 1000003) AS BIGINT) AS moved,
+  CAST(sum((a.event_idx % 1000003) * (b.x + 64 * b.y)) AS BIGINT) AS marks, count(*) AS n
 FROM (SELECT *, row_number() OVER (PARTITION BY dataset, recording_id, {window} ORDER BY event_idx) AS rk FROM s) a
 JOIN (SELECT *, row_number() OVER (PARTITION BY dataset, recording_id, {window} ORDER BY
       {Q.prio(str(seed), 'recording_id', 'event_idx')}, event_idx) AS rk FROM s) b
@@ -139,8 +139,8 @@ def shuffled_digest(ws, window):
         s = ws.stream(c)
         moved = order.shuffle_marks(s, window, 7, ["x", "y", "event_idx"], algorithm="md5")
         return moved.groupBy(KEY).agg(
-            F.sum(F.col("event_idx") * F.col("event_idx_shuffled")).alias("moved"),
-            F.sum(F.col("event_idx") * (F.col("x_shuffled") + 64 * F.col("y_shuffled"))).alias("marks"),
+            F.sum((F.col("event_idx") % 1000003) * (F.col("event_idx_shuffled") % 1000003) % 1000003).alias("moved"),
+            F.sum((F.col("event_idx") % 1000003) * (F.col("x_shuffled") + 64 * F.col("y_shuffled"))).alias("marks"),
             F.count("*").alias("n"))
     return per_corpus(one)
 

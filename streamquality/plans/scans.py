@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numeric import div
+from ..functions.numeric import div, micros
 from ..operators import downstream, order
 from ..sources import artifacts, binary, headers, readers
 from ..sources.tables import EVENT_STREAM, event_rows, read
@@ -16,11 +16,11 @@ from .base import Registry, rounded
 
 registry = Registry()
 KEY = "recording_id"
-DIGEST = """count(*) AS n, CAST(sum(t_us) AS BIGINT) AS t_sum, CAST(sum(x) AS BIGINT) AS x_sum, CAST(sum(y) AS BIGINT) AS y_sum, CAST(sum(p) AS BIGINT) AS p_sum"""
+DIGEST = """count(*) AS n, CAST(sum(t_us % 1000003) AS BIGINT) AS t_sum, CAST(sum(x) AS BIGINT) AS x_sum, CAST(sum(y) AS BIGINT) AS y_sum, CAST(sum(p) AS BIGINT) AS p_sum"""
 
 
 def digest(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("t_us").alias("t_sum"), F.sum("x").alias("x_sum"),
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("t_us") % 1000003).alias("t_sum"), F.sum("x").alias("x_sum"),
                                  F.sum("y").alias("y_sum"), F.sum("p").alias("p_sum"))
 
 
@@ -59,7 +59,7 @@ GROUP BY ALL""")
 def _(ws):
     e = read(ws.spark, ws.sf_dir, "events").select(
         F.col("event_type").alias(KEY), ((F.col("event_id") * 7919) % 104729).alias("src"),
-        ((F.unix_micros(F.col("ts").cast("timestamp")) % 1_000_000_000).cast("double") / 1_000_000).alias("sec"),
+        ((micros("ts") % 1_000_000_000).cast("double") / 1_000_000).alias("sec"),
         ((F.col("event_id") % 10) / 10.0).alias("pol"))
     return readers.normalise_seconds(e, "sec", "pol", "src").groupBy(KEY).agg(
         F.count("*").alias("n"), F.sum("t_us").alias("t_sum"), F.sum("p").alias("p_sum"), F.min("t_us").alias("t_min"))
@@ -147,7 +147,7 @@ def disordered(ws) -> DataFrame:
     def build():
         e = read(ws.spark, ws.sf_dir, "events").select(
             F.col("event_type").alias(KEY), "event_id",
-            (F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 9 == 0, 3_600_000_000).otherwise(0)).alias("t_us"),
+            (micros("ts") + F.when(F.col("event_id") % 9 == 0, 3_600_000_000).otherwise(0)).alias("t_us"),
             (F.col("user_id") % 64).cast("int").alias("x"))
         return order.assign_event_index(e, [KEY], ["event_id"], "arrival").withColumnRenamed("event_idx", "source_idx")
     return ws.once("disordered", build)
@@ -161,11 +161,11 @@ def _(ws):
 
 
 @registry.add("s10_stable_repair", Q.query([DISORDER, "fixed AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t_us, source_idx) - 1 AS event_idx FROM dis)"], """
-SELECT recording_id, count(*) AS n, CAST(sum(event_idx * x) AS BIGINT) AS digest, CAST(sum(event_idx * source_idx) AS BIGINT) AS moved FROM fixed GROUP BY ALL"""))
+SELECT recording_id, count(*) AS n, CAST(sum((event_idx % 1000003) * x) AS BIGINT) AS digest, CAST(sum((event_idx % 1000003) * (source_idx % 1000003) % 1000003) AS BIGINT) AS moved FROM fixed GROUP BY ALL"""))
 def _(ws):
     return readers.repair_time_order(disordered(ws)).groupBy(KEY).agg(
-        F.count("*").alias("n"), F.sum(F.col("event_idx") * F.col("x")).alias("digest"),
-        F.sum(F.col("event_idx") * F.col("source_idx")).alias("moved"))
+        F.count("*").alias("n"), F.sum((F.col("event_idx") % 1000003) * F.col("x")).alias("digest"),
+        F.sum((F.col("event_idx") % 1000003) * (F.col("source_idx") % 1000003) % 1000003).alias("moved"))
 
 
 @registry.add("s11_event_cap", Q.query(Q.STREAMS, f"SELECT dataset, recording_id, {DIGEST} FROM s WHERE event_idx < 1200 GROUP BY ALL"))
@@ -260,7 +260,7 @@ def _(ws):
 
 @registry.add("s20_score_manifest", Q.query([Q.EV, "im AS (SELECT recording_id, event_idx, CASE WHEN event_idx >= 1900 THEN 2.0 ELSE sc / 1000 END AS score FROM ev)"], f"""
 SELECT recording_id, count(*) AS events, count(*) FILTER (WHERE score <> 2.0) AS scored, count(*) FILTER (WHERE score < 0.005) AS kept,
-  CAST(sum({Q.word('recording_id', 'event_idx', 'CAST(round(score * 1e6) AS BIGINT)')}) AS BIGINT) AS checksum FROM im GROUP BY ALL"""))
+  bit_xor({Q.word('recording_id', 'event_idx', 'CAST(round(score * 1e6) AS BIGINT)')}) AS checksum FROM im GROUP BY ALL"""))
 def _(ws):
     return readers.score_manifest(imported(ws), "md5")
 

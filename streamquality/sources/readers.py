@@ -114,7 +114,7 @@ def score_manifest(scored: DataFrame, algorithm: str = "xxhash64") -> DataFrame:
                   algorithm=algorithm)
     return scored.groupBy(KEY).agg(
         F.count("*").alias("events"), F.count_if(F.col("score") != TAIL_SENTINEL).alias("scored"),
-        F.count_if(F.col("score") < KEEP_THRESHOLD).alias("kept"), F.sum(digest).alias("checksum"))
+        F.count_if(F.col("score") < KEEP_THRESHOLD).alias("kept"), F.bit_xor(digest).alias("checksum"))
 
 
 def merge_methods(existing: DataFrame, added: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.numeric import micros
 from ..operators import grid
 from ..operators.order import assign_event_index
 from ..operators.scorers import label_oracle, seeded_random
@@ -50,7 +51,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     return e.select(
         kind.alias("recording_id"), F.col("event_id").alias("source_idx"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
+        micros("ts").alias("t_us"),
         (F.col("user_id") % 64).cast("int").alias("x"),
         ((F.col("event_id") * 7) % 48).cast("int").alias("y"),
         (F.col("event_id") % 2).cast("int").alias("p"),
@@ -72,7 +73,7 @@ def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
     return li.select(
         F.concat("l_returnflag", "l_linestatus").alias("recording_id"), *WIDE_ORDER,
-        F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("t_us"),
+        micros("l_shipdate").alias("t_us"),
         (F.col("l_partkey") % 64).cast("int").alias("x"),
         (F.col("l_suppkey") % 48).cast("int").alias("y"),
         (F.col("l_linenumber") % 2).cast("int").alias("p"),
