@@ -1,0 +1,68 @@
+"""Encoding with a byte-level vocabulary of the tokenizers library."""
+
+from __future__ import annotations
+
+import os
+from collections import namedtuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_map
+from .pieces import PieceEncoder
+
+#: The file's text goes to the workers with the closure: its size is fixed.
+Vocabulary = namedtuple("Vocabulary", "json pattern size")
+
+
+def read_vocabulary(path: str, pattern: str) -> Vocabulary:
+    """``pattern`` is the split that the file's byte-level step makes."""
+    from tokenizers import Tokenizer
+    with open(path) as f:
+        text = f.read()
+    return Vocabulary(text, pattern, Tokenizer.from_str(text).get_vocab_size())
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 stands
+    for itself, the others get the letters from 256 on in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+_ENCODERS: dict[int, PieceEncoder] = {}
+
+
+def _encoder(vocabulary: Vocabulary) -> PieceEncoder:
+    key = hash(vocabulary)
+    if key not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        model = Tokenizer.from_str(vocabulary.json).model
+        letters = byte_letters()
+        def piece_ids(piece: str) -> list[int]:
+            return [t.id for t in model.tokenize("".join([letters[b] for b in piece.encode()]))]
+        _ENCODERS[key] = PieceEncoder(vocabulary.pattern, piece_ids)
+    return _ENCODERS[key]
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text",
+           end: int | None = None) -> DataFrame:
+    """``key, ids array<int>`` in the order of the rows; ``end`` is appended to each document.
+    The library's model encodes each piece of the split; special tokens in a text are ordinary
+    text. A null text counts as empty; repeated rows stay repeated; other columns are not read."""
+    tail = np.array([] if end is None else [end], np.uint32)
+    def run(batch):
+        encoder = _encoder(vocabulary)
+        arrays = [x for t in batch.column("t").to_pylist() for x in (encoder.encode(t or ""), tail)]
+        sizes = [len(a) + len(tail) for a in arrays[::2]]
+        offsets = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=offsets[1:])
+        ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([batch.column("k"), ids], ["k", "ids"])
+    rows = arrow_map(df.select(F.col(key).alias("k"), F.col(text).alias("t")), run,
+                     f"k {df.schema[key].dataType.simpleString()}, ids array<int>", "t")
+    return rows.withColumnRenamed("k", key)
