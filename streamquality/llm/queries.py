@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staging_root
-from . import bpe, fingerprints, mixing, packed, tokenize
+from . import bpe, fingerprints, licenses, mixing, packed, quality, tokenize
 from .common import table
 
 QUERIES: dict = {}
@@ -68,3 +68,15 @@ def op7_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.compare_edited(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    rows = quality.rules(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    return rows.drop("score")
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
