@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staging_root
-from . import bpe, fingerprints, licenses, mixing, packed, quality, tokenize
+from . import bpe, extract, fingerprints, licenses, mixing, packed, quality, secrets, tokenize
 from .common import table
 
 QUERIES: dict = {}
@@ -80,3 +80,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.struct("page_id", "url").alias("page"), "html")
+    rows = extract.extract(pages, "page")
+    return rows.select("page.page_id", "page.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets.KINDS[kind]}")
+    counts = map(count, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX))
+    return rows.select("doc_id", *counts, F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                       secrets.written(F.col("spans")).alias("spans"))
