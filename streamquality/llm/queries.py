@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staging_root
-from . import bpe, extract, fingerprints, licenses, mixing, packed, quality, secrets, tokenize
+from . import bpe, extract, fingerprints, jaccard, licenses, mixing, packed, quality, secrets, tokenize
 from .common import table
 
 QUERIES: dict = {}
@@ -97,3 +97,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = map(count, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX))
     return rows.select("doc_id", *counts, F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                        secrets.written(F.col("spans")).alias("spans"))
+
+
+@query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
