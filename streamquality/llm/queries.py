@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staging_root
-from . import bpe, extract, fingerprints, jaccard, licenses, mixing, packed, quality, secrets, tokenize
+from . import bpe, credentials, extract, fingerprints, jaccard, licenses, mixing, packed, quality, substrings, vocab
 from .common import table
 
 QUERIES: dict = {}
@@ -36,11 +36,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = tokenize.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    vocabulary = vocab.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     path = f"{staging_root(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    packed.write_tokens(tokenize.encode(ordered, vocabulary, end=2), path, vocabulary.size)
+    packed.write_tokens(vocab.encode(ordered, vocabulary, end=2), path, vocabulary.size)
 
     def digest(batches):
         for batch in batches:
@@ -91,14 +91,22 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = credentials.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     def count(kind):
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets.KINDS[kind]}")
-    counts = map(count, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX))
-    return rows.select("doc_id", *counts, F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-                       secrets.written(F.col("spans")).alias("spans"))
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{credentials.KINDS[kind]}")
+    counts = map(count, (credentials.ASSIGN, credentials.ACCESS, credentials.HEX))
+    return rows.select("doc_id", *counts, F.sha2(credentials.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                       credentials.written(F.col("spans")).alias("spans"))
 
 
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
+
+
+@query
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
