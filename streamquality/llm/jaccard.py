@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
@@ -278,8 +278,10 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``key, n_shingles, component_id`` of every row: rows of one component are joined by links,
-    pairs whose sets share at least ``percent`` of their union; its id is its smallest key.
+    """``key, n_shingles, component_id, first, tie`` of every row: rows of one component are joined by
+    links, pairs whose sets share at least ``percent`` of their union; its id is its smallest key.
+    ``first`` marks the row that stands for its component (rows, if it is repeated); ``tie`` is
+    xxhash64 of the text.
 
     Equal sets are one node, so copies cost nothing but their row, and rows that repeat a key with
     another text keep apart. A null or wordless text has an empty set, links with nothing and is
@@ -306,8 +308,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     cells = texts.join(work, F.col("k").eqNullSafe(F.col("k2")) & (F.xxhash64("t") == F.col("tie2")))
     cells = cells.select("family", "i", "j", "sid", "t").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     links = components(cells.mapInArrow(lambda batches: _links(batches, width, percent), "a long, b long"))
-    rows = known.join(links.withColumnRenamed("node", "sid"), "sid", "left").select("k", "n", F.coalesce("root", "sid").alias("root"))
-    least = rows.filter("n > 0").groupBy("root").agg(F.min("k").alias("component"))
-    out = rows.join(least, "root", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(
-        F.col("n") > 0, F.col("component")).otherwise(F.col("k")).alias("component_id"))
-    return out
+    rows = known.join(links.withColumnRenamed("node", "sid"), "sid", "left").select(
+        "k", "tie", "n", F.coalesce("root", "sid").alias("root"))
+    # of equal smallest keys and of null ones alone, the smaller tie stands first
+    least = rows.filter("n > 0").groupBy("root").agg(F.min("k").alias("component"), F.min(F.struct(F.col("k").isNull(), "k", "tie")).alias("one"))
+    linked, own = F.col("n") > 0, F.struct(F.col("k").isNull(), "k", "tie")
+    return rows.join(least, "root", "left").select(
+        F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("k")).alias("component_id"),
+        (~linked | own.eqNullSafe(F.col("one"))).alias("first"), "tie")
+
+
+def distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component of :func:`join` the row of
+    the smallest key, once. Rows without words stay."""
+    found = join(docs, key, text, width, percent).filter("first").select(
+        F.col(key).alias("_key"), F.col("tie").alias("_tie"), (F.col("n_shingles") == 0).alias("_all")).distinct()
+    tie = F.xxhash64(F.col(text))
+    rows = docs.join(found, F.col(key).eqNullSafe(F.col("_key")) & (tie == F.col("_tie")))
+    copy = F.row_number().over(Window.partitionBy("_key", "_tie").orderBy("_tie"))
+    return rows.withColumn("_copy", copy).filter("_all or _copy = 1").select(*docs.columns)

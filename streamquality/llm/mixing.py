@@ -11,6 +11,7 @@ missing ones spread over the shards, both in a hashed order of shards.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..staging import stage
 
 SPREAD = 256
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -82,7 +84,7 @@ def lay_out(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     parts = stage(parts, "mix-parts")
     same = rows["source"].eqNullSafe(parts["source"]) & (rows["part"] == parts["part"])
-    return rows.join(parts, same).select("key", "size", rows["source"], (F.col("before") + F.col("inside")).alias("offset"))
+    return rows.join(parts, same).select("key", "tie", "size", rows["source"], (F.col("before") + F.col("inside")).alias("offset"))
 
 
 def plan_sources(items: DataFrame, share: float, most: float, weights: list[float], block: int) -> list[dict]:
@@ -149,8 +151,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """``items`` and ``slots`` of the mixture.
 
-    ``items``: ``key, size, source, no, source_size, target, offset``, a row for each document.
-    ``slots``: ``shard, turn, no, copy, offset, from_word, to_word``: which words of which
+    ``items``: ``key, tie, size, source, no, source_size, target, offset``, a row for each document.
+    ``tie`` is xxhash64 of the text. ``slots``: ``shard, turn, no, copy, offset, from_word, to_word``: which words of which
     document (the one at ``offset`` of source ``no``) fill a slot; a slot at a document's end has
     several rows. A null or blank text has size 0 and fills nothing. A null source is a source.
     Repeated rows are documents of their own. An empty table gives two empty tables. A block is
@@ -170,3 +172,37 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         F.least(F.col("size"), (F.col("block") + 1) * block - F.col("offset")).alias("to_word"))
     slots = draw_slots(spark, plan, seed, shard_slots).join(pieces, ["no", "block"])
     return items.withColumnRenamed("key", key), slots.select("shard", "turn", "no", "copy", "offset", "from_word", "to_word")
+
+
+def mixed_texts(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+    """The rows of ``df`` with the words that the mixture takes of each, pass by pass, in their
+    order and with the white space between them; passes, and words apart, are parted by a line
+    feed. A row of which nothing is taken is left out."""
+    items, slots = mix(df, key, text, source, **settings)
+    runs = slots.groupBy("no", "offset").agg(F.sort_array(F.collect_list(F.struct("copy", "from_word", "to_word"))).alias("_runs"))
+    order = Window.partitionBy("_key", "_tie", "_source")
+    taken = items.filter("size > 0").join(runs, ["no", "offset"]).select(
+        F.col(key).alias("_key"), F.col("tie").alias("_tie"), F.col("source").alias("_source"), "_runs", "offset")
+    taken = taken.withColumn("_copy", F.row_number().over(order.orderBy("offset"))).drop("offset")
+    rows = df.withColumns({"_at": F.xxhash64(F.col(text)), "_number": F.row_number().over(
+        Window.partitionBy(key, F.xxhash64(F.col(text)), source).orderBy(F.lit(0)))})
+    same = (F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_tie")) & F.col(source).eqNullSafe(F.col("_source"))
+            & (F.col("_number") == F.col("_copy")))
+    rows = rows.join(taken, same).select(*[F.col(c) for c in df.columns if c != text], F.col(text).alias("t"), "_runs")
+    rest = [f for f in rows.schema.fields if f.name not in ("t", "_runs")]
+
+    def cut(batches):
+        for batch in batches:
+            texts = []
+            for t, taken in zip(batch.column("t").to_pylist(), batch.column("_runs").to_pylist()):
+                at = [m.span() for m in _WORD.finditer(t)]
+                joined: list[list[int]] = []
+                for r in taken:
+                    if joined and joined[-1][0] == r["copy"] and joined[-1][2] == r["from_word"]:
+                        joined[-1][2] = r["to_word"]
+                    else:
+                        joined.append([r["copy"], r["from_word"], r["to_word"]])
+                texts.append("\n".join(t[at[a][0]:at[b - 1][1]] for _, a, b in joined))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(texts, pa.string())], [*(f.name for f in rest), "t"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", t string"
+    return rows.mapInArrow(cut, schema).withColumnRenamed("t", text).select(*df.columns)

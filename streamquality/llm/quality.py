@@ -46,6 +46,14 @@ def repeated_words(ws: Column) -> Column:
     return let(windows, of)
 
 
+def filtered(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that :func:`rules` keeps, with all their columns."""
+    tie = F.xxhash64(F.col(text))
+    judged = rules(docs.select(key, text, tie.alias("_tie")), trusted, key, text, carry=("_tie",), **settings)
+    kept = judged.filter("kept").select(F.col(key).alias("_key"), "_tie").distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (tie == F.col("_tie")), "left_semi")
+
+
 def model(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     """One row of ``raw``, ``target``: counts by bucket over all texts and over the trusted. The
     counts are summed where the texts are; ``buckets`` rows meet."""
@@ -74,16 +82,17 @@ def ratios(counts: DataFrame, buckets: int) -> DataFrame:
 
 
 def rules(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS,
-          threshold: float = THRESHOLD) -> DataFrame:
+          threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """``key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score,
-    kept`` of every row. ``trusted`` lists keys of the target; keys without a text don't matter.
+    kept`` of every row, and the columns of ``carry``. ``trusted`` lists keys of the target; keys
+    without a text don't matter.
 
     A null text has no words and fails the base. Repeated rows are judged alike. A text without
     n-grams scores 0. With no trusted texts all ratios rest on the smoothing alone, so nothing is
     known against any text: scores are then 0. Only the narrow result is joined with ``trusted``;
     texts move once, for those of the target."""
     learnt = stage(ratios(model(docs, trusted, key, text, buckets), buckets), "quality-ratios")
-    docs = docs.select(key, text, *[learnt.select(c).scalar().alias(f"ratios_{c}") for c in ("plain", "own")])
+    docs = docs.select(key, text, *carry, *[learnt.select(c).scalar().alias(f"ratios_{c}") for c in ("plain", "own")])
     plain, own = F.col("ratios_plain"), F.col("ratios_own")
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
@@ -95,11 +104,11 @@ def rules(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
         F.size(ws).cast("long").alias("n_words"), repeated_words(ws).cast("long").alias("n_repeat_words"),
         let(grams(ws, buckets), lambda gs: F.struct(mean(gs, plain).alias("plain"), mean(gs, own).alias("own"))).alias("mean")))
     rows = docs.select(
-        F.col(key), judged.alias("j"),
+        F.col(key), *carry, judged.alias("j"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-    rows = stage(rows.select(key, "j.n_words", "word_chars", "n_symbols", "n_dup_lines", "j.n_repeat_words",
+    rows = stage(rows.select(key, *carry, "j.n_words", "word_chars", "n_symbols", "n_dup_lines", "j.n_repeat_words",
                              F.col("j.mean.plain").alias("plain"), F.col("j.mean.own").alias("own")), "quality-judged")
     marks = trusted.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("known", F.lit(True))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -108,4 +117,4 @@ def rules(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
         score = F.lit(0.0)
     return rows.join(marks, key, "left").select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        score.alias("score"), (~failed & (score >= threshold)).alias("kept"))
+        score.alias("score"), (~failed & (score >= threshold)).alias("kept"), *carry)

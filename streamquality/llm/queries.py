@@ -101,7 +101,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85).drop("first", "tie")
 
 
 @query
