@@ -156,7 +156,7 @@ def main_text(page: str, keep: float = 0.08) -> str:
                 score += weight  # what the page itself calls its article
             if container[-1].split(".")[0] in ("article", "main", "body", "html"):
                 break
-        return score / scale
+        return score / scale if path else 1.0
 
     scores = {path: fused(path) for path in count}
     best = max(scores.values())

@@ -134,8 +134,11 @@ def repeats(after: pa.Array, before: pa.Array, rank: np.ndarray, length: int, gr
         fit = np.flatnonzero((l_size >= d) & (r_size >= length - d))
         key = r_class[fit] * (len(rank) + 1) + l_class[fit]
         by = np.lexsort((rank[fit], key))
-        same = np.r_[False, key[by][1:] == key[by][:-1]]
-        hit = fit[by[same]]
+        if not len(by):
+            continue
+        starts = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+        least = np.repeat(rank[fit[by[starts]]], np.diff(np.r_[starts, len(by)]))
+        hit = fit[by[rank[fit[by]] > least]]
         low[hit] = np.where(low[hit] < 0, d, low[hit])
         high[hit] = d
     return low, high
