@@ -2,8 +2,9 @@
 hashed n-grams, of a trusted target and of the raw corpus.
 
 Words and pairs of neighbouring words fall into ``buckets`` by hash. Each bucket's count over all
-texts and over the trusted ones gives two multinomials, each smoothed by one. A text's score is
-the mean, over its n-grams, of log p(target) - log p(raw), where each n-gram is compared with the
+texts and over the trusted ones gives two multinomials; one is added to each
+raw count, and the target is shrunk towards the raw corpus by ``buckets`` n-grams' worth, so few
+trusted texts say little. A text's score is the mean, over its n-grams, of log p(target) - log p(raw), where each n-gram is compared with the
 corpus without itself: else a text's own rare words count against it unless it is trusted. It is
 rejected where the mean falls below ``threshold``: no draw is involved, and every text is judged.
 """
@@ -17,7 +18,7 @@ from ..staging import stage
 from .columns import indexes, let, total, words
 
 BUCKETS = 10_000
-THRESHOLD = -0.12
+THRESHOLD = -0.13
 
 
 def grams(ws: Column, buckets: int) -> Column:
@@ -71,14 +72,16 @@ def model(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int
 def ratios(counts: DataFrame, buckets: int) -> DataFrame:
     """One row of ``plain``, ``own``: the log ratio of each bucket for texts outside and inside
     the target, each n-gram left out of the counts it is compared with."""
-    raw, target = F.col("raw"), F.col("target")
-    sums = counts.withColumns({"r": total(raw, F.lit(0).cast("long")) + buckets, "t": total(target, F.lit(0).cast("long")) + buckets})
-    base = F.log(F.col("r").cast("double")) - F.log(F.col("t").cast("double"))
-    less = lambda x: F.greatest(x - 1, F.lit(0)) + 1
+    sums = counts.withColumns({"r": (total(F.col("raw"), F.lit(0).cast("long")) + buckets).cast("double"),
+                               "t": (total(F.col("target"), F.lit(0).cast("long")) + buckets).cast("double")})
+
+    def ratio(own: int):
+        def of(x: Column) -> Column:
+            p = (F.greatest(x["raw"] - 1, F.lit(0)) + 1) / F.col("r")
+            return F.log((F.greatest(x["target"] - own, F.lit(0)) + buckets * p) / F.col("t")) - F.log(p)
+        return of
     at = F.arrays_zip("raw", "target")
-    return sums.select(
-        F.transform(at, lambda x: F.log((x["target"] + 1).cast("double")) - F.log(less(x["raw"]).cast("double")) + base).alias("plain"),
-        F.transform(at, lambda x: F.log(less(x["target"]).cast("double")) - F.log(less(x["raw"]).cast("double")) + base).alias("own"))
+    return sums.select(F.transform(at, ratio(0)).alias("plain"), F.transform(at, ratio(1)).alias("own"))
 
 
 def rules(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS,
@@ -88,8 +91,7 @@ def rules(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     without a text don't matter.
 
     A null text has no words and fails the base. Repeated rows are judged alike. A text without
-    n-grams scores 0. With no trusted texts all ratios rest on the smoothing alone, so nothing is
-    known against any text: scores are then 0. Only the narrow result is joined with ``trusted``;
+    n-grams scores 0, and so does every text where none is trusted. Only the narrow result is joined with ``trusted``;
     texts move once, for those of the target."""
     learnt = stage(ratios(model(docs, trusted, key, text, buckets), buckets), "quality-ratios")
     docs = docs.select(key, text, *carry, *[learnt.select(c).scalar().alias(f"ratios_{c}") for c in ("plain", "own")])
@@ -113,8 +115,6 @@ def rules(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     marks = trusted.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("known", F.lit(True))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     score = F.when(F.col("known"), F.col("own")).otherwise(F.col("plain"))
-    if trusted.isEmpty():
-        score = F.lit(0.0)
     return rows.join(marks, key, "left").select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         score.alias("score"), (~failed & (score >= threshold)).alias("kept"), *carry)
