@@ -421,10 +421,14 @@ def repeatability(cells: DataFrame, gap: float) -> DataFrame:
 def repeatability_by(cells: DataFrame, dimensions: list[str]) -> DataFrame:
     """Median spread by each dimension and overall, as grouping sets."""
     rows = cells.where("repetitions >= 2")
-    sets = [[F.col(d)] for d in dimensions] + [[]]
-    return rows.groupingSets(sets, *[F.col(d) for d in dimensions]).agg(
-        *[F.grouping(d).alias(f"all_{d}") for d in dimensions],
-        F.percentile("spread", F.lit(0.5)).alias("median_spread"), F.count("*").alias("cells"))
+    measures = [F.percentile("spread", F.lit(0.5)).alias("median_spread"), F.count("*").alias("cells")]
+    by = rows.groupingSets([[F.col(d)] for d in dimensions], *[F.col(d) for d in dimensions]).agg(
+        *[F.grouping(d).alias(f"all_{d}") for d in dimensions], *measures)
+    # grouping sets give no total over no rows; a plain aggregate does
+    total = rows.agg(*measures).select(
+        *[F.lit(None).cast(rows.schema[d].dataType).alias(d) for d in dimensions],
+        *[F.lit(1).cast("byte").alias(f"all_{d}") for d in dimensions], "median_spread", "cells")
+    return by.unionByName(total)
 
 
 def retention_dependence(curve: DataFrame, keys: list[str] = CELL) -> DataFrame:

@@ -58,7 +58,9 @@ def clip_coverage(intervals: DataFrame, kept: DataFrame) -> DataFrame:
     """Clips offered and kept per class, with a total row (class NULL)."""
     marked = intervals.select("clip", "class").join(
         kept.select("clip").distinct().withColumn("_k", F.lit(1)), "clip", "left")
-    return marked.rollup("class").agg(F.count("*").alias("offered"), F.count("_k").alias("kept"))
+    measures = [F.count("*").alias("offered"), F.count("_k").alias("kept")]
+    total = marked.agg(*measures).select(F.lit(None).cast(marked.schema["class"].dataType).alias("class"), "offered", "kept")
+    return marked.groupBy("class").agg(*measures).unionByName(total)
 
 
 def voxel_grid(samples: DataFrame, bins: int = 8) -> DataFrame:

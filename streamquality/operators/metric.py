@@ -209,14 +209,10 @@ def esr_v2(events: DataFrame, sensors: DataFrame, slice_size: int) -> DataFrame:
                          F.coalesce(1000.0 * ratio, F.lit(0.0)).alias("esr_v2"))
 
 
-def esr_v2_survey(v2: DataFrame, corpus: str, slices: int, recordings: int) -> DataFrame:
-    """Variant-to-plain ratios over the first slices of the first scoring recordings."""
+def esr_v2_survey(v2: DataFrame, corpus: str) -> DataFrame:
+    """Variant-to-plain ratios over every slice that scores, of every recording."""
     usable = v2.where(F.col("esr") > 0).withColumn("ratio", F.col("esr_v2") / F.col("esr"))
-    first = usable.where(F.col("slice") < slices)
-    names = first.select(corpus, KEY).distinct().withColumn(
-        "_rk", F.row_number().over(W.partitionBy(corpus).orderBy(KEY)))
-    kept = first.join(names.where(F.col("_rk") <= recordings), [corpus, KEY])
-    return kept.groupBy(corpus).agg(
+    return usable.groupBy(corpus).agg(
         F.count("*").alias("slices"), F.percentile("ratio", F.lit(0.5)).alias("ratio_median"),
         F.min("ratio").alias("ratio_min"), F.max("ratio").alias("ratio_max"),
         F.count_if(F.col("ratio") == 0).alias("collapsed"),

@@ -22,7 +22,7 @@ def retention_profile(points: DataFrame, keys: list[str]) -> DataFrame:
     """Per retention: mean, median, n and recordings above the unfiltered stream."""
     return points.groupBy(*keys, "r_pct").agg(
         F.avg("delta").alias("mean"), F.percentile("delta", F.lit(0.5)).alias("median"),
-        F.count("*").alias("n"), F.count_if(F.col("delta") > 0).alias("n_above_raw"))
+        F.count("*").alias("n"), F.count_if(F.col("delta") > 1e-12).alias("n_above_raw"))
 
 
 def fixed_gain(profile: DataFrame, keys: list[str]) -> DataFrame:
@@ -229,7 +229,7 @@ def before_after(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFr
 def specificity(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys, "method", "r_pct").agg(
         F.count("*").alias("n"), F.avg("before").alias("before"), F.avg("after").alias("after"),
-        F.count_if(F.col("after") < F.col("before")).alias("n_drop"))
+        F.count_if(F.col("after") - F.col("before") < -1e-12).alias("n_drop"))
 
 
 def specificity_counts(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -108,8 +108,8 @@ def time_order_report(df: DataFrame, key: str, source_idx: str, t: str = "t_us",
     ).withColumn("repaired", F.col("inversions") > 0)
 
 
-def cap_events(df: DataFrame, cap: int) -> DataFrame:
-    """The first ``cap`` events of every recording; a plain filter that reaches the scan."""
+def cap_events(df: DataFrame, cap: int | Column) -> DataFrame:
+    """The first ``cap`` events of every recording; a number is a filter that reaches the scan."""
     return df.where(F.col("event_idx") < cap)
 
 

@@ -189,10 +189,10 @@ def _(ws):
 @registry.add("p15_threshold_mask", Q.query(Q.STREAMS, """
 SELECT dataset, recording_id, count(*) AS events, count(*) FILTER (WHERE score <> 2.0) AS scored,
   count(*) FILTER (WHERE score < 0.005) AS kept FROM (
-  SELECT dataset, recording_id, CASE WHEN event_idx >= 900 THEN 2.0
+  SELECT dataset, recording_id, CASE WHEN event_idx % 50 = 0 THEN 2.0
      ELSE CAST(sc AS DOUBLE) / 10000 END AS score FROM s) GROUP BY ALL"""))
 def _(ws):
-    return ws.both().withColumn("score", F.when(F.col("event_idx") >= 900, 2.0).otherwise(
+    return ws.both().withColumn("score", F.when(F.col("event_idx") % 50 == 0, 2.0).otherwise(
         F.col("sc") / 10000)).groupBy("dataset", KEY).agg(
         F.count("*").alias("events"), F.count_if(F.col("score") != 2.0).alias("scored"),
         F.count_if(order.released_mask("score")).alias("kept"))
@@ -327,14 +327,13 @@ def _variant(ws):
 
 
 @registry.add("m14_variant_survey", Q.query([*WHOLE, MEDIAN,
-    """u AS (SELECT *, esr_v2 / esr AS ratio, dense_rank() OVER (PARTITION BY dataset ORDER BY recording_id) AS rk
-       FROM both2 WHERE esr > 0 AND slice < 4)"""], """
+    "u AS (SELECT *, esr_v2 / esr AS ratio FROM both2 WHERE esr > 0)"], """
 SELECT dataset, count(*) AS slices, round(median(ratio), 9) AS ratio_median, round(min(ratio), 9) AS ratio_min,
   round(max(ratio), 9) AS ratio_max, count(*) FILTER (WHERE ratio = 0) AS collapsed,
   round(log10(max(ratio) / min(ratio) FILTER (WHERE ratio > 0)), 9) AS spread_log10
-FROM u WHERE rk <= 3 GROUP BY ALL"""))
+FROM u GROUP BY ALL"""))
 def _(ws):
-    return rounded(metric.esr_v2_survey(_variant(ws), "dataset", 4, 3))
+    return rounded(metric.esr_v2_survey(_variant(ws), "dataset"))
 
 
 @registry.add("m15_sensor_occupancy", Q.query([*Q.STREAMS, FIRST], """

@@ -168,9 +168,12 @@ def _(ws):
         F.sum((F.col("event_idx") % 1000003) * (F.col("source_idx") % 1000003) % 1000003).alias("moved"))
 
 
-@registry.add("s11_event_cap", Q.query(Q.STREAMS, f"SELECT dataset, recording_id, {DIGEST} FROM s WHERE event_idx < 1200 GROUP BY ALL"))
+@registry.add("s11_event_cap", Q.query([*Q.STREAMS, "cap AS (SELECT dataset, max(n) // 2 AS cap FROM (SELECT dataset, recording_id, count(*) AS n FROM s GROUP BY ALL) GROUP BY ALL)"], f"""
+SELECT dataset, recording_id, {DIGEST} FROM s JOIN cap USING (dataset) WHERE event_idx < cap GROUP BY ALL"""))
 def _(ws):
-    return digest(order.cap_events(ws.both(), 1200), "dataset", KEY)
+    """The cap is half of each corpus's longest recording, so the share it keeps holds at any size."""
+    caps = ws.recordings().groupBy("dataset").agg(div(F.max("n_events"), 2).alias("cap"))
+    return digest(order.cap_events(ws.both().join(F.broadcast(caps), "dataset"), F.col("cap")), "dataset", KEY)
 
 
 @registry.add("s12_recording_limit", Q.query(Q.STREAMS, f"""
@@ -200,9 +203,9 @@ def clips(ws) -> DataFrame:
 
 
 @registry.add("s13_clip_samples", Q.query([Q.EV, INTERVALS.format(minimum=12)], """
-SELECT clip, class, count(*) AS n, CAST(sum(t_rel) AS BIGINT) AS t_sum, CAST(max(j) AS BIGINT) AS last_j FROM cs WHERE j < 12 GROUP BY ALL"""))
+SELECT clip, class, count(*) AS n, CAST(sum(t_rel) AS BIGINT) AS t_sum, CAST(max(j) AS BIGINT) AS last_j FROM cs GROUP BY ALL"""))
 def _(ws):
-    s = downstream.clip_samples(clips(ws), 12, 12)
+    s = downstream.clip_samples(clips(ws), None, 12)
     return s.groupBy("clip", "class").agg(F.count("*").alias("n"), F.sum("t_rel").alias("t_sum"), F.max("j").alias("last_j"))
 
 
@@ -247,7 +250,7 @@ def _(ws):
 
 
 def imported(ws) -> DataFrame:
-    return ws.stream(EVENT_STREAM).select(KEY, "event_idx", F.when(F.col("event_idx") >= 1900, 2.0).otherwise(
+    return ws.stream(EVENT_STREAM).select(KEY, "event_idx", F.when(F.col("event_idx") % 40 == 0, 2.0).otherwise(
         F.col("sc") / 1000).alias("score"))
 
 
@@ -258,7 +261,7 @@ def _(ws):
     return readers.import_scores(ws.stream(EVENT_STREAM), scores)[1]
 
 
-@registry.add("s20_score_manifest", Q.query([Q.EV, "im AS (SELECT recording_id, event_idx, CASE WHEN event_idx >= 1900 THEN 2.0 ELSE sc / 1000 END AS score FROM ev)"], f"""
+@registry.add("s20_score_manifest", Q.query([Q.EV, "im AS (SELECT recording_id, event_idx, CASE WHEN event_idx % 40 = 0 THEN 2.0 ELSE sc / 1000 END AS score FROM ev)"], f"""
 SELECT recording_id, count(*) AS events, count(*) FILTER (WHERE score <> 2.0) AS scored, count(*) FILTER (WHERE score < 0.005) AS kept,
   bit_xor({Q.word('recording_id', 'event_idx', 'CAST(round(score * 1e6) AS BIGINT)')}) AS checksum FROM im GROUP BY ALL"""))
 def _(ws):

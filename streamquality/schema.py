@@ -11,9 +11,6 @@ SLICE = 30_000
 BLOCK = 10_240
 SEED = 20260726
 RETENTION_PCT = [5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 65, 70, 75, 80, 85, 90, 95, 100]
-BENCHMARK_CAP = 1_000_000
-REGIME_CAP = 300_000
-GESTURE_CAP = 80_000
 NATIVE_GRID_STEP = 0.05
 NATIVE_REL_TOL = 0.5
 HOT_PERCENTILE = 99.9

@@ -55,14 +55,25 @@ def pending(recordings: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """All or nothing: written beside the target, then renamed over it by the file system."""
+    """All or nothing: written beside the target; the old result is renamed aside, the new one
+    renamed in and the old one deleted, or put back if that fails."""
     spark = df.sparkSession
     partial = f"{path.rstrip('/')}.partial-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(partial)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     source, target = hadoop.Path(partial), hadoop.Path(path)
     system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if system.exists(target):
-        system.delete(target, True)
-    if not system.rename(source, target):
+    old = hadoop.Path(partial.replace(".partial-", ".old-"))
+    replaced = system.exists(target)
+    if replaced and not system.rename(target, old):
+        raise RuntimeError(f"could not put {path} aside")
+    try:
+        done = system.rename(source, target)
+    except Exception:
+        done = False
+    if not done:
+        if replaced:
+            system.rename(old, target)
         raise RuntimeError(f"could not publish {path}")
+    if replaced:
+        system.delete(old, True)

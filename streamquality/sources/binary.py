@@ -36,6 +36,14 @@ def header_length(head: bytes) -> int:
     return at
 
 
+def read_header(handle) -> int:
+    """:func:`header_length` of an open file, however long its header is."""
+    head = handle.read(1 << 16)
+    while header_length(head) == len(head) and (more := handle.read(len(head))):
+        head += more
+    return header_length(head)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Paths and lengths only; the content column is never requested."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
@@ -57,7 +65,7 @@ def byte_ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
         for pdf in batches:
             for path_, length, start in zip(pdf["path"], pdf["length"], pdf["start"]):
                 with _open(path_) as handle:
-                    begin = header_length(handle.read(1 << 20))
+                    begin = read_header(handle)
                     handle.seek(begin + start)
                     body = handle.read(min(size, max(0, (length - begin) // 8 * 8 - start)))
                 if body:
@@ -100,7 +108,7 @@ def packet_index(spark: SparkSession, path: str) -> DataFrame:
             for path_, length in zip(pdf["path"], pdf["length"]):
                 rows, first = [], 0
                 with _open(path_) as handle:
-                    at = header_length(handle.read(1 << 20))
+                    at = read_header(handle)
                     while at + PACKET_HEADER <= length:
                         handle.seek(at)
                         kind, size, overflow, number = _packet_fields(handle.read(PACKET_HEADER))

@@ -13,13 +13,15 @@ KEY = "recording_id"
 
 
 def parse_whitespace(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Whitespace rows ``t x y p [label]`` as typed columns; rows that are not numbers go.
+    """Whitespace rows ``t x y p [label]`` as typed columns.
 
-    A missing fifth column leaves the label NULL.
+    Blank rows and headers (whose first field begins with a letter or ``#``) go; any other row
+    that is not made of integers fails the job. A missing fifth column leaves the label NULL.
     """
     parts = F.split(F.trim(F.col(value)), r"\s+")
-    typed = lines.withColumn("_p", parts).where(
-        (F.size("_p") >= 4) & F.get("_p", F.lit(0)).rlike(r"^[0-9]+$"))
+    whole = F.col(value).rlike(r"^\s*-?[0-9]+(\s+-?[0-9]+){3,}\s*$")
+    checked = F.when(whole, parts).otherwise(F.raise_error(F.concat(F.lit("not an event row: "), value)))
+    typed = lines.where(~F.col(value).rlike(r"^\s*([A-Za-z#].*)?$")).withColumn("_p", checked)
     number = lambda i, t: F.get("_p", F.lit(i)).cast(t)
     return typed.select("*", number(0, "bigint").alias("t_us"), number(1, "int").alias("x"),
                         number(2, "int").alias("y"), number(3, "int").alias("p"),
@@ -98,14 +100,22 @@ def limit_recordings(events: DataFrame, recordings: DataFrame, limit: int) -> Da
 
 
 def import_scores(events: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events with imported scores, and per recording the rows without a partner on each side."""
+    """Events with imported scores, and per recording the rows without a partner on each side.
+
+    Reading the first fails the job where an event lacks a score or a score its event; the second
+    tells how many do.
+    """
     on = [KEY, "event_idx"]
     left = events.select(*on, F.lit(1).alias("_e"))
     right = scores.select(*on, F.lit(1).alias("_s"))
     report = left.join(right, on, "full").groupBy(KEY).agg(
         F.count("_e").alias("events"), F.count("_s").alias("scores"),
         F.count_if(F.col("_e").isNull() | F.col("_s").isNull()).alias("unmatched"))
-    return events.join(scores, on), report
+    both = events.withColumn("_e", F.lit(1)).join(scores.withColumn("_s", F.lit(1)), on, "full")
+    paired = F.col("_e").isNotNull() & F.col("_s").isNotNull()
+    fail = F.raise_error(F.concat(F.lit("no partner for "), KEY, F.lit(" event "), F.col("event_idx").cast("string")))
+    # the check is the filter itself, so it can't be optimised away
+    return both.where(F.when(paired, True).otherwise(fail.cast("boolean"))).drop("_e", "_s"), report
 
 
 def score_manifest(scored: DataFrame, algorithm: str = "xxhash64") -> DataFrame:

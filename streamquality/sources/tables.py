@@ -11,6 +11,7 @@ from ..operators import grid
 from ..operators.order import assign_event_index
 from ..operators.scorers import label_oracle, seeded_random
 from ..schema import RETENTION_PCT, SEED, Method
+from ..session import ship_package
 from ..staging import stage
 
 
@@ -162,6 +163,7 @@ _WORKSPACES: dict[tuple[str, str], Workspace] = {}
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+    ship_package(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WORKSPACES:
         _WORKSPACES[key] = Workspace(spark, sf_dir)

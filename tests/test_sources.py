@@ -102,6 +102,43 @@ def test_incremental_sink_resumes(spark, stream, tmp_path):
     append_results(spark, source, target, check, "d", score)
     append_results(spark, source, target, check, "d", score)
     assert [r["recording_id"] for r in spark.read.parquet(target).collect()] == ["a"]
-    frame.where("recording_id <> 'c'").select(columns).coalesce(1).write.mode("append").parquet(source)
+    frame.where("recording_id = 'b'").select(columns).coalesce(1).write.mode("append").parquet(source)
     append_results(spark, source, target, check, "d", score)
     assert sorted(r["recording_id"] for r in spark.read.parquet(target).collect()) == ["a", "b"]
+    frame.where("recording_id = 'a'").select(columns).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="scored without"):
+        append_results(spark, source, target, check, "d", score)
+
+
+def test_whitespace_rows_that_are_no_events_fail(spark):
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "value string")
+    got = readers.parse_whitespace(rows("t x y p label", "# note", " ", "-5 1 2 0 1", " 7\t3 4 1")).collect()
+    assert [(r["t_us"], r["x"], r["y"], r["p"], r["label"]) for r in got] == [(-5, 1, 2, 0, 1), (7, 3, 4, 1, None)]
+    for bad in ("12.5 1 2 0 1", "1 2 3", "1 2 three 0 1"):
+        with pytest.raises(Exception, match="not an event row"):
+            readers.parse_whitespace(rows("t x y p", bad)).collect()
+
+
+def test_scores_without_events_and_events_without_scores_fail(spark):
+    events = spark.createDataFrame([("a", i) for i in range(3)], "recording_id string, event_idx long")
+    scores = spark.createDataFrame([("a", i, 0.5) for i in range(3)], "recording_id string, event_idx long, score double")
+    assert readers.import_scores(events, scores)[0].count() == 3
+    for e, s in ((events, scores.where("event_idx < 2")), (events.where("event_idx < 2"), scores)):
+        joined, report = readers.import_scores(e, s)
+        assert report.first()["unmatched"] == 1
+        with pytest.raises(Exception, match="no partner"):
+            joined.collect()
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    head = b"".join(b"# %d\n" % i for i in range(200_000))
+    (tmp_path / "a.aedat").write_bytes(head + struct.pack(">II", 1 << 12, 9))
+    assert [r["t_us"] for r in binary.decode_v2(binary.byte_ranges(spark, str(tmp_path))).collect()] == [9]
+
+
+def test_failed_publish_keeps_the_old_table(spark, tmp_path):
+    target = str(tmp_path / "out")
+    artifacts.publish(spark.range(5), target)
+    with pytest.raises(Exception):
+        artifacts.publish(spark.range(3).selectExpr("raise_error('stop') as id"), target)
+    assert spark.read.parquet(target).count() == 5
