@@ -4,42 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..operators.order import running_offsets
-from ..staging import attach
+from ..operators.order import running_sums
 from .numeric import safe_corr
 
-BUCKETS = 1024
-
 
 def distinct_ranks(df: DataFrame, keys: list[str], value: str, out: str,
-                   counts: dict[str, Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
+                   counts: dict[str, Column] | None = None) -> DataFrame:
     """Average rank of every distinct ``value`` within ``keys``, with its row counts.
 
-    Distinct values are spread over equal-width buckets between the group's bounds and ranked
-    by bucket offset plus position in the bucket. Ties, however many, are one row (counted on
-    the map side), and no task sorts a whole group. ``counts`` adds conditional row counts.
+    Distinct values are range-partitioned by (keys, value) and ranked by running sums over the
+    ranges, so ranges are balanced however the values lie. Ties, however many, are one row
+    (counted on the map side), and no task sorts a whole group. ``counts`` adds conditional row
+    counts.
     """
     extra = [c.alias(n) for n, c in (counts or {}).items()]
     values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count("*").alias("_c"), *extra)
-    bounds = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")).cast("double")
-    placed = attach(values, bounds, keys, name="bounds").withColumn("_b", F.when(
-        width > 0, F.floor((F.col(value) - F.col("_lo")) / width * buckets))
-        .otherwise(F.lit(0)).cast("bigint"))
-    sizes = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
-    before = running_offsets(sizes, keys, "_b", ["_c"]).drop("_c_total")
-    w = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (placed.withColumn("_w", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-            .join(before, [*keys, "_b"])
-            .select(*keys, value, *(counts or {}), F.col("_c").alias(f"{out}_ties"),
-                    (F.col("_c_before") + F.col("_w") + (F.col("_c") + 1) / 2.0).alias(out)))
-
-
-def average_ranks(df: DataFrame, keys: list[str], value: str, out: str,
-                  buckets: int = BUCKETS) -> DataFrame:
+    placed = running_sums(values, keys, [value], ["_c"], "ranks")
+    return placed.select(*keys, value, *(counts or {}), F.col("_c").alias(f"{out}_ties"),
+                         (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias(out))
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Add the average rank of ``value`` within ``keys``; rows with NULL values are dropped."""
-    return df.join(distinct_ranks(df, keys, value, out, buckets=buckets), [*keys, value])
+    return df.join(distinct_ranks(df, keys, value, out), [*keys, value])
 
 
 def small_group_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from streamquality.functions import ranks, tails
 from streamquality.operators import analysis, contrasts, downstream, nulls, regime, resample
+from streamquality.operators.order import range_ordered
 
 # A published table of (method, retention %, MESR, accuracy).
 PUBLISHED = [
@@ -62,7 +63,7 @@ def test_published_detectable_rho(published):
 
 def test_both_rank_routes_agree(spark):
     rows = spark.range(2000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 101).cast("double").alias("v"), F.col("id"))
-    a = {r["id"]: r["r"] for r in ranks.average_ranks(rows, ["k"], "v", "r", buckets=7).collect()}
+    a = {r["id"]: r["r"] for r in ranks.average_ranks(rows, ["k"], "v", "r").collect()}
     b = {r["id"]: r["r"] for r in ranks.small_group_ranks(rows, ["k"], "v", "r").collect()}
     assert a == b
 
@@ -191,3 +192,12 @@ def test_frames_short_clip_goes_to_the_last(spark):
     rows = spark.createDataFrame([("c", j, 0, 0, 1, 3) for j in range(3)], "clip string, j bigint, x int, y int, p int, clip_events bigint")
     got = downstream.number_frames(rows, 16).collect()
     assert [(r["frame"], r["n"]) for r in got] == [(15, 3)]
+
+
+def test_ranks_of_values_with_an_outlier_stay_balanced(spark):
+    rows = spark.range(20_000).select(F.lit("g").alias("k"), (F.col("id") / 7.0).alias("v")).union(
+        spark.range(1).select(F.lit("g"), F.lit(1e9)))
+    ranked = ranks.distinct_ranks(rows, ["k"], "v", "r")
+    assert [tuple(r)[:1] for r in ranked.orderBy(F.desc("v")).select("r").limit(2).collect()] == [(20_001.0,), (20_000.0,)]
+    parts = range_ordered(rows, ["k"], ["v"], "balance").groupBy("_part").count()
+    assert parts.agg(F.max("count")).first()[0] < 20_000 / 4
