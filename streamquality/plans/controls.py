@@ -416,10 +416,19 @@ def _(ws):
     return rounded(resample.paired_accuracy(predictions(ws), accuracy_pairs(ws), DRAWS, algorithm="md5"))
 
 
-@registry.add("b5_mcnemar_p_values")
-def _(ws):
-    rows = resample.paired_accuracy(predictions(ws), accuracy_pairs(ws), 200)
-    return rows.select("a", "b", "only_a", "only_b", mcnemar_exact("only_a", "only_b").alias("p"))
+@registry.add("b5_mcnemar_p_values", Q.query([PRED, PAIRSQL,
+    """mc AS (SELECT p.a, p.b, count(*) FILTER (WHERE x.prediction = x.target AND y.prediction <> y.target) AS only_a,
+       count(*) FILTER (WHERE x.prediction <> x.target AND y.prediction = y.target) AS only_b
+       FROM prs p JOIN pred x ON x.condition = p.a JOIN pred y ON y.condition = p.b AND y.clip = x.clip GROUP BY ALL)"""], """
+SELECT a, b, only_a, only_b, round(least(1.0, 2 * (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2.0)))
+  FROM range(0, least(only_a, only_b) + 1) g(i))), 7) AS p FROM mc"""))
+def _(ws):
+    right = predictions(ws).select("condition", "clip", (F.col("prediction") == F.col("target")).alias("right"))
+    both = accuracy_pairs(ws).join(right.withColumnsRenamed({"condition": "a", "right": "right_a"}), "a").join(
+        right.withColumnsRenamed({"condition": "b", "right": "right_b"}), ["b", "clip"])
+    rows = both.groupBy("a", "b").agg(F.count_if(F.col("right_a") & ~F.col("right_b")).alias("only_a"),
+                                      F.count_if(~F.col("right_a") & F.col("right_b")).alias("only_b"))
+    return rows.select("a", "b", "only_a", "only_b", F.round(mcnemar_exact("only_a", "only_b"), 7).alias("p"))
 
 
 @registry.add("b6_pairing_rule", Q.query([PRED, PAIRSQL], "SELECT a, b FROM prs"))

@@ -122,9 +122,13 @@ def _(ws):
     return _uout(contrasts.two_group(long_profiles(ws), ["stat"], "synthetic", "value"), "stat")
 
 
-@registry.add("r8_separation_p_values")
+@registry.add("r8_separation_p_values", Q.query([*PROF, LONG, "f AS (SELECT *, synthetic AS first FROM lng)", UTEST.format(o="ut", k="stat", t="f"),
+    "zz AS (SELECT stat, 1 - 2 * u / (n1 * n2) AS rb, CASE WHEN sd > 0 AND u IS NOT NULL THEN greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0) / sd END AS z FROM ut)",
+    f"pp AS (SELECT stat, rb, CASE WHEN z IS NOT NULL THEN {Q.normal_p('z')} END AS p FROM zz)"],
+    f"SELECT stat, round(p, 7) AS p_value, p < {contrasts.P_BAR} AND abs(rb) > {contrasts.EFFECT_BAR} AS separates FROM pp"))
 def _(ws):
-    return contrasts.with_separation(contrasts.two_group(long_profiles(ws), ["stat"], "synthetic", "value"))
+    tested = contrasts.with_separation(contrasts.two_group(long_profiles(ws), ["stat"], "synthetic", "value"))
+    return rounded(tested.select("stat", "p_value", "separates"), 7)
 
 
 @registry.add("r8_two_group_on_crossed", Q.query(["f AS (SELECT l_linenumber % 2 AS odd, l_quantity > 25 AS first, l_extendedprice AS value FROM lineitem)",
@@ -188,10 +192,12 @@ ft AS (SELECT level, sum(r) AS sr, count(*) AS n, sum(CAST(ties AS DOUBLE) * tie
 chi AS (SELECT max(n) AS blocks, (12.0 / (max(n) * 20) * sum(sr * sr) - 15.0 * max(n)) / (1 - sum(tt) / (max(n) * 60)) AS chi2 FROM ft)"""
 
 
-@registry.add("r11_level_contrast", Q.query([CROSSED, MLR, FRIED,
-    "df AS (SELECT l0 - l3 AS d FROM ml WHERE l0 <> l3)",
+SIGNED = ["df AS (SELECT l0 - l3 AS d FROM ml WHERE l0 <> l3)",
     """wr AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY abs(d)) AS ties FROM df)""",
-    """wx AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS wp, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS wm, sum(CAST(ties AS DOUBLE) * ties - 1) AS tt FROM wr)""",
+    """wx AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS wp, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS wm, sum(CAST(ties AS DOUBLE) * ties - 1) AS tt FROM wr)"""]
+
+
+@registry.add("r11_level_contrast", Q.query([CROSSED, MLR, FRIED, *SIGNED,
     "shp AS (SELECT count(*) FILTER (WHERE l3 > l0) AS scenes_rising, count(*) FILTER (WHERE l0 < l1 AND l1 < l2 AND l2 < l3) AS scenes_monotone FROM ml)"], """
 SELECT blocks, round(chi2, 9) AS chi2, least(wp, wm) AS w, wp AS w_plus, wm AS w_minus,
   round((least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0), 9) AS z, scenes_rising, scenes_monotone
@@ -200,9 +206,12 @@ def _(ws):
     return rounded(contrasts.level_contrast(matched(ws), "scene", LEVELS))
 
 
-@registry.add("r11_level_p_values")
+@registry.add("r11_level_p_values", Q.query([CROSSED, MLR, FRIED, *SIGNED,
+    "zz AS (SELECT blocks, chi2, (least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0) AS z FROM chi CROSS JOIN wx)"],
+    f"SELECT blocks, round({Q.chi2_p_three('chi2')}, 7) AS friedman_p, round({Q.normal_p('z')}, 7) AS wilcoxon_p FROM zz"))
 def _(ws):
-    return contrasts.with_level_p(contrasts.level_contrast(matched(ws), "scene", LEVELS), 4)
+    tested = contrasts.with_level_p(contrasts.level_contrast(matched(ws), "scene", LEVELS), 4)
+    return rounded(tested.select("blocks", "friedman_p", "wilcoxon_p"), 7)
 
 
 @registry.add("r12_range_containment", Q.query([CROSSED], """
@@ -256,10 +265,12 @@ def _(ws):
                    .join(chi.select("g", "chi2"), "g").drop("g"))
 
 
-@registry.add("r14_rate_p_values")
+@registry.add("r14_rate_p_values", Q.query([CROSSED, "c2 AS (SELECT 1 AS g, rate, stat FROM cr)", SPEAR.format(o="sp", k="g", x="rate", y="stat", t="c2")],
+    f"SELECT n, round(rho, 9) AS rho, round({Q.rho_p('rho', 'n')}, 7) AS p FROM sp"))
 def _(ws):
     rho = ranks.spearman(crossed(ws).withColumn("g", F.lit(1)), ["g"], "rate", "stat")
-    return rho.select("n", "rho", two_sided_t(ranks.rho_t(F.col("rho"), F.col("n")), F.col("n") - 2).alias("p"))
+    tested = rho.select("n", "rho", two_sided_t(ranks.rho_t(F.col("rho"), F.col("n")), F.col("n") - 2).alias("p"))
+    return tested.select("n", F.round("rho", 9).alias("rho"), F.round("p", 7).alias("p"))
 
 
 @registry.add("r15_blank_signature", Q.query([*PROF, "bl AS (SELECT median(hot_pixel_share) AS md, min(hot_pixel_share) AS mn, max(hot_pixel_share) AS mx FROM prof WHERE dataset = 'ev')"], """

@@ -114,3 +114,36 @@ def mesr_ctes(source: str, out: str, keys: str) -> list[str]:
   sum(1 - pow(1 - CAST((2 * nsl) // 3 AS DOUBLE) / nsl, n)) AS ln FROM {out}_c GROUP BY {keys}, slice)""",
         f"""{out} AS (SELECT {keys}, avg(sqrt(ntss * ln)) AS mesr, count(*) AS slices FROM {out}_s WHERE ne = nsl GROUP BY {keys})""",
     ]
+
+
+# p-values: integrals by Simpson's rule over 2000 steps, binomial sums by lgamma
+
+def _simpson(of: str, to: str) -> str:
+    """Integral of ``of`` (in the variable ``v``) from 0 to ``to``."""
+    return f"""((SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {of.replace("{v}", f"({to}) * i / 2000.0")})
+  FROM range(0, 2001) g(i)) * ({to}) / 6000.0)"""
+
+
+def normal_p(z: str) -> str:
+    """Two-sided, of a standard normal."""
+    return f"(1 - 2 / sqrt(2 * pi()) * {_simpson('exp(-0.5 * pow({v}, 2))', f'least(abs({z}), 12.0)')})"
+
+
+def t_p(t: str, df: str) -> str:
+    """Two-sided, of a t distribution: its tail as an integral over the angle."""
+    tail = _simpson(f"pow(sin({{v}}), ({df}) - 1)", f"atan2(sqrt(CAST({df} AS DOUBLE)), abs({t}))")
+    return f"CASE WHEN ({df}) > 0 THEN 2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi()) * {tail} END"
+
+
+def rho_p(rho: str, n: str, controls: int = 0) -> str:
+    t = f"({rho} * sqrt(greatest({n} - 2 - {controls}, 0) / greatest(1 - {rho} * {rho}, 2.2e-16)))"
+    return t_p(t, f"{n} - 2 - {controls}")
+
+
+def chi2_p_even(x: str, half: str) -> str:
+    """Upper tail for 2 * ``half`` degrees of freedom."""
+    return f"(SELECT sum(exp(-({x}) / 2 + i * ln(greatest(({x}) / 2, 1e-300)) - lgamma(i + 1))) FROM range(0, {half}) g(i))"
+
+
+def chi2_p_three(x: str) -> str:
+    return f"({normal_p(f'sqrt({x})')} + sqrt(2 * ({x}) / pi()) * exp(-({x}) / 2))"

@@ -110,9 +110,12 @@ def _(ws):
     return rounded(downstream.mean_within(per, ["dataset", "seed"]))
 
 
-@registry.add("w5_fisher_combination")
+@registry.add("w5_fisher_combination", Q.query([*WITHIN, f"wp AS (SELECT dataset, {Q.rho_p('rho', 'n')} AS p FROM wr WHERE n >= 3 AND rho IS NOT NULL)",
+    "fx AS (SELECT dataset, -2 * sum(ln(p)) AS x, count(*) AS levels FROM wp GROUP BY dataset)"],
+    f"SELECT dataset, levels, round({Q.chi2_p_even('x', 'levels')}, 7) AS fisher_p FROM fx"))
 def _(ws):
-    return downstream.fisher(downstream.within_retention(conditions(ws), ["dataset"]), ["dataset"])
+    tested = downstream.fisher(downstream.within_retention(conditions(ws), ["dataset"]), ["dataset"])
+    return rounded(tested.select("dataset", "levels", "fisher_p"), 7)
 
 
 @registry.add("w6_detectable_rho", Q.query([*COND, "nn AS (SELECT dataset, count(mesr) AS n FROM cnd GROUP BY dataset)"], f"""
@@ -122,10 +125,16 @@ def _(ws):
     return rounded(downstream.detectable_rho(sizes))
 
 
-@registry.add("w6_power")
+def _power(target: float) -> str:
+    x = f"(atanh({target}) * sqrt(n - 3.0) - {downstream.probit(0.975)!r})"
+    return f"round(0.5 * (1 + sign({x}) * (1 - {Q.normal_p(x)})), 7)"
+
+
+@registry.add("w6_power", Q.query([*COND, "nn AS (SELECT dataset, count(mesr) AS n FROM cnd GROUP BY dataset)"],
+    f"SELECT dataset, n, {_power(0.3)} AS power_3, {_power(0.5)} AS power_5 FROM nn"))
 def _(ws):
     sizes = conditions(ws).groupBy("dataset").agg(F.count("mesr").alias("n"))
-    return downstream.with_power(downstream.detectable_rho(sizes), [0.3, 0.5])
+    return rounded(downstream.with_power(sizes, [0.3, 0.5]), 7)
 
 
 COHORTS = [*COND, """cf AS (SELECT *, row_number() OVER (PARTITION BY dataset, r_pct ORDER BY method) AS i FROM cnd WHERE mesr IS NOT NULL),
@@ -141,10 +150,13 @@ def _(ws):
     return rounded(downstream.condition_summary(conditions(ws)))
 
 
-@registry.add("w7_p_values")
+@registry.add("w7_p_values", Q.query(COHORTS, f"""
+SELECT dataset, cohort, s1.n, round({Q.rho_p('s1.rho', 's1.n')}, 7) AS rho_p, round({Q.rho_p('s4.rho', 's1.n', 1)}, 7) AS partial_rho_p
+FROM s1 JOIN s4 USING (dataset, cohort)"""))
 def _(ws):
     rows = downstream.condition_summary(conditions(ws))
-    return downstream.with_rho_p(downstream.with_rho_p(rows, "rho", "n"), "partial_rho", "n", 1)
+    tested = downstream.with_rho_p(downstream.with_rho_p(rows, "rho", "n"), "partial_rho", "n", 1)
+    return rounded(tested.select("dataset", "cohort", "n", "rho_p", "partial_rho_p"), 7)
 
 
 @registry.add("w8_condition_table", Q.query(COND, """
