@@ -129,6 +129,28 @@ def paired_accuracy(predictions: DataFrame, pairs: DataFrame, draws: int = DRAWS
     return counts.join(ci, ["a", "b"])
 
 
+def subject_deltas(predictions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Accuracy difference of each condition pair within each subject, on shared clips."""
+    right = predictions.select("condition", "clip", "subject", (F.col("prediction") == F.col("target")).cast("int").alias("ok"))
+    a = attach(right.withColumnsRenamed({"condition": "a", "ok": "ok_a"}), pairs, ["a"], name="pairs")
+    b = right.select(F.col("condition").alias("b"), "clip", F.col("ok").alias("ok_b"))
+    return a.join(b, ["b", "clip"]).groupBy("a", "b", "subject").agg(
+        F.avg(F.col("ok_a") - F.col("ok_b")).alias("delta"), F.count("*").alias("clips"))
+
+
+def interval_verdicts(nominal: DataFrame, family: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """How often an interval lies above and below zero, nominally and family-wise, over ``at``;
+    positive means, and where the nominal interval is not above zero (in order of ``at``)."""
+    both = nominal.select(*keys, at, "mean", "lo", "hi").join(
+        family.select(*keys, at, F.col("lo").alias("family_lo"), F.col("hi").alias("family_hi")), [*keys, at])
+    above = F.coalesce(F.col("lo") > ZERO, F.lit(False))
+    return both.groupBy(*keys).agg(
+        F.count("*").alias("points"), F.count_if(F.col("mean") > ZERO).alias("positive_means"),
+        F.count_if(above).alias("above"), F.count_if(F.col("hi") < -ZERO).alias("below"),
+        F.count_if(F.col("family_lo") > ZERO).alias("family_above"), F.count_if(F.col("family_hi") < -ZERO).alias("family_below"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~above, F.col(at)))), lambda x: x.cast("string")), ",").alias("not_above"))
+
+
 def baseline_pairs(conditions: DataFrame, direct: list[tuple[str, str]]) -> DataFrame:
     """Each condition against ``<prefix>__unfiltered``, plus declared direct pairs."""
     names = conditions.select("condition").distinct()

@@ -70,6 +70,21 @@ def _(ws):
                                               alpha=0.05 / 19, algorithm="md5"))
 
 
+@registry.add("n2_interval_verdicts", Q.query([*Q.BENCH, DELTA, "np AS (SELECT * FROM dl WHERE method IN ('raw', 'random_null') AND r_pct < 100)",
+    *boot_ctes("np", "bn", "dataset, method, r_pct", "delta", "scene", DRAWS),
+    *boot_ctes("np", "bf", "dataset, method, r_pct", "delta", "scene", DRAWS, alpha="(0.05 / 19)")], """
+SELECT dataset, method, count(*) AS points, count(*) FILTER (WHERE bn.mean > 1e-12) AS positive_means,
+  count(*) FILTER (WHERE bn.lo > 1e-12) AS above, count(*) FILTER (WHERE bn.hi < -1e-12) AS below,
+  count(*) FILTER (WHERE bf.lo > 1e-12) AS family_above, count(*) FILTER (WHERE bf.hi < -1e-12) AS family_below,
+  coalesce(string_agg(CAST(r_pct AS VARCHAR), ',' ORDER BY r_pct) FILTER (WHERE NOT coalesce(bn.lo > 1e-12, false)), '') AS not_above
+FROM bn JOIN bf USING (dataset, method, r_pct) GROUP BY dataset, method"""))
+def _(ws):
+    below = null_points(ws).where("r_pct < 100")
+    interval = lambda alpha: resample.cluster_bootstrap(below, ["dataset", "method", "r_pct"], "delta", "scene", DRAWS,
+                                                        alpha=alpha, algorithm="md5")
+    return resample.interval_verdicts(interval(0.05), interval(0.05 / 19), ["dataset", "method"], "r_pct")
+
+
 SEEDED = [Q.EV, Q.LI, Q.BOTH, Q.GRID, f"""sscored AS (SELECT s.*, seed, CAST({Q.prio('seed', 'recording_id', 'event_idx')} AS DOUBLE) AS score
   FROM s CROSS JOIN (VALUES (1), (2), (3)) t(seed))""", *Q.curve_ctes("sscored", "sc0", "dataset, recording_id, seed"),
   """scv AS (SELECT c.*, b.mesr AS raw_mesr, c.mesr - b.mesr AS delta FROM sc0 c JOIN sc0 b ON b.dataset = c.dataset AND b.recording_id = c.recording_id AND b.seed = c.seed AND b.r_pct = 100)""",
@@ -416,6 +431,13 @@ def _(ws):
     return rounded(resample.paired_accuracy(predictions(ws), accuracy_pairs(ws), DRAWS, algorithm="md5"))
 
 
+@registry.add("b5_subject_deltas", Q.query([PRED, PAIRSQL], """
+SELECT p.a, p.b, x.subject, round(avg(CAST(x.prediction = x.target AS INTEGER) - CAST(y.prediction = y.target AS INTEGER)), 9) AS delta, count(*) AS clips
+FROM prs p JOIN pred x ON x.condition = p.a JOIN pred y ON y.condition = p.b AND y.clip = x.clip GROUP BY ALL"""))
+def _(ws):
+    return rounded(resample.subject_deltas(predictions(ws), accuracy_pairs(ws)))
+
+
 @registry.add("b5_mcnemar_p_values", Q.query([PRED, PAIRSQL,
     """mc AS (SELECT p.a, p.b, count(*) FILTER (WHERE x.prediction = x.target AND y.prediction <> y.target) AS only_a,
        count(*) FILTER (WHERE x.prediction <> x.target AND y.prediction = y.target) AS only_b

@@ -267,12 +267,14 @@ def _(ws):
     return downstream.confusion(predictions(ws), ["condition"])
 
 
-@registry.add("w14_reproduction_gate", Q.query([PRED], """
-SELECT condition, round(abs(avg(CASE WHEN prediction = target THEN 1.0 ELSE 0.0 END) - count(*) FILTER (WHERE prediction = target) / CAST(count(*) AS DOUBLE)), 9) AS gap,
-  abs(avg(CASE WHEN prediction = target THEN 1.0 ELSE 0.0 END) - count(*) FILTER (WHERE prediction = target) / CAST(count(*) AS DOUBLE)) <= 1e-6 AS passes FROM pred GROUP BY ALL"""))
+@registry.add("w14_reproduction_gate", Q.query([PRED, """ac AS (SELECT condition, avg(CASE WHEN prediction = target THEN 1.0 ELSE 0.0 END) AS top1 FROM pred GROUP BY ALL),
+gp AS (SELECT condition, abs(top1 - (round(top1, 7) - CASE WHEN condition = 'a__fb' THEN 0.01 ELSE 0.0 END)) AS gap FROM ac)"""], """
+SELECT condition, round(gap, 9) AS gap, gap <= 1e-6 AS passes FROM gp"""))
 def _(ws):
+    """Expected accuracies as published, to seven digits; one condition's is off and must fail."""
     p = predictions(ws)
-    expected = downstream.accuracy(p, ["condition"]).select("condition", F.col("accuracy").alias("expected_top1"))
+    off = F.when(F.col("condition") == "a__fb", 0.01).otherwise(0.0)
+    expected = downstream.accuracy(p, ["condition"]).select("condition", (F.round("accuracy", 7) - off).alias("expected_top1"))
     gate = downstream.check_gate(downstream.classification_metrics(p, ["condition"], 11, 10), expected, ["condition"])
     return rounded(gate)
 
