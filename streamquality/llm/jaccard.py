@@ -196,14 +196,16 @@ def _bucket_forests(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
             rest = np.arange(new[g], ends[g])
             while len(rest):
                 front, rest = [rest[0]], rest[1:]
+                reached = front.copy()
                 while front and len(rest):
                     v = front.pop()
                     ok = passing(np.int64(v), rest)
-                    met = rest[ok]
-                    a_out.append(np.full(len(met), gid[v]))
-                    b_out.append(gid[met])
-                    front += met.tolist()
+                    reached += rest[ok].tolist()
+                    front += rest[ok].tolist()
                     rest = rest[~ok]
+                # a star about the smallest: what one bucket says, others often repeat
+                a_out.append(np.full(len(reached) - 1, gid[reached].min()))
+                b_out.append(np.sort(gid[reached])[1:])
         a, b = np.concatenate(a_out), np.concatenate(b_out)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -239,6 +241,7 @@ def _links(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Itera
         out = []
         while len(rest):
             front, rest = [rest[0]], rest[1:]
+            reached = front.copy()
             while front and len(rest):
                 v = front.pop()
                 total = n[v] + n[rest]
@@ -249,9 +252,11 @@ def _links(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Itera
                     both = len(np.intersect1d(arrays[v], arrays[rest[k]], assume_unique=True))
                     if 100 * both >= percent * (total[k] - both):
                         met.append(k)
-                out += [(names[v], names[rest[k]]) for k in met]
+                reached += rest[met].tolist()
                 front += rest[met].tolist()
                 rest = np.delete(rest, met)
+            first = min(names[k] for k in reached)
+            out += [(first, names[k]) for k in reached if names[k] != first]
         return out
 
     here, members = None, {}
@@ -305,7 +310,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     work = work.join(nodes.select("sid", "one.*"), "sid").select("family", "i", "j", "sid", F.col("k").alias("k2"), F.col("tie").alias("tie2"))
     work = stage(work, "jaccard-work")
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    cells = texts.join(work, F.col("k").eqNullSafe(F.col("k2")) & (F.xxhash64("t") == F.col("tie2")))
+    # both sides grow with the corpus, so neither is broadcast at any size
+    cells = texts.join(work.hint("merge"), F.col("k").eqNullSafe(F.col("k2")) & (F.xxhash64("t") == F.col("tie2")))
     cells = cells.select("family", "i", "j", "sid", "t").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     links = components(cells.mapInArrow(lambda batches: _links(batches, width, percent), "a long, b long"))
     rows = known.join(links.withColumnRenamed("node", "sid"), "sid", "left").select(
