@@ -271,8 +271,7 @@ def encode(df: DataFrame, merges: Merges, key: str = "doc_id", text: str = "text
     dropped nor merged (repeated rows stay repeated), other columns are not looked at. Texts of
     any length are read in bounded parts."""
     def run(batch):
-        encoder = codec(merges).encoder
-        ids = [encoder.encode(t or "") for t in batch.column("t").to_pylist()]
+        ids = codec(merges).encoder.encode_all([t or "" for t in batch.column("t").to_pylist()])
         return pa.RecordBatch.from_arrays([batch.column("k"), _lists(ids)], ["k", "ids"])
     rows = arrow_map(df.select(df[key].alias("k"), df[text].alias("t")), run,
                      f"k {_key_type(df, key)}, ids array<int>", "t")
@@ -299,7 +298,7 @@ def round_trip(df: DataFrame, merges: Merges, key: str = "doc_id", text: str = "
     one pass of the workers. Rows, nulls and long texts as there."""
     def run(batch):
         c = codec(merges)
-        ids = [c.encoder.encode(t or "") for t in batch.column("t").to_pylist()]
+        ids = c.encoder.encode_all([t or "" for t in batch.column("t").to_pylist()])
         texts = pa.array([c.decode(x) for x in ids], pa.string())
         return pa.RecordBatch.from_arrays([batch.column("k"), _lists(ids), texts], ["k", "ids", "text"])
     rows = arrow_map(df.select(df[key].alias("k"), df[text].alias("t")), run,

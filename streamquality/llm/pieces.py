@@ -8,12 +8,16 @@ space-led chunks that are encoded one by one, and most chunks of a corpus were s
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-_TWO_SPACES = re.compile(r"\s\s")
+#: Stands for the ids of a chunk that can't be encoded by itself; no ids have this length.
+_ODD = b"odd"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -27,36 +31,80 @@ def segments(text: str, size: int = 1 << 20) -> Iterator[str]:
 
 
 class _Cache(dict):
-    """Key -> ids as little-endian bytes, computed when first asked for; emptied when full."""
+    """Key -> ids as little-endian bytes, computed when first asked for. A full table makes way
+    for a new one, which takes over what is asked for again."""
 
     def __init__(self, compute: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.before = compute, limit, {}
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 
 class PieceEncoder:
-    """Encodes texts with ``piece_ids``, which gives the ids of one match of ``pattern``."""
+    """Encodes texts with ``piece_ids``, which gives the ids of one match of ``pattern``: the
+    split of byte-level vocabularies, in which a space and the letters after it are one piece,
+    and so is a full stop or comma after letters."""
 
-    def __init__(self, pattern: str, piece_ids: Callable[[str], list[int]], limit: int = 250_000):
+    def __init__(self, pattern: str, piece_ids: Callable[[str], list[int]], limit: int = 200_000):
         self.find = regex.compile(pattern).findall
-        pieces = _Cache(lambda p: np.array(piece_ids(p), "<u4").tobytes(), limit)
+        pieces = _Cache(lambda p: array("I", piece_ids(p)).tobytes(), limit)
         self.plain = lambda part: b"".join(map(pieces.__getitem__, self.find(part)))
-        self.chunks = _Cache(lambda c: self.plain(c if c[0] == "\n" else " " + c), limit)
+
+        def chunk(c: str) -> bytes:
+            if c.isalpha():
+                return pieces[" " + c]
+            if c[-1:] in (".", ",") and c[:-1].isalpha():
+                return pieces[" " + c[:-1]] + pieces[c[-1]]
+            if not c or len(c.split()) != 1 or c[-1].isspace() or (c[0] != "\n" and c[0].isspace()):
+                return _ODD
+            return self.plain(c if c[0] == "\n" else " " + c)
+        self.chunks = _Cache(chunk, limit * 3 // 2)
 
     def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.plain, segments(text))), "<u4")
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Chunks are split off and told apart by Arrow; Python looks at each
+        distinct one once. A text with an odd chunk (other white space, or several in a row) is
+        split as a whole instead."""
+        firsts, rests = [], []
+        for text in texts:
+            first, space, rest = text.replace("\n", " \n").partition(" ")
+            firsts.append(first)
+            rests.append(rest if space else None)
+        split = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        parts = list(map(self.chunks.__getitem__, distinct))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        odd = sizes % 4 > 0
+        for k in np.flatnonzero(odd):
+            parts[k] = b""
+        sizes = np.where(odd, 0, sizes // 4)
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        at = np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        flat = ids[np.repeat(at[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.cumsum(counts)
+        odds = np.r_[0, np.cumsum(odd[codes])][np.stack([last - counts, last])] if len(codes) else np.zeros((2, len(texts)), int)
+        bounds = np.r_[0, ends][np.stack([last - counts, last])] if len(codes) else np.zeros((2, len(texts)), int)
         out = []
-        for part in segments(text):
-            if _TWO_SPACES.search(part) or part.endswith(" "):
-                out.append(self.plain(part))
+        for text, first, a, b, x, y in zip(texts, firsts, *bounds.tolist(), *odds.tolist()):
+            if x != y or len(first.split()) != bool(first) or (first and (first[0].isspace() or first[-1].isspace())):
+                out.append(self.encode(text))
+            elif first:
+                out.append(np.concatenate([np.frombuffer(self.plain(first), "<u4"), flat[a:b]]))
             else:
-                first, *rest = part.replace("\n", " \n").split(" ")
-                if first:
-                    out.append(self.plain(first))
-                out += map(self.chunks.__getitem__, rest)
-        return np.frombuffer(b"".join(out), "<u4")
+                out.append(flat[a:b])
+        return out

@@ -44,7 +44,11 @@ def _encoder(vocabulary: Vocabulary) -> PieceEncoder:
         model = Tokenizer.from_str(vocabulary.json).model
         letters = byte_letters()
         def piece_ids(piece: str) -> list[int]:
-            return [t.id for t in model.tokenize("".join([letters[b] for b in piece.encode()]))]
+            if piece.isascii() and piece[0] == " " and piece[1:].isalpha():
+                spelt = letters[32] + piece[1:]
+            else:
+                spelt = "".join([letters[b] for b in piece.encode()])
+            return [t.id for t in model.tokenize(spelt)]
         _ENCODERS[key] = PieceEncoder(vocabulary.pattern, piece_ids)
     return _ENCODERS[key]
 
@@ -57,7 +61,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str
     tail = np.array([] if end is None else [end], np.uint32)
     def run(batch):
         encoder = _encoder(vocabulary)
-        arrays = [x for t in batch.column("t").to_pylist() for x in (encoder.encode(t or ""), tail)]
+        encoded = encoder.encode_all([t or "" for t in batch.column("t").to_pylist()])
+        arrays = [x for ids in encoded for x in (ids, tail)]
         sizes = [len(a) + len(tail) for a in arrays[::2]]
         offsets = np.zeros(len(sizes) + 1, np.int32)
         np.cumsum(sizes, out=offsets[1:])
