@@ -61,7 +61,8 @@ def model(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int
     def counted(df: DataFrame, name: str) -> DataFrame:
         each = df.select(F.explode(let(words(F.col(text)), lambda ws: grams(ws, buckets))).alias("bucket"))
         return each.groupBy("bucket").agg(F.count("*").alias(name))
-    known = docs.select(key, text).join(trusted.select(key).distinct(), key, "left_semi")
+    # labels grow with the corpus, so they are not broadcast at any size
+    known = docs.select(key, text).join(trusted.select(key).distinct().hint("merge"), key, "left_semi")
     both = (docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
             .join(counted(docs, "raw"), "bucket", "left").join(counted(known, "target"), "bucket", "left"))
     entry = F.struct("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
