@@ -2,8 +2,8 @@
 
 A page's text nodes are grouped by their path of block tags from the root. A path is weighed by
 its text and its punctuation per node; both ratios are smoothed with those of the containers they
-lie in and fused, so a heading or a short paragraph stands by the article around it. Paths above a
-share of the best are content. Names of tags and classes that never hold an article take their
+lie in and fused, so a heading, a short paragraph or a cell of a table stands by the article around
+it, however deep it lies. Paths above a share of the best are content. Names of tags and classes that never hold an article take their
 paths out beforehand; links weigh nothing.
 """
 
@@ -41,6 +41,13 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 _SELF_ENDING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
                 "option": {"option"}}
 
+#: Parts of a text: none of them is by itself the container of an article.
+_PARTS = frozenset("blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre section table tbody td tfoot th thead tr ul".split())
+
+
+def _tag(name: str) -> str:
+    return name.split(".")[0]
+
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
     """``(path, text, aside, characters in links)`` of each block of text, in page order."""
@@ -142,19 +149,33 @@ def main_text(page: str, keep: float = 0.08) -> str:
     whole = max(sum(length[p] for p in {q[:1] for q in count}), 1.0)
     marks = max(sum(points[p] for p in {q[:1] for q in count}), 1.0)
 
+    def ratio(container: tuple[str, ...]) -> float:
+        return 0.7 * length[container] / whole + 0.3 * points[container] / marks
+
+    around = {q[:depth] for q in count for depth in range(1, len(q)) if _tag(q[depth - 1]) not in _PARTS}
+    centre = max((c for c in around if ratio(c) > 0.5), key=len, default=None)
+
+    def home(path: tuple[str, ...]) -> int:
+        """Depth of the article around the path: what the page calls so, or else the innermost
+        container that holds most of the page. 0 if the path lies in neither."""
+        named = (depth for depth in range(len(path), 0, -1) if _tag(path[depth - 1]) in ("article", "main"))
+        return next(named, len(centre) if centre and path[:len(centre)] == centre else 0)
+
     def fused(path: tuple[str, ...]) -> float:
         """Text and punctuation of the path, smoothed over the containers around it: each one
-        farther out counts half, down to the one that holds most of the page."""
+        farther out counts half, down to its article, which counts no less than the first of
+        them, or else to the body."""
         score = scale = 0.0
-        weight = 1.0
-        for depth in range(len(path), max(0, len(path) - 3), -1):
-            container = path[:depth]
-            score += weight * (0.7 * length[container] / whole + 0.3 * points[container] / marks)
+        weight, last = 1.0, home(path)
+        for depth in range(len(path), 0, -1):
+            if depth == last < len(path):
+                weight = 0.5
+            score += weight * ratio(path[:depth])
             scale += weight
             weight /= 2
-            if container[-1].split(".")[0] in ("article", "main"):
+            if depth == last and _tag(path[depth - 1]) in ("article", "main"):
                 score += weight  # what the page itself calls its article
-            if container[-1].split(".")[0] in ("article", "main", "body", "html"):
+            if depth == last or _tag(path[depth - 1]) in ("body", "html"):
                 break
         return score / scale if path else 1.0
 

@@ -124,6 +124,25 @@ def test_main_text(spark):
     same([(r.page_id, r.text) for r in got], [(1, want), (2, ""), (3, ""), (4, ""), (5, "plain <text>"), (1, "cut o")])
 
 
+LONG = "<p>" + " ".join(f"The {w} paragraph goes on, and on, for quite a while." for w in ("first second third fourth fifth sixth " * 8).split()) + "</p>"
+DEEP = ["<table><tbody><tr><td>Cell</td></tr></tbody></table>", "<table><tr><td>Cell</td></tr></table>", "<ul><li>Outer<ul><li>Cell</li></ul></li></ul>",
+        "<section><blockquote><ul><li>Cell</li></ul></blockquote></section>", "<section id=two><div><ol><li>Outer<ul><li>Cell</li></ul></li></ol></div></section>",
+        "<div>" * 20 + "Cell" + "</div>" * 20]
+
+
+@pytest.mark.parametrize("inner", DEEP)
+@pytest.mark.parametrize("page", ["<html><body><article>%s</article></body></html>", "<html><body><div class=page><div class=text>%s</div></div></body></html>",
+                                  "<body><main><section id=one>%s</section></main></body>"])
+def test_deep_parts_of_the_article(page, inner):
+    assert extract.main_text(page % (LONG + inner)).split("\n")[-1] == "Cell"
+
+
+def test_deep_text_outside_the_article():
+    side = "<div class=a><div class=b><div class=c><div class=d>Aloof</div></div></div></div>"
+    for tag in ("article", "div"):
+        assert "Aloof" not in extract.main_text(f"<body><{tag} class=text>{LONG}</{tag}>{side}</body>")
+
+
 # 3: Jaccard join --------------------------------------------------------------------------------
 
 def plain_components(corpus, width, percent):
