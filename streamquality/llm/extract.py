@@ -3,8 +3,9 @@
 A page's text nodes are grouped by their path of block tags from the root. A path is weighed by
 its text and its punctuation per node; both ratios are smoothed with those of the containers they
 lie in and fused, so a heading, a short paragraph or a cell of a table stands by the article around
-it, however deep it lies. Paths above a share of the best are content. Names of tags and classes that never hold an article take their
-paths out beforehand; links weigh nothing.
+it, however deep it lies. Paths above a share of the best are content. Names of tags and classes
+that seldom hold an article take their paths out beforehand, unless the container holds most of the
+page or is a section of the article with a title or id of its own; links weigh nothing.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,13 +30,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
                    "time tt u var".split())
-#: Tags that hold no article, and words in class, id or role that say so.
-ASIDE_TAGS = frozenset("nav header footer aside form button select dialog menu head figure figcaption".split()) | RAW
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Tags that never hold an article, tags that seldom do, and words in class, id or role that say so.
+NEVER_TAGS = frozenset("nav button select menu head".split()) | RAW
+ASIDE_TAGS = frozenset("header footer aside form dialog".split()) | NEVER_TAGS
 _ASIDE_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:nav\w*|menu\w*|header|masthead|footer|side-?bar|aside|ad|ads|adv|advert\w*|banner|promo\w*|sponsor\w*|cookie\w*|consent|"
+    r"(?:^|[^a-z])(nav\w*|menu\w*|header|masthead|footer|side-?bar|aside|ad|ads|adv|advert\w*|banner|promo\w*|sponsor\w*|cookie\w*|consent|"
     r"notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|comment\w*|repl(?:y|ies)|respond|disqus|discussion|"
     r"share|sharing|social|related|recommend\w*|breadcrumb\w*|pagination|pager|widget\w*|copyright|legal|skip\w*|toolbar|search\w*|"
-    r"form|contentinfo|complementary|navigation|dialog)(?:$|[^a-z])")
+    r"form|contentinfo|complementary|navigation|dialog)(?=$|[^a-z])")
+#: What readers write below an article, whatever its heading says.
+_THREAD = re.compile(r"comment|repl(?:y|ies)|respond|disqus")
 #: An open one ends where one of these begins: optional end tags of HTML.
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main "
                       "menu nav ol p pre section table ul".split())
@@ -49,17 +55,28 @@ def _tag(name: str) -> str:
     return name.split(".")[0]
 
 
+class Mark(NamedTuple):
+    """A container that may be an aside: words of its class and role, and of its id, that say so."""
+
+    tag: str
+    by_class: tuple[str, ...]
+    by_id: tuple[str, ...]
+    inside: bool  # an article or main
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
     """``(path, text, aside, characters in links)`` of each block of text, in page order."""
-    stack: list[tuple[str, str, bool]] = []  # tag, name in paths, whether it or what holds it is an aside
+    stack: list[tuple[str, str, tuple[int, ...]]] = []  # tag, name in paths, marks of it and of what holds it
     out, parts, linked = [], [], [0]
+    marks: list[Mark] = []
+    openings: list[tuple[int, ...]] = []  # marks around each h1, article and main
 
     def flush() -> None:
         text = _SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
         if text:
             path = tuple(name for _, name, _ in stack if name)
-            out.append((path, text, bool(stack) and stack[-1][2], linked[0]))
+            out.append((path, text, stack[-1][2] if stack else (), linked[0]))
         linked[0] = 0
 
     def add(raw: str) -> None:
@@ -122,14 +139,59 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
         inline = tag in INLINE
         if not inline:
             flush()
-        says = " ".join(v.strip("\"'") for _, v in _ATTRIBUTE.findall(m[3] or "")).lower()
-        aside = bool(stack) and stack[-1][2] or tag in ASIDE_TAGS or bool(says and tag not in ("html", "body", "main", "article") and _ASIDE_WORDS.search(says))
-        first = says.split()[:1]
-        stack.append((tag, "" if inline else tag + "".join("." + w for w in first), aside))
+        named = [(name.lower(), v.strip("\"'").lower()) for name, v in _ATTRIBUTE.findall(m[3] or "")]
+        words = {True: (), False: ()}
+        if tag not in ("html", "body", "main", "article"):
+            for name, v in named:
+                if name != "id" or tag not in HEADINGS:  # a heading's id repeats its words
+                    words[name == "id"] += tuple(w.strip(".:_- ") for w in _ASIDE_WORDS.findall(v))
+        held = stack[-1][2] if stack else ()
+        if tag in ("h1", "article", "main"):
+            openings.append(held)
+        if tag in ASIDE_TAGS or words[True] or words[False]:
+            held += (len(marks),)
+            marks.append(Mark(tag, words[False], words[True], any(t in ("article", "main") for t, _, _ in stack)))
+        first = " ".join(v for _, v in named).split()[:1]
+        stack.append((tag, "" if inline else tag + "".join("." + w for w in first), held))
         if (m[3] or "").endswith("/") and inline:
             stack.pop()
     flush()
-    return out
+    lifted = _lifted(out, marks, openings)
+    return [(path, text, not lifted.issuperset(held), links) for path, text, held, links in out]
+
+
+def _lifted(nodes: list, marks: list[Mark], openings: list[tuple[int, ...]]) -> set[int]:
+    """The marks of no aside. One holds most of the page's text and punctuation, and the article's
+    beginning or all but a sixth of the text that no other mark takes out; or it is a section
+    inside the article that is named after its heading or by an id of its own."""
+    if not marks:
+        return set()
+    inner = [[] for _ in marks]
+    sizes = []
+    for k, (_, text, held, linked) in enumerate(nodes):
+        plain = max(0, len(text) - linked)
+        sizes.append((plain, len(_PUNCTUATION.findall(text)) * plain / len(text)))
+        for i in held:
+            inner[i].append(k)
+    whole, points = sum(n for n, _ in sizes), sum(p for _, p in sizes)
+    lifted: set[int] = set()
+    for i, mark in enumerate(marks):  # outer ones come first
+        if mark.tag in NEVER_TAGS or not inner[i]:
+            continue
+        text = sum(sizes[k][0] for k in inner[i])
+        if 2 * text > whole and 2 * sum(sizes[k][1] for k in inner[i]) >= points:
+            rest = sum(n for (n, _), (_, _, held, _) in zip(sizes, nodes) if lifted.issuperset(held))
+            begins = any(lifted.issuperset(set(held) - {i}) for held in openings if i in held)
+            if 5 * rest < text or begins and not any(lifted.issuperset(held) for held in openings if i not in held):
+                lifted.add(i)
+        elif mark.inside and mark.tag not in ASIDE_TAGS and not any(map(_THREAD.search, mark.by_class + mark.by_id)):
+            path, heading, _, _ = nodes[inner[i][0]]
+            titled = bool(path) and _tag(path[-1]) in HEADINGS
+            own_id = not mark.by_class and (titled or mark.tag == "section")
+            by_title = mark.tag == "section" and titled and all(w in heading.lower() for w in mark.by_class)
+            if (own_id or by_title) and text >= 0.4 * sum(len(nodes[k][1]) for k in inner[i]):
+                lifted.add(i)
+    return lifted
 
 
 def main_text(page: str, keep: float = 0.08) -> str:
@@ -183,8 +245,12 @@ def main_text(page: str, keep: float = 0.08) -> str:
     best = max(scores.values())
     kept = []
     for path, text, aside, linked in nodes:
-        if not aside and scores[path] >= keep * best and linked <= 0.6 * len(text):
-            kept.append(text)
+        if not aside and scores[path] >= keep * best:
+            depth = home(path) if linked > 0.6 * len(text) else 0
+            written = depth and _tag(path[depth - 1]) not in ("body", "html") and (
+                len(_PUNCTUATION.findall(text)) > 1 or text[-1] in ".!?…。！？")
+            if linked <= 0.6 * len(text) or written:  # links that read as sentences: references, not a menu
+                kept.append(text)
     return "\n".join(kept)
 
 

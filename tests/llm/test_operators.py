@@ -143,6 +143,40 @@ def test_deep_text_outside_the_article():
         assert "Aloof" not in extract.main_text(f"<body><{tag} class=text>{LONG}</{tag}>{side}</body>")
 
 
+@pytest.mark.parametrize("wrapper", ["form action=x", "div class='page has-sidebar'", "div class=no-comments", "div class=layout-form", "div id=search-page"])
+@pytest.mark.parametrize("inner", ["%s", "<h1>Title</h1>%s", "<article>%s</article>", "<div class=text>%s</div>"])
+def test_marked_wrapper_of_the_page(wrapper, inner):
+    nav = "<nav><a href=/>Home</a> Menu of the site, for all.</nav>"
+    thread = "<div class=comments><p>Nice article, really.</p></div><footer>All rights, reserved.</footer>"
+    text = extract.main_text(f"<html><body><{wrapper}>{nav}{inner % LONG}{thread}</{wrapper.split()[0]}></body></html>")
+    assert text.split("\n")[-1].startswith("The first paragraph") and len(text) > 2000
+    assert not any(w in text for w in ("Menu", "Nice", "rights"))
+
+
+def test_long_thread_stays_out():
+    assert "Nice" not in extract.main_text(f"<body><article><h1>T</h1>{LONG}</article><div class=comments>{LONG * 2}<p>Nice, really.</p></div></body>")
+    assert "Nice" not in extract.main_text(f"<body><div class='page has-sidebar'><h1>T</h1>{LONG}<div class=comments>{LONG * 2}<p>Nice, really.</p></div></div></body>")
+
+
+@pytest.mark.parametrize("inner, want", [
+    ("<section id=discussion><h2>Discussion</h2><p>Word.</p></section>", "Discussion\nWord."),
+    ("<section id=discussion><p>Word.</p></section>", "Word."),
+    ("<section class=discussion><h2>Discussion</h2><p>Word.</p></section>", "Discussion\nWord."),
+    ("<div id=related-work><h2>Earlier work</h2><p>Word.</p></div>", "Earlier work\nWord."),
+    ("<h2 id=related-work>Related work</h2><p>Word.</p>", "Related work\nWord."),
+    ("<h2 id=search>Search</h2><p>Word.</p>", "Search\nWord."),
+    ("<figure><img src=x><figcaption>What it shows.</figcaption></figure>", "What it shows."),
+    ("<h2>References</h2><ol><li><a href=x>Doe, J. (2001). On words.</a></li></ol>", "References\nDoe, J. (2001). On words."),
+    ("<ul><li><a href=x>More on this</a></li></ul>", ""),
+    ("<section id=comments><h2>Comments</h2><p>Nice.</p></section>", ""),
+    ("<div class=share><h3>Share</h3><p>Tell others.</p></div>", ""),
+    ("<section class=related><h2>Related</h2><ul><li><a href=x>Another one of our stories</a></li></ul></section>", ""),
+])
+def test_marked_parts_of_the_article(inner, want):
+    got = extract.main_text(f"<html><body><article><h1>Title</h1>{LONG}{inner}</article></body></html>").split("\n")
+    assert got[0] == "Title" and "\n".join(got[2:]) == want
+
+
 # 3: Jaccard join --------------------------------------------------------------------------------
 
 def plain_components(corpus, width, percent):
