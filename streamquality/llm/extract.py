@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_NAMED_TAG = r"<!--.*?(?:-->|\Z)|<(/?)%s(?![^\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？«»“”]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
+#: Of these, those that hold markup and may be nested or, by mistake, left open.
+PAIRED = frozenset("svg template noscript".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
                    "time tt u var".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -55,6 +58,18 @@ def _tag(name: str) -> str:
     return name.split(".")[0]
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each start tag of the name begins: the place behind the end tag that belongs to it."""
+    out, open_at = {}, []
+    for m in re.finditer(_NAMED_TAG % tag, page, re.S | re.I):
+        if m[1]:
+            if open_at:
+                out[open_at.pop()] = m.end()
+        elif m[2] is not None and not (tag == "svg" and m[2].endswith("/")):
+            open_at.append(m.start())
+    return out
+
+
 class Mark(NamedTuple):
     """A container that may be an aside: words of its class and role, and of its id, that say so."""
 
@@ -92,6 +107,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
         del stack[i:]
 
     at, n = 0, len(page)
+    ends: dict[str, dict[int, int]] = {}
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -130,6 +146,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
                 if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
                     break
         if tag in RAW:  # its text is no markup: skip to the end tag
+            if tag in PAIRED:
+                if tag not in ends:
+                    ends[tag] = _ends(page, tag)
+                if not (tag == "svg" and m[3].endswith("/")):
+                    at = ends[tag].get(m.start(), at)  # without an end tag, go on behind the start tag
+                continue
             end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
             if end is None:
                 break

@@ -177,6 +177,16 @@ def test_marked_parts_of_the_article(inner, want):
     assert got[0] == "Title" and "\n".join(got[2:]) == want
 
 
+@pytest.mark.parametrize("raw", [
+    "<svg class='icon'/>", "<svg/>", "<svg class=icon>", "<svg><title>A</title><svg><path d='M0'/></svg><text>Drawn.</text></svg>", "<svg><svg/><text>Drawn.</text></svg>",
+    "<svg><!-- </svg> --><text>Drawn.</text></svg>", "<noscript>", "<template>", "<template><template>a</template>Drawn.</template>", "<SVG viewBox='0 > 1'>Drawn.</SVG>"])
+@pytest.mark.parametrize("after", ["", "<p>Then, <svg>Drawn.</svg>the rest.</p>"])
+def test_icons_and_open_raw_tags(raw, after):
+    got = extract.main_text(f"<body><article><h1>Title</h1>{raw}{LONG}{after}</article></body>").split("\n")
+    assert got[0] == "Title" and got[1].startswith("The first") and len(got[1]) > 2000
+    assert got[2:] == (["Then, the rest."] if after else [])
+
+
 # 3: Jaccard join --------------------------------------------------------------------------------
 
 def plain_components(corpus, width, percent):
