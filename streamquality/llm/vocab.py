@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import namedtuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,30 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class AddedTokens:
+    """The tokens that a vocabulary file adds to its model's: the library takes them out of a text,
+    leftmost and longest first, before the split. Of tokens with further conditions (whole words,
+    white space beside them) the library itself decides."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        added = [a for a in json.loads(vocabulary.json).get("added_tokens") or [] if a["content"]]
+        self.ids = {a["content"]: np.array([a["id"]], np.uint32) for a in added}
+        self.plain = not any(a.get(flag) for a in added for flag in ("single_word", "lstrip", "rstrip"))
+        self.cut = re.compile("(%s)" % "|".join(map(re.escape, sorted(self.ids, key=len, reverse=True)))).split
+        self.json = vocabulary.json
+
+    def holders(self, texts: pa.Array) -> list[int]:
+        """Places of the texts that contain one."""
+        found = [np.flatnonzero(pc.fill_null(pc.match_substring(texts, t), False).to_numpy(zero_copy_only=False)) for t in self.ids]
+        return sorted(set(np.concatenate(found).tolist())) if found else []
+
+    def encode(self, text: str, encoder: PieceEncoder) -> np.ndarray:
+        if not self.plain:
+            from tokenizers import Tokenizer
+            return np.array(Tokenizer.from_str(self.json).encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.concatenate([self.ids[part] if k % 2 else encoder.encode(part) for k, part in enumerate(self.cut(text))])
+
+
 _ENCODERS: dict[int, PieceEncoder] = {}
 
 
@@ -56,12 +83,19 @@ def _encoder(vocabulary: Vocabulary) -> PieceEncoder:
 def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text",
            end: int | None = None) -> DataFrame:
     """``key, ids array<int>`` in the order of the rows; ``end`` is appended to each document.
-    The library's model encodes each piece of the split; special tokens in a text are ordinary
-    text. A null text counts as empty; repeated rows stay repeated; other columns are not read."""
+    The library's model encodes each piece of the split; added tokens of the vocabulary file that
+    stand in a text get their own ids, as in the library. A null text counts as empty; repeated rows stay repeated; other columns are not read."""
+    added = AddedTokens(vocabulary)
     tail = np.array([] if end is None else [end], np.uint32)
     def run(batch):
         encoder = _encoder(vocabulary)
-        encoded = encoder.encode_all([t or "" for t in batch.column("t").to_pylist()])
+        texts = [t or "" for t in batch.column("t").to_pylist()]
+        whole = {i: texts[i] for i in added.holders(batch.column("t"))}
+        for i in whole:
+            texts[i] = ""
+        encoded = encoder.encode_all(texts)
+        for i, text in whole.items():
+            encoded[i] = added.encode(text, encoder)
         arrays = [x for ids in encoded for x in (ids, tail)]
         sizes = [len(a) + len(tail) for a in arrays[::2]]
         offsets = np.zeros(len(sizes) + 1, np.int32)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -272,6 +274,23 @@ def test_token_files(spark, docs, corpus, tmp_path):
         assert all((file.ids(a, b) == whole[a:b]).all() for a, b in ((3, 4), (5, 29), (0, 7), (13, file.n)))
 
 
+@pytest.mark.parametrize("more", [[], [dict(content="<|end", single_word=False, lstrip=False)], [dict(content="<|word|>", single_word=True, lstrip=True)]])
+def test_added_tokens_in_texts(spark, tmp_path, more):
+    file = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    end = file["added_tokens"][0]["content"]
+    file["added_tokens"] += [dict(file["added_tokens"][0], id=50257 + i, **a) for i, a in enumerate(more)]
+    path = str(tmp_path / "vocabulary.json")
+    Path(path).write_text(json.dumps(file))
+    reference = Tokenizer.from_file(path)  # as it comes: it takes added tokens out of the text
+    texts = [f"a {end} b", end, end * 3, f"  {end}\n\n x{end}y ", f"<|end {end[:-1]} {end}", "a <|word|> b<|word|>c", *ODD, *BASE, f"{BASE[0]} {end}{BASE[1]}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    vocabulary = vocab.read_vocabulary(path, PATTERN)
+    got = {r.doc_id: r.ids for r in vocab.encode(rows, vocabulary, end=2).collect()}
+    assert got == {i: reference.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    if not more:
+        assert got[0] == [64, 220, 50256, 275, 2]
+
+
 # 5: repeated substrings -------------------------------------------------------------------------
 
 def plain_repeats(corpus, length):
