@@ -1,7 +1,7 @@
 """Licence scan by a positional index of rare words.
 
 Each template is a notice as a list of words. Its rarest words in the corpus at hand (highest
-inverse document frequency) are posted with their place in it. A text looks up which posted words
+inverse document frequency) and those of its key phrases are posted with their place in it. A text looks up which posted words
 it holds and where; each posting says where the template would begin. Where enough of a
 template's postings agree on a beginning, the words there are compared one by one, and the
 template's key phrases must stand in full.
@@ -52,17 +52,28 @@ def spread(docs: DataFrame, text: str) -> tuple[int, dict[str, int]]:
     return found.pop("", 0), {w: found.get(w, 0) for w in vocabulary}
 
 
-def _postings(n: int, held: dict[str, int], rare: int) -> list[tuple[str, int, int]]:
-    """(word, template, place) of the ``rare`` words of each template with the highest IDF; equal
-    ones in the order of the notice."""
+def _postings(n: int, held: dict[str, int], rare: int, agree: int) -> list[tuple[str, int, int]]:
+    """(word, template, place) of the ``rare`` words of each template with the highest IDF, and of
+    ``agree`` such words of each of its key phrases, so a text with the phrases in full is compared
+    in any corpus; equal ones in the order of the notice."""
     out = []
-    for t, (_, notice, _) in enumerate(TEMPLATES):
+    for t, (_, notice, phrases) in enumerate(TEMPLATES):
         ws = notice.split()
         idf = [math.log((n + 1) / (held[w] + 1)) for w in ws]
-        out += [(ws[k], t, k) for k in sorted(range(len(ws)), key=lambda k: (-idf[k], k))[:rare]]
+        def rarest(places: range, many: int) -> list[int]:
+            return sorted(places, key=lambda k: (-idf[k], k))[:many]
+        chosen = {*rarest(range(len(ws)), rare)}
+        for phrase in map(str.split, phrases):
+            k = _place(ws, phrase)
+            chosen.update(rarest(range(k, k + len(phrase)), agree))
+        out += [(ws[k], t, k) for k in sorted(chosen)]
     return out
 
 
+def _place(notice: list[str], phrase: list[str]) -> int:
+    return next(k for k in range(len(notice)) if notice[k:k + len(phrase)] == phrase)
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = 4, agree: int = 2, share: float = 0.6) -> DataFrame:
     """``key, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every row.
 
@@ -72,7 +83,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = 4
     key phrase stands in full; ``score`` is the highest such share, 1 where a base phrase stands.
     Everything happens within a row: no shuffle but that of the counts of template words."""
     n, held = spread(docs, text)
-    postings = _postings(n, held, rare)
+    postings = _postings(n, held, rare, agree)
     base_heads = {0: ("mit", 2), 1: ("apache", 0), 2: ("cc", 0)}  # each phrase's word to look up, and its place
     look_up = sorted({w for w, _, _ in postings} | {w for w, _ in base_heads.values()})
 
@@ -113,8 +124,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = 4
                 matched = sum((F.coalesce((F.get(ws, c["s"] + k) == w).cast("int"), F.lit(0)) for k, w in enumerate(notice)), F.lit(0))
                 full = F.lit(True)
                 for phrase in map(str.split, phrases):
-                    k = next(k for k in range(len(notice)) if notice[k:k + len(phrase)] == phrase)
-                    full = full & standing(ws, c["s"] + k, phrase)
+                    full = full & standing(ws, c["s"] + _place(notice, phrase), phrase)
                 got = let(matched / len(notice), lambda s: F.when(full & (s >= share), F.array(F.struct(F.lit(label).alias("label"), s.alias("score")))).otherwise(none))
                 out = F.when(c["t"] == t, got).otherwise(out)
             return out

@@ -448,6 +448,13 @@ def test_licenses(spark, docs, corpus, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licence_by_its_key_phrase_in_any_corpus(spark):
+    text = "code under the gnu general public license version 3 of 2007"
+    rows = spark.createDataFrame([(0, text), (1, text)], "doc_id int, text string")
+    for r in licenses.scan(rows).collect():  # the four words it lacks are the rarest here
+        assert r.labels == "gpl-3" and r.score == pytest.approx(8 / 12) and r.n_base == 0
+
+
 # 10: secrets ------------------------------------------------------------------------------------
 
 def test_secrets(spark, docs, corpus, empty):
