@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staging_root
-from . import bpe, credentials, extract, fingerprints, jaccard, licenses, mixing, packed, quality, substrings, vocab
+from . import (bpe, check_sql, credentials, extract, fingerprints, jaccard, licenses, merkle, mixing, packed, quality, substrings,
+               vocab)
 from .common import table
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = check_sql.SQL
 
 
 def query(fn):
@@ -110,3 +111,18 @@ def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    def leaf(text):
+        return merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    text = F.col("text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.unhex(leaf(F.translate(text, upper, lower))))
+    rows = merkle.manifest(docs.select("doc_id", "source", leaf(text).alias("leaf"), tampered.alias("tampered")))
+    steps = F.transform("proof", lambda s: F.concat(s["before"], s["after"]))
+    found = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(steps, "").cast("binary"), 256).alias("proof_sha256"),
+                        merkle.fold(F.coalesce(F.lower(F.hex("tampered")), "leaf"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
