@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staging_root
-from . import (bpe, check_sql, credentials, extract, fingerprints, jaccard, licenses, merkle, mixing, packed, quality, substrings,
-               vocab)
+from . import (bpe, check_sql, credentials, decontaminate, extract, fingerprints, jaccard, licenses, merkle, mixing, negatives, packed,
+               quality, substrings, vocab)
 from .common import table
 
 QUERIES: dict = {}
@@ -126,3 +126,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(steps, "").cast("binary"), 256).alias("proof_sha256"),
                         merkle.fold(F.coalesce(F.lower(F.hex("tampered")), "leaf"), F.col("proof")).alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    names = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                       F.sha2(names.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("long")
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)

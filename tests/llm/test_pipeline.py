@@ -15,10 +15,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables abs
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("op13_")))
 def test_query_covers_its_table(spark, name):
     table = "pages" if name.startswith("op2_") else "documents"
     assert QUERIES[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
