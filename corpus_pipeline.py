@@ -43,9 +43,8 @@ def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256``: the ids, and a digest of what they decode to."""
     ship_package(spark)
     merges = bpe.compile_merges(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = bpe.round_trip(docs.select("doc_id", "text"), merges)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    rows = bpe.round_trip(docs.select("doc_id", "text"), merges, digest=True)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 def _counted(rows: DataFrame, like: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ when every token under way begins behind it; so no more than a few token lengths
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import namedtuple
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, held
 from .pieces import PieceEncoder
 
 #: Compiled merges: bytes of each token, and the two tokens that its last merge joined.
@@ -63,7 +64,7 @@ class Transducer:
     """Ids of one piece. ``limit`` bounds the transitions and the pairs that are remembered;
     ``held`` the bytes after which settled tokens are emitted."""
 
-    def __init__(self, merges: Merges, limit: int = 300_000, held: int = 4096):
+    def __init__(self, merges: Merges, limit: int = 150_000, held: int = 4096):
         self.tokens, self.limit, self.held = merges.tokens, limit, held
         self.left, self.right = merges.left.tolist(), merges.right.tolist()
         self.rank = {t: i for i, t in enumerate(merges.tokens) if t}
@@ -78,6 +79,10 @@ class Transducer:
         self.outputs = [self._ending(at)]
         self.step: dict[int, int] = {}
 
+    def forget(self) -> None:
+        self._reset(b"")
+        self.pairs.clear()
+
     def _ending(self, name: bytes) -> list[tuple[int, int]]:
         """Length and id of the tokens that end here, longest first."""
         ends = (name[k:] for k in range(len(name)))
@@ -217,6 +222,7 @@ class Codec:
         machine = Transducer(merges)
         self.encoder = PieceEncoder(merges.pattern, lambda piece: machine.encode(piece.encode()))
         self.tokens = merges.tokens
+        self.machine = machine
         self.texts: list[str | None] = []
         for token in merges.tokens:
             m = Utf8Machine()
@@ -224,6 +230,11 @@ class Codec:
             self.texts.append(None if m.due or "�" in text and "�".encode() not in token else text)
         self.whole = np.array([t is not None for t in self.texts])
 
+    def forget(self) -> None:
+        """Frees what was remembered of the texts."""
+        self.encoder.forget()
+        self.machine.forget()
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids. Tokens of whole characters pass as they are; only runs of tokens that
         hold parts of characters go through the machine."""
@@ -244,14 +255,8 @@ class Codec:
         return "".join(out)
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(merges: Merges) -> Codec:
-    key = f"{merges.pattern} {len(merges.tokens)} {hash(tuple(merges.tokens))}"
-    if key not in _CODECS:
-        _CODECS[key] = Codec(merges)
-    return _CODECS[key]
+    return held((__name__, merges.pattern, hash(tuple(merges.tokens))), lambda: Codec(merges))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -274,7 +279,7 @@ def encode(df: DataFrame, merges: Merges, key: str = "doc_id", text: str = "text
         ids = codec(merges).encoder.encode_all([t or "" for t in batch.column("t").to_pylist()])
         return pa.RecordBatch.from_arrays([batch.column("k"), _lists(ids)], ["k", "ids"])
     rows = arrow_map(df.select(df[key].alias("k"), df[text].alias("t")), run,
-                     f"k {_key_type(df, key)}, ids array<int>", "t")
+                     f"k {_key_type(df, key)}, ids array<int>", "t", lambda: codec(merges).forget())
     return rows.withColumnRenamed("k", key)
 
 
@@ -293,14 +298,18 @@ def decode(df: DataFrame, merges: Merges, key: str = "doc_id", ids: str = "ids")
     return rows.withColumnRenamed("k", key)
 
 
-def round_trip(df: DataFrame, merges: Merges, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, merges: Merges, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """``key, ids array<int>, text string``: :func:`encode`, then :func:`decode` of those ids, in
-    one pass of the workers. Rows, nulls and long texts as there."""
+    one pass of the workers. Rows, nulls and long texts as there. With ``digest`` the last column
+    is ``decoded_sha256`` instead, the hex SHA-256 of the decoded bytes, and the texts stay in the workers."""
+    last = "decoded_sha256" if digest else "text"
+
     def run(batch):
         c = codec(merges)
         ids = c.encoder.encode_all([t or "" for t in batch.column("t").to_pylist()])
-        texts = pa.array([c.decode(x) for x in ids], pa.string())
-        return pa.RecordBatch.from_arrays([batch.column("k"), _lists(ids), texts], ["k", "ids", "text"])
+        texts = map(c.decode, ids)
+        texts = [hashlib.sha256(t.encode()).hexdigest() for t in texts] if digest else list(texts)
+        return pa.RecordBatch.from_arrays([batch.column("k"), _lists(ids), pa.array(texts, pa.string())], ["k", "ids", last])
     rows = arrow_map(df.select(df[key].alias("k"), df[text].alias("t")), run,
-                     f"k {_key_type(df, key)}, ids array<int>, text string", "t")
+                     f"k {_key_type(df, key)}, ids array<int>, {last} string", "t", lambda: codec(merges).forget())
     return rows.withColumnRenamed("k", key)

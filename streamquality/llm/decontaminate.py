@@ -17,12 +17,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .common import rows_by_size
+from .common import WordHashes, rows_by_size
 
 #: Bits of the bitmap's index: 2 MB on the wire, 16 MB in a worker.
 BITS = 24
@@ -32,16 +31,6 @@ SEGMENT = 4 << 20
 _FLAT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, for as long as a task lasts; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of every ``width`` consecutive words."""
     n = max(0, len(hashes) - width + 1)
@@ -228,7 +217,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     hits = rows.filter("place is not null").select("at", "place", "token", "context", "left")
     start, inner = F.col("place") - F.col("offset"), F.col("left") - F.col("offset")
     met = hits.join(prefixes, "token").filter(inner >= 0).filter(inner + F.col("length") <= F.size("context"))
-    met = met.filter(F.array_join(F.slice("context", inner + 1, F.col("length")), " ") == F.col("window"))
+    met = met.filter(F.array_join(F.slice("context", F.greatest(inner, F.lit(0)) + 1, F.col("length")), " ") == F.col("window"))
     met = stage(met.select("at", "id", start.alias("start"), (start + F.col("length")).alias("stop")), "window-met")
     spans = _merged(met.select("at", "start", "stop").distinct())
     items = met.select("at", "id").distinct().join(owners, "id").groupBy("at").agg(F.array_sort(F.collect_set("item")).alias("items"))

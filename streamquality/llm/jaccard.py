@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .common import arrow_map, rows_by_size
+from .common import WordHashes, arrow_map, held, rows_by_size
 from .graph import components
 
 BUCKET = 512
@@ -36,24 +36,13 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _LONG = pa.int64()
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``width``-word n-grams of a text, A-Z lowered; of a
     shorter text the one of all its words; of a wordless one none."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(held("word hashes", WordHashes).__getitem__, words), np.uint64, len(words))
     span = min(width, len(w))
     with np.errstate(over="ignore"):
         h = np.full(len(w) - span + 1, span, np.uint64)
@@ -113,7 +102,7 @@ def elements(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
                 name = identity(h)
                 if name in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(name)
                 inside = h % np.uint64(_FIFTH) == 0
                 own = h[inside]

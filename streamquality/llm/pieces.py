@@ -18,6 +18,8 @@ import regex
 
 #: Stands for the ids of a chunk that can't be encoded by itself; no ids have this length.
 _ODD = b"odd"
+#: Longer pieces and chunks (characters) are encoded each time, so that a cache's bytes are bounded.
+LONG = 64
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -31,43 +33,43 @@ def segments(text: str, size: int = 1 << 20) -> Iterator[str]:
 
 
 class _Cache(dict):
-    """Key -> ids as little-endian bytes, computed when first asked for. A full table makes way
-    for a new one, which takes over what is asked for again."""
+    """Key -> ids as little-endian bytes, computed when first asked for. A full table starts anew."""
 
     def __init__(self, compute: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.compute, self.limit, self.before = compute, limit, {}
+        self.compute, self.limit = compute, limit
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= self.limit:
-            self.before = dict(self)
             self.clear()
-        value = self.before.get(key)
-        if value is None:
-            value = self.compute(key)
-        self[key] = value
+        value = self[key] = self.compute(key)
         return value
 
 
 class PieceEncoder:
     """Encodes texts with ``piece_ids``, which gives the ids of one match of ``pattern``: the
     split of byte-level vocabularies, in which a space and the letters after it are one piece,
-    and so is a full stop or comma after letters."""
+    and so is a full stop or comma after letters. ``limit`` chunks are remembered, some 200 bytes
+    each, and longer ones not at all."""
 
     def __init__(self, pattern: str, piece_ids: Callable[[str], list[int]], limit: int = 200_000):
         self.find = regex.compile(pattern).findall
-        pieces = _Cache(lambda p: array("I", piece_ids(p)).tobytes(), limit)
-        self.plain = lambda part: b"".join(map(pieces.__getitem__, self.find(part)))
+        pieces = self.pieces = _Cache(lambda p: array("I", piece_ids(p)).tobytes(), limit // 8)
+        self.plain = lambda part: b"".join([pieces[p] if len(p) <= LONG else array("I", piece_ids(p)).tobytes() for p in self.find(part)])
 
         def chunk(c: str) -> bytes:
             if c.isalpha():
-                return pieces[" " + c]
+                return array("I", piece_ids(" " + c)).tobytes()
             if c[-1:] in (".", ",") and c[:-1].isalpha():
-                return pieces[" " + c[:-1]] + pieces[c[-1]]
+                return chunks[c[:-1]] + pieces[c[-1]]
             if not c or len(c.split()) != 1 or c[-1].isspace() or (c[0] != "\n" and c[0].isspace()):
                 return _ODD
             return self.plain(c if c[0] == "\n" else " " + c)
-        self.chunks = _Cache(chunk, limit * 3 // 2)
+        chunks = self.chunks = _Cache(chunk, limit)
+
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.chunks.clear()
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.plain, segments(text))), "<u4")
@@ -85,7 +87,7 @@ class PieceEncoder:
         counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
         codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        parts = list(map(self.chunks.__getitem__, distinct))
+        parts = [self.chunks[c] if len(c) <= LONG else self.chunks.compute(c) for c in distinct]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         odd = sizes % 4 > 0
         for k in np.flatnonzero(odd):

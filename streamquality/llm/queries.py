@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..staging import staging_root
 from . import (bpe, check_sql, credentials, decontaminate, extract, fingerprints, jaccard, licenses, merkle, mixing, negatives, packed,
                quality, substrings, vocab)
-from .common import table
+from .common import release, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = check_sql.SQL
@@ -29,10 +29,10 @@ def query(fn):
 @query
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     merges = bpe.compile_merges(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), merges)
+    rows = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), merges, digest=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+                       "decoded_sha256")
 
 
 @query
@@ -44,6 +44,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed.write_tokens(vocab.encode(ordered, vocabulary, end=2), path, vocabulary.size)
 
     def digest(batches):
+        release()
         for batch in batches:
             lists = batch.column("ids")
             values, offsets = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()

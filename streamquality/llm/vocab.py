@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, held
 from .pieces import PieceEncoder
 
 #: The file's text goes to the workers with the closure: its size is fixed.
@@ -60,12 +60,8 @@ class AddedTokens:
         return np.concatenate([self.ids[part] if k % 2 else encoder.encode(part) for k, part in enumerate(self.cut(text))])
 
 
-_ENCODERS: dict[int, PieceEncoder] = {}
-
-
 def _encoder(vocabulary: Vocabulary) -> PieceEncoder:
-    key = hash(vocabulary)
-    if key not in _ENCODERS:
+    def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         model = Tokenizer.from_str(vocabulary.json).model
@@ -76,8 +72,8 @@ def _encoder(vocabulary: Vocabulary) -> PieceEncoder:
             else:
                 spelt = "".join([letters[b] for b in piece.encode()])
             return [t.id for t in model.tokenize(spelt)]
-        _ENCODERS[key] = PieceEncoder(vocabulary.pattern, piece_ids)
-    return _ENCODERS[key]
+        return PieceEncoder(vocabulary.pattern, piece_ids)
+    return held((__name__, hash(vocabulary)), make)
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text",
@@ -103,5 +99,5 @@ def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str
         ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays).astype(np.int32)))
         return pa.RecordBatch.from_arrays([batch.column("k"), ids], ["k", "ids"])
     rows = arrow_map(df.select(F.col(key).alias("k"), F.col(text).alias("t")), run,
-                     f"k {df.schema[key].dataType.simpleString()}, ids array<int>", "t")
+                     f"k {df.schema[key].dataType.simpleString()}, ids array<int>", "t", lambda: _encoder(vocabulary).forget())
     return rows.withColumnRenamed("k", key)
