@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
+from .bitmap import BITS, bitmap, unpacked
 from .common import WordHashes, rows_by_size
 
-#: Bits of the bitmap's index: 2 MB on the wire, 16 MB in a worker.
-BITS = 24
 #: Bytes of a text that are split into words at a time.
 SEGMENT = 4 << 20
 #: ASCII letters in lower case and digits stay, other ASCII parts words; bytes of other characters are words'.
@@ -100,22 +99,12 @@ def _windows(benchmark: DataFrame, item: str, text: str, size: int, width: int)
     return rows.mapInArrow(cut, f"item {kind}, window string, length int, tokens array<long>")
 
 
-def _bitmap(tokens: DataFrame, column: str) -> bytes:
-    """2^BITS bits, those set at which the high bits of a token point."""
-    index = F.shiftrightunsigned(column, 64 - BITS)
-    cells = tokens.select(F.shiftright(index, 6).cast("int").alias("block"), index.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    rows = cells.groupBy("block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()
-    out = np.zeros(1 << (BITS - 6), np.int64)
-    out[[r["block"] for r in rows]] = [r["bits"] for r in rows]
-    return out.tobytes()
-
-
 def _counts(docs: DataFrame, text: str, size: int, widths: list[int], tokens: DataFrame) -> DataFrame:
     """``token, n``: how often each of ``tokens`` stands in the documents."""
-    packed = docs.sparkSession.sparkContext.broadcast(_bitmap(tokens, "token"))
+    packed = docs.sparkSession.sparkContext.broadcast(bitmap(tokens, "token"))
 
     def count(batches):
-        bits, hashes = np.unpackbits(np.frombuffer(packed.value, np.uint8), bitorder="little").view(bool), WordHashes()
+        bits, hashes = unpacked(packed.value), WordHashes()
         for batch in rows_by_size(batches, "t"):
             for parts in _packed(batch, size):
                 found = [t for _, _, _, t in _met([p[1] for p in parts], widths, bits, hashes)]
@@ -143,11 +132,11 @@ def _hits(docs: DataFrame, key: str, text: str, size: int, widths: list[int], pr
     """Rows ``k, at, n_words`` of all documents, and rows ``at, place, token, context, left`` of the
     shingles that may be a prefix: ``context`` are the words that a window around it may cover, of
     which ``left`` stand before it."""
-    packed = docs.sparkSession.sparkContext.broadcast(_bitmap(prefixes, "token"))
+    packed = docs.sparkSession.sparkContext.broadcast(bitmap(prefixes, "token"))
     most = max(widths, default=1)
 
     def find(batches):
-        bits, hashes = np.unpackbits(np.frombuffer(packed.value, np.uint8), bitorder="little").view(bool), WordHashes()
+        bits, hashes = unpacked(packed.value), WordHashes()
         for batch in rows_by_size(batches, "t"):
             words = np.zeros(batch.num_rows, np.int64)
             ids = batch.column("at").to_numpy()

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
+from .bitmap import bitmap, passes
 from .common import WordHashes, arrow_map, held, rows_by_size
 from .graph import components
 
@@ -299,6 +300,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     work = work.join(nodes.select("sid", "one.*"), "sid").select("family", "i", "j", "sid", F.col("k").alias("k2"), F.col("tie").alias("tie2"))
     work = stage(work, "jaccard-work")
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    texts = texts.filter(passes(F.xxhash64("k", F.xxhash64("t")), bitmap(work.select(F.xxhash64("k2", "tie2").alias("h")), "h")))
     # both sides grow with the corpus, so neither is broadcast at any size
     cells = texts.join(work.hint("merge"), F.col("k").eqNullSafe(F.col("k2")) & (F.xxhash64("t") == F.col("tie2")))
     cells = cells.select("family", "i", "j", "sid", "t").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
@@ -316,9 +318,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 def distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component of :func:`join` the row of
     the smallest key, once. Rows without words stay."""
-    found = join(docs, key, text, width, percent).filter("first").select(
-        F.col(key).alias("_key"), F.col("tie").alias("_tie"), (F.col("n_shingles") == 0).alias("_all")).distinct()
-    tie = F.xxhash64(F.col(text))
-    rows = docs.join(found, F.col(key).eqNullSafe(F.col("_key")) & (tie == F.col("_tie")))
-    copy = F.row_number().over(Window.partitionBy("_key", "_tie").orderBy("_tie"))
-    return rows.withColumn("_copy", copy).filter("_all or _copy = 1").select(*docs.columns)
+    found = join(docs, key, text, width, percent).select(
+        F.col(key).alias("_key"), F.col("tie").alias("_tie"), F.col("n_shingles").alias("_n"), "first")
+    # rows of which some go: those that don't stand first, and repeated ones; the others stay where they are
+    some = stage(found.filter("_n > 0").groupBy("_key", "_tie").agg(F.count("*").alias("_rows"), F.bool_or("first").alias("_first"))
+                 .filter("not _first or _rows > 1"), "jaccard-dropped")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("_row"), F.col(key).alias("_k"), F.xxhash64(F.col(text)).alias("_t"))
+    may = passes(F.xxhash64("_k", "_t"), bitmap(some.select(F.xxhash64("_key", "_tie").alias("h")), "h"))
+    met = rows.filter(may).join(some.hint("merge"), F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_tie")), "left")
+    copy = F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_t"))
+    kept = met.withColumn("_copy", copy).filter("_first is null or (_first and _copy = 1)")
+    return rows.filter(~may).select("_row.*").unionByName(kept.select("_row.*"))
