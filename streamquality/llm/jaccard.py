@@ -10,12 +10,14 @@ Sets with the same prefix and size become one group. Groups meet in the bucket o
 element; pairs pass by size and by a parity bitmap, which bounds the difference of the sets from
 below (bits in which a group's members differ don't count). A bucket gives a spanning forest of
 its passing pairs, not the pairs. The components of these forests, expanded to their members, hold
-every link, and within them sets are rebuilt from the texts and compared exactly. Large buckets
-and components are split into blocks, and each pair of blocks is one piece of work.
+every link, and within them sets are rebuilt from the texts and compared exactly. Large components
+are taken apart by size (sets that link differ little in it); what is still large, buckets included,
+is split into blocks, and each pair of blocks is one piece of work.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,11 +254,11 @@ def _links(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Itera
     here, members = None, {}
     for batch in batches:
         edges = []
-        for family, i, j, sid, t in zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j", "sid", "t"))):
-            if (family, i, j) != here:
+        for *cell, sid, t in zip(*(batch.column(c).to_pylist() for c in ("family", "band", "i", "j", "sid", "t"))):
+            if cell != here:
                 if len(members) > 1:
                     edges += solve(members)
-                here, members = (family, i, j), {}
+                here, members = cell, {}
             if sid not in members:
                 h = shingles(t, width)
                 if identity(h) == sid:
@@ -295,15 +297,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     members = members.join(families.withColumnRenamed("node", "gid"), "gid", "left").select(
         "sid", "n", F.coalesce("root", "gid").alias("family"))
     sizes = members.groupBy("family").agg(F.sum("n").alias("all"), F.count("*").alias("m")).filter("m > 1")
-    work = members.join(sizes, "family").withColumn("blocks", F.ceil(F.col("all") / CELL))
-    work = _in_blocks(work, "family", F.col("blocks"), "sid").select("family", "i", "j", "sid")
-    work = work.join(nodes.select("sid", "one.*"), "sid").select("family", "i", "j", "sid", F.col("k").alias("k2"), F.col("tie").alias("tie2"))
+    # sets that link are of the same or neighbouring size classes: a large family is looked at two classes at a time
+    step = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-9
+    own = F.floor(F.log("n") / F.lit(step))
+    work = members.join(sizes, "family").select("family", "sid", "n", F.explode(
+        F.when(F.col("all") > CELL, F.array(own - 1, own)).otherwise(F.array(F.lit(0).cast("long")))).alias("band"))
+    bands = work.groupBy("family", "band").agg(F.sum("n").alias("all"), F.count("*").alias("m")).filter("m > 1")
+    work = work.join(bands, ["family", "band"]).withColumn("blocks", F.ceil(F.col("all") / CELL))
+    work = _in_blocks(work, "family", F.col("blocks"), "sid").select("family", "band", "i", "j", "sid")
+    work = work.join(nodes.select("sid", "one.*"), "sid").select("family", "band", "i", "j", "sid", F.col("k").alias("k2"), F.col("tie").alias("tie2"))
     work = stage(work, "jaccard-work")
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     texts = texts.filter(passes(F.xxhash64("k", F.xxhash64("t")), bitmap(work.select(F.xxhash64("k2", "tie2").alias("h")), "h")))
     # both sides grow with the corpus, so neither is broadcast at any size
     cells = texts.join(work.hint("merge"), F.col("k").eqNullSafe(F.col("k2")) & (F.xxhash64("t") == F.col("tie2")))
-    cells = cells.select("family", "i", "j", "sid", "t").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    cell = ["family", "band", "i", "j"]
+    cells = cells.select(*cell, "sid", "t").repartition(*cell).sortWithinPartitions(*cell)
     links = components(cells.mapInArrow(lambda batches: _links(batches, width, percent), "a long, b long"))
     rows = known.join(links.withColumnRenamed("node", "sid"), "sid", "left").select(
         "k", "tie", "n", F.coalesce("root", "sid").alias("root"))
