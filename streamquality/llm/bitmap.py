@@ -3,7 +3,10 @@ table, however large that table is. It only spares work; what passes is joined e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,14 @@ def unpacked(bits: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool)
 
 
-def passes(hash_: Column, bits: bytes) -> Column:
-    """Whether the bit of a hash is set; true for every hash that the bitmap was made from."""
-    index = F.shiftrightunsigned(hash_, 64 - BITS)
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bits)), (F.shiftright(index, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, index.bitwiseAND(F.lit(7)).cast("int")) == 1
+def passes(df: DataFrame, hashes: DataFrame) -> Callable[[Column], Column]:
+    """A test for rows of ``df``: whether the bit of a hash is set, as it is for each of ``hashes`` (one long
+    column). Workers get the hashes of the rows alone; the bitmap is a broadcast of fixed size."""
+    packed = df.sparkSession.sparkContext.broadcast(bitmap(hashes, hashes.columns[0]))
+
+    @F.pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        index = values.to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+        bits = np.frombuffer(packed.value, np.uint8)
+        return pd.Series((bits[(index >> np.uint64(3)).astype(np.int64)] >> (index & np.uint64(7)).astype(np.uint8)) & 1 > 0)
+    return test

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .bitmap import bitmap, passes
+from .bitmap import passes
 from .common import WordHashes, arrow_map, held, rows_by_size
 from .graph import components
 
@@ -308,7 +308,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     work = work.join(nodes.select("sid", "one.*"), "sid").select("family", "band", "i", "j", "sid", F.col("k").alias("k2"), F.col("tie").alias("tie2"))
     work = stage(work, "jaccard-work")
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    texts = texts.filter(passes(F.xxhash64("k", F.xxhash64("t")), bitmap(work.select(F.xxhash64("k2", "tie2").alias("h")), "h")))
+    may = passes(docs, work.select(F.xxhash64("k2", "tie2").alias("h")))
+    texts = texts.filter(may(F.xxhash64("k", F.xxhash64("t"))))
     # both sides grow with the corpus, so neither is broadcast at any size
     cells = texts.join(work.hint("merge"), F.col("k").eqNullSafe(F.col("k2")) & (F.xxhash64("t") == F.col("tie2")))
     cell = ["family", "band", "i", "j"]
@@ -334,7 +335,7 @@ def distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
                  .filter("not _first or _rows > 1"), "jaccard-dropped")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("_row"), F.col(key).alias("_k"), F.xxhash64(F.col(text)).alias("_t"))
-    may = passes(F.xxhash64("_k", "_t"), bitmap(some.select(F.xxhash64("_key", "_tie").alias("h")), "h"))
+    may = passes(docs, some.select(F.xxhash64("_key", "_tie").alias("h")))(F.xxhash64("_k", "_t"))
     met = rows.filter(may).join(some.hint("merge"), F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_tie")), "left")
     copy = F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_t"))
     kept = met.withColumn("_copy", copy).filter("_first is null or (_first and _copy = 1)")
