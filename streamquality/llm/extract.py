@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -21,9 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMED_TAG = r"<!--.*?(?:-->|\Z)|<(/?)%s(?![^\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: As HTML reads them: quotes hold a value only after the equals sign, an unquoted value ends at white space or ``>``.
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>]+)"""
+_INSIDE = r"((?:[\s/=]|[^\s/>=]++(?:\s*+=\s*+%s?+)?+)*+)" % _VALUE
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)%s(?:>|\Z)" % _INSIDE, re.S)
+_NAMED_TAG = r"<!--.*?(?:-->|\Z)|<(/?)%s(?![^\s/>])" + _INSIDE + r"(?:>|\Z)"
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(%s))?" % _VALUE)
+_NAMING = frozenset(("class", "id", "role"))
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？«»“”]")
 
@@ -61,7 +64,7 @@ def _tag(name: str) -> str:
 def _ends(page: str, tag: str) -> dict[int, int]:
     """Where each start tag of the name begins: the place behind the end tag that belongs to it."""
     out, open_at = {}, []
-    for m in re.finditer(_NAMED_TAG % tag, page, re.S | re.I):
+    for m in re.finditer(_NAMED_TAG.replace("%s", tag, 1), page, re.S | re.I):
         if m[1]:
             if open_at:
                 out[open_at.pop()] = m.end()
@@ -79,10 +82,28 @@ class Mark(NamedTuple):
     inside: bool  # an article or main
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
-    """``(path, text, aside, characters in links)`` of each block of text, in page order."""
-    stack: list[tuple[str, str, tuple[int, ...]]] = []  # tag, name in paths, marks of it and of what holds it
-    out, parts, linked = [], [], [0]
+class Paths:
+    """Tag paths as a tree: a number for each path, behind that of the path it extends. 0 is the empty path."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.depth = [-1], [""], [0]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def below(self, path: int, name: str) -> int:
+        found = self._known.get((path, name))
+        if found is None:
+            found = self._known[path, name] = len(self.parent)
+            self.parent.append(path)
+            self.tag.append(_tag(name))
+            self.depth.append(self.depth[path] + 1)
+        return found
+
+
+def blocks(page: str) -> tuple[Paths, list[tuple[int, str, bool, int]]]:
+    """The page's paths, and ``(path, text, aside, characters in links)`` of each block of text, in page order."""
+    paths = Paths()
+    stack: list[tuple[str, int, tuple[int, ...]]] = []  # tag, path, marks of it and of what holds it
+    out, parts, linked = [], [], [0, 0]  # characters in links, links open
     marks: list[Mark] = []
     openings: list[tuple[int, ...]] = []  # marks around each h1, article and main
 
@@ -90,20 +111,20 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
         text = _SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
         if text:
-            path = tuple(name for _, name, _ in stack if name)
-            out.append((path, text, stack[-1][2] if stack else (), linked[0]))
+            out.append((stack[-1][1] if stack else 0, text, stack[-1][2] if stack else (), linked[0]))
         linked[0] = 0
 
     def add(raw: str) -> None:
         if raw:
             text = html.unescape(raw)
             parts.append(text)
-            if any(tag == "a" for tag, _, _ in stack):
+            if linked[1]:
                 linked[0] += len(text.strip())
 
     def pop_to(i: int) -> None:
         if any(tag not in INLINE for tag, _, _ in stack[i:]):
             flush()
+        linked[1] -= sum(tag == "a" for tag, _, _ in stack[i:])
         del stack[i:]
 
     at, n = 0, len(page)
@@ -161,7 +182,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
         inline = tag in INLINE
         if not inline:
             flush()
-        named = [(name.lower(), v.strip("\"'").lower()) for name, v in _ATTRIBUTE.findall(m[3] or "")]
+        named = [(name.lower(), v.strip("\"'").lower()) for name, v in _ATTRIBUTE.findall(m[3] or "") if name.lower() in _NAMING]
         words = {True: (), False: ()}
         if tag not in ("html", "body", "main", "article"):
             for name, v in named:
@@ -174,102 +195,122 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
             held += (len(marks),)
             marks.append(Mark(tag, words[False], words[True], any(t in ("article", "main") for t, _, _ in stack)))
         first = " ".join(v for _, v in named).split()[:1]
-        stack.append((tag, "" if inline else tag + "".join("." + w for w in first), held))
         if (m[3] or "").endswith("/") and inline:
-            stack.pop()
+            continue
+        around = stack[-1][1] if stack else 0
+        stack.append((tag, around if inline else paths.below(around, tag + "".join("." + w for w in first)), held))
+        linked[1] += tag == "a"
     flush()
-    lifted = _lifted(out, marks, openings)
-    return [(path, text, not lifted.issuperset(held), links) for path, text, held, links in out]
+    lifted = _lifted(out, marks, openings, paths)
+    return paths, [(path, text, not lifted.issuperset(held), links) for path, text, held, links in out]
 
 
-def _lifted(nodes: list, marks: list[Mark], openings: list[tuple[int, ...]]) -> set[int]:
+def _lifted(nodes: list, marks: list[Mark], openings: list[tuple[int, ...]], paths: Paths) -> set[int]:
     """The marks of no aside. One holds most of the page's text and punctuation, and the article's
     beginning or all but a sixth of the text that no other mark takes out; or it is a section
     inside the article that is named after its heading or by an id of its own."""
     if not marks:
         return set()
     inner = [[] for _ in marks]
+    begun = [[] for _ in marks]
     sizes = []
     for k, (_, text, held, linked) in enumerate(nodes):
         plain = max(0, len(text) - linked)
         sizes.append((plain, len(_PUNCTUATION.findall(text)) * plain / len(text)))
         for i in held:
             inner[i].append(k)
+    for k, held in enumerate(openings):
+        for i in held:
+            begun[i].append(k)
+    # how many marks still take a node, or an opening, out
+    left, closed = [len(held) for _, _, held, _ in nodes], [len(held) for held in openings]
     whole, points = sum(n for n, _ in sizes), sum(p for _, p in sizes)
+    free, opened = sum(n for (n, _), c in zip(sizes, left) if not c), sum(not c for c in closed)
     lifted: set[int] = set()
+
+    def lift(i: int) -> None:
+        nonlocal free, opened
+        lifted.add(i)
+        for k in inner[i]:
+            left[k] -= 1
+            free += sizes[k][0] * (not left[k])
+        for k in begun[i]:
+            closed[k] -= 1
+            opened += not closed[k]
+
     for i, mark in enumerate(marks):  # outer ones come first
         if mark.tag in NEVER_TAGS or not inner[i]:
             continue
         text = sum(sizes[k][0] for k in inner[i])
         if 2 * text > whole and 2 * sum(sizes[k][1] for k in inner[i]) >= points:
-            rest = sum(n for (n, _), (_, _, held, _) in zip(sizes, nodes) if lifted.issuperset(held))
-            begins = any(lifted.issuperset(set(held) - {i}) for held in openings if i in held)
-            if 5 * rest < text or begins and not any(lifted.issuperset(held) for held in openings if i not in held):
-                lifted.add(i)
+            if 5 * free < text or any(closed[k] == 1 for k in begun[i]) and not opened:
+                lift(i)
         elif mark.inside and mark.tag not in ASIDE_TAGS and not any(map(_THREAD.search, mark.by_class + mark.by_id)):
             path, heading, _, _ = nodes[inner[i][0]]
-            titled = bool(path) and _tag(path[-1]) in HEADINGS
+            titled = paths.tag[path] in HEADINGS
             own_id = not mark.by_class and (titled or mark.tag == "section")
             by_title = mark.tag == "section" and titled and all(w in heading.lower() for w in mark.by_class)
             if (own_id or by_title) and text >= 0.4 * sum(len(nodes[k][1]) for k in inner[i]):
-                lifted.add(i)
+                lift(i)
     return lifted
 
 
 def main_text(page: str, keep: float = 0.08) -> str:
-    """The content blocks of a page, joined by line feeds."""
-    nodes = blocks(page)
-    length, points, count = defaultdict(float), defaultdict(float), defaultdict(int)
+    """The content blocks of a page, joined by line feeds. Time is linear in the page's size but for
+    the search for what an end tag closes."""
+    paths, nodes = blocks(page)
+    parent, tag, depth = paths.parent, paths.tag, paths.depth
+    length, points, held = [0.0] * len(parent), [0.0] * len(parent), [False] * len(parent)
+    counted = set()
     for path, text, aside, linked in nodes:
         if not aside:
             plain = max(0, len(text) - linked)
-            marks = len(_PUNCTUATION.findall(text)) * plain / len(text)
-            for depth in range(1, len(path) + 1):  # a container gathers what lies in it
-                length[path[:depth]] += plain
-                points[path[:depth]] += marks
-            count[path] += 1
-    if not count:
+            length[path] += plain
+            points[path] += len(_PUNCTUATION.findall(text)) * plain / len(text)
+            counted.add(path)
+    if not counted:
         return ""
-    whole = max(sum(length[p] for p in {q[:1] for q in count}), 1.0)
-    marks = max(sum(points[p] for p in {q[:1] for q in count}), 1.0)
-
-    def ratio(container: tuple[str, ...]) -> float:
-        return 0.7 * length[container] / whole + 0.3 * points[container] / marks
-
-    around = {q[:depth] for q in count for depth in range(1, len(q)) if _tag(q[depth - 1]) not in _PARTS}
-    centre = max((c for c in around if ratio(c) > 0.5), key=len, default=None)
-
-    def home(path: tuple[str, ...]) -> int:
-        """Depth of the article around the path: what the page calls so, or else the innermost
-        container that holds most of the page. 0 if the path lies in neither."""
-        named = (depth for depth in range(len(path), 0, -1) if _tag(path[depth - 1]) in ("article", "main"))
-        return next(named, len(centre) if centre and path[:len(centre)] == centre else 0)
-
-    def fused(path: tuple[str, ...]) -> float:
-        """Text and punctuation of the path, smoothed over the containers around it: each one
-        farther out counts half, down to its article, which counts no less than the first of
-        them, or else to the body."""
-        score = scale = 0.0
-        weight, last = 1.0, home(path)
-        for depth in range(len(path), 0, -1):
-            if depth == last < len(path):
-                weight = 0.5
-            score += weight * ratio(path[:depth])
-            scale += weight
-            weight /= 2
-            if depth == last and _tag(path[depth - 1]) in ("article", "main"):
-                score += weight  # what the page itself calls its article
-            if depth == last or _tag(path[depth - 1]) in ("body", "html"):
-                break
-        return score / scale if path else 1.0
-
-    scores = {path: fused(path) for path in count}
-    best = max(scores.values())
+    for p in range(len(parent) - 1, 0, -1):  # a container gathers what lies in it
+        if parent[p]:
+            length[parent[p]] += length[p]
+            points[parent[p]] += points[p]
+        held[parent[p]] |= held[p] or p in counted
+    top = [p for p in range(1, len(parent)) if not parent[p]]
+    whole, marks = max(sum(length[p] for p in top), 1.0), max(sum(points[p] for p in top), 1.0)
+    ratio = [0.7 * a / whole + 0.3 * b / marks for a, b in zip(length, points)]
+    centre = max((p for p in range(1, len(parent)) if held[p] and tag[p] not in _PARTS and ratio[p] > 0.5), key=depth.__getitem__, default=0)
+
+    # home: the article around a path, that is what the page calls so, or else the innermost container
+    # that holds most of the page; 0 if it lies in neither
+    named, home = [0] * len(parent), [0] * len(parent)
+    # text and punctuation of the path, smoothed over the containers around it: each one farther out
+    # counts half, down to its article, which counts no less than the first of them, or else to the body
+    sums, scale, reaches = [0.0] * len(parent), [1.0] * len(parent), [False] * len(parent)
+    scores = [1.0] * len(parent)
+    under = [False] * len(parent)
+    for p in range(1, len(parent)):
+        up = parent[p]
+        under[p] = p == centre or under[up]
+        named[p] = p if tag[p] in ("article", "main") else named[up]
+        h = home[p] = named[p] or (centre if under[p] else 0)
+        own = tag[h] in ("article", "main")  # what the page itself calls its article
+        sums[p] = ratio[p]
+        if p == h:
+            scores[p] = ratio[p] + 0.5 * own
+            continue
+        if tag[p] not in ("body", "html"):
+            reaches[p] = h > 0 and up == h
+            if up and up != h:
+                sums[p] += sums[up] / 2
+                scale[p] += scale[up] / 2
+                reaches[p] = reaches[up]
+        scores[p] = (sums[p] + 0.5 * ratio[h] + 0.25 * own) / (scale[p] + 0.5) if reaches[p] else sums[p] / scale[p]
+    best = max(scores[p] for p in counted)
     kept = []
     for path, text, aside, linked in nodes:
         if not aside and scores[path] >= keep * best:
-            depth = home(path) if linked > 0.6 * len(text) else 0
-            written = depth and _tag(path[depth - 1]) not in ("body", "html") and (
+            within = home[path] if linked > 0.6 * len(text) else 0
+            written = within and tag[within] not in ("body", "html") and (
                 len(_PUNCTUATION.findall(text)) > 1 or text[-1] in ".!?…。！？")
             if linked <= 0.6 * len(text) or written:  # links that read as sentences: references, not a menu
                 kept.append(text)

@@ -6,13 +6,14 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from streamquality.llm import decontaminate, merkle, negatives
+from streamquality.llm import decontaminate, extract, merkle, negatives
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, leaf string, at long, k string, row string, node string"
@@ -229,3 +230,20 @@ def test_bounds_spare_work():
     assert (scores.low <= exact).all() and (exact <= scores.high).all()
     assert all(scores.known[i][exact[i] >= bar[i]].all() for i in range(20))
     assert scores.rescored < exact.size / 4
+
+
+# 2: main text of odd markup ---------------------------------------------------------------------
+
+def test_attributes_are_read_as_html_does():
+    page = ("<body><article><p title=it's>One, two.</p><p>Three, four.</p><p title=don't>Five.</p><p data-x='a>b' title = \"it's\" x=/y/>Six.</p>"
+            "<p data-note=class=ad>Nine.</p><p '>Ten.</p></article><div title='class=x' class=ad>Buy, now.</div></body>")
+    assert extract.main_text(page) == "One, two.\nThree, four.\nFive.\nSix.\nNine.\nTen."
+    assert extract.main_text("<body><p title=\"never closed>Seven, eight.</p><p>Nine.</p></body>") == "Seven, eight.\nNine."
+
+
+@pytest.mark.parametrize("tag", ["div", "section class=x", "span", "a href=x", "li"])
+def test_time_is_linear_in_nesting(tag):
+    page = "<body><article>" + f"<{tag}>Some text, here. " * 5000
+    began = time.process_time()
+    assert extract.main_text(page)
+    assert time.process_time() - began < 3
