@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..session import ship_package
 
@@ -62,7 +63,7 @@ def rows_by_size(batches: Iterator[pa.RecordBatch], of: str, limit: int = 4 << 2
             yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, of: str,
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, of: str,
               end: Callable[[], None] = release) -> DataFrame:
     """``fn`` on bounded Arrow batches of ``df``; ``of`` is the column whose bytes are bounded. ``end`` is
     called when a task's rows are over."""

@@ -136,25 +136,21 @@ def written(spans) -> F.Column:
 
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 200, mark: str = "[SECRET]") -> DataFrame:
     """The rows of ``df`` with every reported span replaced by ``mark`` (overlapping ones by one).
-    Rows without a span are untouched; null texts stay null."""
-    def cut(batches):
-        for batch in batches:
-            texts = []
-            for t, spans in zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist()):
-                out, at = [], 0
-                for s in spans or []:
-                    if s["start"] >= at:
-                        out += [t[at:s["start"]], mark]
-                    at = max(at, s["end"])
-                texts.append(t if not spans else "".join(out) + t[at:])
-            rest = [batch.column(c) for c in batch.schema.names if c not in ("t", "spans")]
-            names = [c for c in batch.schema.names if c not in ("t", "spans")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], [*names, "t"])
+    Rows without a span are untouched; null texts stay null. Other columns are carried along, whatever
+    their names."""
+    def cut(batch):
+        texts = []
+        for t, spans in zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist()):
+            out, at = [], 0
+            for s in spans or []:
+                if s["start"] >= at:
+                    out += [t[at:s["start"]], mark]
+                at = max(at, s["end"])
+            texts.append(t if not spans else "".join(out) + t[at:])
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "t"])
     spans = scan(df, key, text, reach).filter("size(spans) > 0").select(
-        F.col(key).alias("_k"), F.col("tie").alias("_tie"), "spans").dropDuplicates(["_k", "_tie"])
-    rows = df.withColumns({"_at": F.xxhash64(F.col(text))})
-    rows = rows.join(spans, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_at") == F.col("_tie")), "left").drop("_k", "_tie", "_at")
-    rows = rows.withColumnRenamed(text, "t")
-    others = [f for f in rows.schema.fields if f.name not in ("t", "spans")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", t string"
-    return rows.mapInArrow(cut, schema).withColumnRenamed("t", text).select(*df.columns)
+        F.col(key).alias("k2"), F.col("tie").alias("tie2"), "spans").dropDuplicates(["k2", "tie2"])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = rows.join(spans, F.col("k").eqNullSafe(F.col("k2")) & (F.xxhash64("t") == F.col("tie2")), "left").select("row", "t", "spans")
+    done = arrow_map(rows, cut, rows.select("row", "t").schema, "t")
+    return done.select(*[F.col("t").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])

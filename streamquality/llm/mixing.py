@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
+from .common import arrow_map
 
 SPREAD = 256
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -177,32 +178,30 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 def mixed_texts(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """The rows of ``df`` with the words that the mixture takes of each, pass by pass, in their
     order and with the white space between them; passes, and words apart, are parted by a line
-    feed. A row of which nothing is taken is left out."""
+    feed. A row of which nothing is taken is left out. Other columns are carried along, whatever their names."""
     items, slots = mix(df, key, text, source, **settings)
-    runs = slots.groupBy("no", "offset").agg(F.sort_array(F.collect_list(F.struct("copy", "from_word", "to_word"))).alias("_runs"))
-    order = Window.partitionBy("_key", "_tie", "_source")
+    runs = slots.groupBy("no", "offset").agg(F.sort_array(F.collect_list(F.struct("copy", "from_word", "to_word"))).alias("runs"))
     taken = items.filter("size > 0").join(runs, ["no", "offset"]).select(
-        F.col(key).alias("_key"), F.col("tie").alias("_tie"), F.col("source").alias("_source"), "_runs", "offset")
-    taken = taken.withColumn("_copy", F.row_number().over(order.orderBy("offset"))).drop("offset")
-    rows = df.withColumns({"_at": F.xxhash64(F.col(text)), "_number": F.row_number().over(
-        Window.partitionBy(key, F.xxhash64(F.col(text)), source).orderBy(F.lit(0)))})
-    same = (F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_tie")) & F.col(source).eqNullSafe(F.col("_source"))
-            & (F.col("_number") == F.col("_copy")))
-    rows = rows.join(taken, same).select(*[F.col(c) for c in df.columns if c != text], F.col(text).alias("t"), "_runs")
-    rest = [f for f in rows.schema.fields if f.name not in ("t", "_runs")]
-
-    def cut(batches):
-        for batch in batches:
-            texts = []
-            for t, taken in zip(batch.column("t").to_pylist(), batch.column("_runs").to_pylist()):
-                at = [m.span() for m in _WORD.finditer(t)]
-                joined: list[list[int]] = []
-                for r in taken:
-                    if joined and joined[-1][0] == r["copy"] and joined[-1][2] == r["from_word"]:
-                        joined[-1][2] = r["to_word"]
-                    else:
-                        joined.append([r["copy"], r["from_word"], r["to_word"]])
-                texts.append("\n".join(t[at[a][0]:at[b - 1][1]] for _, a, b in joined))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(texts, pa.string())], [*(f.name for f in rest), "t"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", t string"
-    return rows.mapInArrow(cut, schema).withColumnRenamed("t", text).select(*df.columns)
+        F.col(key).alias("k2"), F.col("tie").alias("tie2"), F.col("source").alias("s2"), "runs", "offset")
+    order = Window.partitionBy("k2", "tie2", "s2").orderBy("offset")
+    taken = taken.withColumn("copy2", F.row_number().over(order)).drop("offset")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row"), F.col(key).alias("k"),
+                     F.col(source).alias("s"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("tie"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("k", "tie", "s").orderBy(F.lit(0))))
+    same = (F.col("k").eqNullSafe(F.col("k2")) & (F.col("tie") == F.col("tie2")) & F.col("s").eqNullSafe(F.col("s2")) & (F.col("copy") == F.col("copy2")))
+    rows = rows.join(taken, same).select("row", "t", "runs")
+
+    def cut(batch):
+        texts = []
+        for t, taken in zip(batch.column("t").to_pylist(), batch.column("runs").to_pylist()):
+            at = [m.span() for m in _WORD.finditer(t)]
+            joined: list[list[int]] = []
+            for r in taken:
+                if joined and joined[-1][0] == r["copy"] and joined[-1][2] == r["from_word"]:
+                    joined[-1][2] = r["to_word"]
+                else:
+                    joined.append([r["copy"], r["from_word"], r["to_word"]])
+            texts.append("\n".join(t[at[a][0]:at[b - 1][1]] for _, a, b in joined))
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "t"])
+    done = arrow_map(rows, cut, rows.select("row", "t").schema, "t")
+    return done.select(*[F.col("t").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])

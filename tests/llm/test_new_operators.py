@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from streamquality.llm import decontaminate, extract, merkle, negatives
+from streamquality.llm import credentials, decontaminate, extract, jaccard, merkle, mixing, negatives
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, leaf string, at long, k string, row string, node string"
@@ -247,3 +247,16 @@ def test_time_is_linear_in_nesting(tag):
     began = time.process_time()
     assert extract.main_text(page)
     assert time.process_time() - began < 3
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = "t spans runs row k k2 tie tie2 s s2 copy copy2 _k _runs _copy _row _t no offset `a.b`".split()
+    text = " ".join(f"w{i}" for i in range(300)) + " password = hunter2secret"
+    rows = [(i, text if i % 2 else None, "s", *range(len(names))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    clean = credentials.redact(df).orderBy("doc_id").collect()
+    assert [tuple(r)[2:] for r in clean] == [r[2:] for r in rows] and all(r.text is None or r.text.endswith("[SECRET]") for r in clean)
+    mixed = mixing.mixed_texts(df, block=8).orderBy("doc_id").collect()
+    assert {r.doc_id for r in mixed} <= {1, 3, 5} and all(tuple(r)[3:] == tuple(range(len(names))) for r in mixed)
+    unique = jaccard.distinct(df).orderBy("doc_id").collect()
+    assert [r.doc_id for r in unique] == [0, 1, 2, 4] and all(tuple(r)[3:] == tuple(range(len(names))) for r in unique)
