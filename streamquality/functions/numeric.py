@@ -56,6 +56,12 @@ def esr_terms(count: str, slice_size: int) -> list[Column]:
     ]
 
 
+def blind(value: Column | str) -> Column:
+    """A measured value without its last digits, which depend on the order of a sum: what values
+    are ranked or compared by when only rounding may tell them apart."""
+    return F.round(value, 12)
+
+
 def esr(ntss: str = "ntss", ln: str = "ln") -> Column:
     return F.sqrt(F.col(ntss) * F.col(ln))
 

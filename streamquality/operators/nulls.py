@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.numeric import lowest_terms
+from ..functions.numeric import blind, lowest_terms
 from ..staging import attach
 from . import grid
 from .order import frame_length, shuffle_marks
@@ -28,9 +28,9 @@ def retention_profile(points: DataFrame, keys: list[str]) -> DataFrame:
 def fixed_gain(profile: DataFrame, keys: list[str]) -> DataFrame:
     """Best retention below 1 on the mean curve, and how many means are positive."""
     below = profile.where("r_pct < 100")
-    best = F.max_by(F.struct("r_pct", "mean"), F.struct("mean", -F.col("r_pct")))
+    best = F.max_by(F.struct("r_pct", "mean"), F.struct(blind("mean"), -F.col("r_pct")))
     return below.groupBy(*keys).agg(
-        best.alias("_b"), F.count_if(F.col("mean") > 0).alias("n_positive"),
+        best.alias("_b"), F.count_if(blind("mean") > 0).alias("n_positive"),
         F.count("*").alias("n_below_one")).select(
         *keys, F.col("_b.r_pct").alias("best_r_pct"), F.col("_b.mean").alias("best_mean"),
         "n_positive", "n_below_one", (F.col("n_positive") > 0).alias("raises_mesr"))
@@ -39,7 +39,7 @@ def fixed_gain(profile: DataFrame, keys: list[str]) -> DataFrame:
 def max_selected(points: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of each recording's own maximum: bounded below by the zero at r = 1."""
     per = points.groupBy(*keys, KEY).agg(F.max_by(
-        F.struct("r_pct", "delta"), F.struct("delta", -F.col("r_pct"))).alias("_b"))
+        F.struct("r_pct", "delta"), F.struct(blind("delta"), -F.col("r_pct"))).alias("_b"))
     return per.groupBy(*keys).agg(
         F.avg("_b.delta").alias("mean"), F.count("*").alias("n"),
         F.avg((F.col("_b.r_pct") == 100).cast("double")).alias("share_argmax_at_r1"))
@@ -57,14 +57,14 @@ def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def draw_sensitivity(seed_profiles: DataFrame, keys: list[str]) -> DataFrame:
     """Across-draw spread of the mean at each retention below 1, and draws above zero."""
     below = seed_profiles.where("r_pct < 100")
-    counts = below.groupBy(*keys, "r_pct").agg(F.count_if(F.col("mean") > 0).alias("seeds_positive"))
+    counts = below.groupBy(*keys, "r_pct").agg(F.count_if(blind("mean") > 0).alias("seeds_positive"))
     return spread(below, [*keys, "r_pct"], "mean").join(counts, [*keys, "r_pct"])
 
 
 def positive_counts(seed_profiles: DataFrame, keys: list[str]) -> DataFrame:
     """Per draw: retentions below 1 with a positive mean."""
     return seed_profiles.where("r_pct < 100").groupBy(*keys, "seed").agg(
-        F.count_if(F.col("mean") > 0).alias("n_positive"), F.count("*").alias("n_below_one"))
+        F.count_if(blind("mean") > 0).alias("n_positive"), F.count("*").alias("n_below_one"))
 
 
 def blank_lead(filters: DataFrame, controls: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,7 +75,7 @@ def blank_lead(filters: DataFrame, controls: DataFrame, keys: list[str]) -> Data
     c = controls.select(*keys, KEY, "seed", F.col("delta").alias("control"))
     leads = filters.join(c, [*keys, KEY]).groupBy(*keys, "seed", "method").agg(
         F.avg(F.col("delta") - F.col("control")).alias("lead"), F.count("*").alias("n"))
-    best = F.max_by(F.struct("method", "lead", "n"), "lead")
+    best = F.min_by(F.struct("method", "lead", "n"), F.struct(-blind("lead"), "method"))
     return leads.groupBy(*keys, "seed").agg(best.alias("_b")).select(
         *keys, "seed", F.col("_b.method").alias("best_filter"), F.col("_b.lead").alias("lead"),
         F.col("_b.n").alias("n"))
@@ -234,8 +234,8 @@ def specificity(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def specificity_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where("r_pct < 100").groupBy(*keys, "method").agg(
-        F.count_if(F.col("before") > 0).alias("n_positive_before"),
-        F.count_if(F.col("after") > 0).alias("n_positive_after"),
+        F.count_if(blind("before") > 0).alias("n_positive_before"),
+        F.count_if(blind("after") > 0).alias("n_positive_after"),
         F.count("*").alias("n_retentions"))
 
 
@@ -252,12 +252,12 @@ def blank_margins(before: DataFrame, after: DataFrame, methods: list[str], null:
     diff = F.col("delta") - F.col("null_delta")
     return kept.join(base, [*on, "run"]).groupBy(*keys, "r_pct", "run", "method").agg(
         F.count("*").alias("n"), F.avg("delta").alias("delta"), F.avg(diff).alias("minus_null"),
-        F.count_if(diff > 0).alias("n_above_null"))
+        F.count_if(blind(diff) > 0).alias("n_above_null"))
 
 
 def best_margin(margins: DataFrame, keys: list[str], exclude: list[str]) -> DataFrame:
     return margins.where(~F.col("method").isin(exclude)).groupBy(*keys, "r_pct", "run").agg(
-        F.max_by("method", "minus_null").alias("best"), F.max("minus_null").alias("minus_null"))
+        F.min_by("method", F.struct(-blind("minus_null"), "method")).alias("best"), F.max("minus_null").alias("minus_null"))
 
 
 def level_lead(points: DataFrame, method: str, null: str, keys: list[str]) -> DataFrame:
@@ -266,7 +266,7 @@ def level_lead(points: DataFrame, method: str, null: str, keys: list[str]) -> Da
     b = points.where(F.col("method") == null).select(*keys, KEY, F.col("mesr").alias("b"))
     lead = F.col("a") - F.col("b")
     return a.join(b, [*keys, KEY]).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count_if(lead > 0).alias("n_positive"),
+        F.count("*").alias("n"), F.count_if(blind(lead) > 0).alias("n_positive"),
         F.avg(lead).alias("mean"), F.min(lead).alias("min"), F.max(lead).alias("max"))
 
 

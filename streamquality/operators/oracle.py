@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import priority
-from ..functions.numeric import div, esr, esr_terms, pixel, quota
+from ..functions.numeric import blind, div, esr, esr_terms, pixel, quota
 from ..schema import NATIVE_GRID_STEP, NATIVE_REL_TOL
 from .order import block_of, scored_events, with_mask_positions
 
@@ -134,8 +134,8 @@ def widest_filter_gap(cells: DataFrame, dataset: str = "dataset") -> DataFrame:
     pairs = method_pairs(cells.where(F.col("mesr").isNotNull()), [dataset, KEY], "mesr")
     means = pairs.groupBy(dataset, "a", "b").agg(
         F.avg(F.col("value_a") - F.col("value_b")).alias("diff"), F.count("*").alias("n_recordings"))
-    best = means.groupBy(dataset).agg(F.max_by(
-        F.struct("a", "b", "diff", "n_recordings"), F.abs("diff")).alias("w"))
+    best = means.groupBy(dataset).agg(F.min_by(
+        F.struct("a", "b", "diff", "n_recordings"), F.struct(-blind(F.abs("diff")), "a", "b")).alias("w"))
     up = F.col("w.diff") >= 0
     return best.select(dataset, F.abs("w.diff").alias("gap"),
                        F.when(up, F.col("w.a")).otherwise(F.col("w.b")).alias("higher"),
@@ -212,7 +212,7 @@ def oracle_violations(best: DataFrame, oracle: str, grid_step: float) -> DataFra
         F.count("*").alias("comparable_cells"), F.count_if(beats).alias("cells_beating_oracle"),
         F.count_if(beats & F.coalesce(near, F.lit(False))).alias("violations_at_native"),
         F.max("margin").alias("max_margin"), F.avg("margin").alias("mean_margin"),
-        F.max_by(F.when(beats, F.col("method")), "margin").alias("worst_method"))
+        F.min_by(F.when(beats, F.col("method")), F.struct(-blind("margin"), "method")).alias("worst_method"))
 
 
 # --- native mask against the swept mask ------------------------------------------------------

@@ -1,11 +1,15 @@
 """Bootstrap intervals, repetition draws and paired accuracy tests.
 
-Draws are rows, not loops: every (group, draw, slot) picks a cluster by hash, so the work
-spreads over draws and any draw can be recomputed on its own.
+A cluster bootstrap draws by multiplicity vectors: how often a draw picks each cluster, by hash of
+draw and slot, so the work spreads over pieces of the draws and any piece can be recomputed on its own.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import pick
@@ -13,56 +17,87 @@ from ..schema import SEED
 from ..staging import attach, stage
 
 DRAWS = 10_000
+PIECE = 500  # draws that a task takes at a time
+CELLS = 1 << 20  # multiplicities held at a time
 ZERO = 1e-12  # below this a bound is rounding residue of an exact zero
 
 
+def _picks(draws: np.ndarray, k: int, seed: int, algorithm: str) -> np.ndarray:
+    """For each draw and slot, which of ``k`` clusters is picked; the same for all groups of ``k`` clusters."""
+    if algorithm == "md5":
+        name = f"{seed}|%d|%d"
+        words = [int(hashlib.md5((name % (d, slot)).encode()).hexdigest()[:8], 16) for d in draws.tolist() for slot in range(k)]
+        return (np.array(words, np.int64) % k).reshape(len(draws), k)
+    x = (draws.astype(np.uint64)[:, None] << np.uint64(32)) + np.arange(k, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(32)).astype(np.int64) % k
+
+
+def _draw_means(seed: int, algorithm: str, draws: int):
+    """Means of a piece of the draws, from the clusters' sums and sizes: each cluster's multiplicity
+    in a draw is how often a slot picks it, and a draw's mean weighs the clusters by it."""
+    def run(batches):
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            means = []
+            for first, sums, sizes in zip(*(batch.column(c).to_pylist() for c in ("_first", "_sums", "_sizes"))):
+                sums, sizes, k = np.array(sums, float), np.array(sizes, float), len(sums)
+                own: list[float] = []
+                step = max(1, CELLS // k)
+                for at in range(first, min(first + PIECE, draws), step):
+                    piece = np.arange(at, min(at + step, first + PIECE, draws))
+                    times = held.get((k, at))
+                    if times is None:
+                        picks = _picks(piece, k, seed, algorithm) + np.arange(len(piece))[:, None] * k
+                        times = np.bincount(picks.ravel(), minlength=len(piece) * k).reshape(len(piece), k).astype(np.uint32)
+                        if len(held) >= 8:
+                            held.clear()
+                        held[k, at] = times
+                    own += ((times @ sums) / (times @ sizes)).tolist()
+                means.append(own)
+            rest = [c for c in batch.schema.names if c not in ("_first", "_sums", "_sizes")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(means, pa.list_(pa.float64()))], [*rest, "_means"])
+    return run
+
+
 def cluster_bootstrap(values: DataFrame, keys: list[str], value: str, cluster: str,
                       draws: int = DRAWS, seed: int = SEED, alpha: float | str = 0.05,
                       algorithm: str = "xxhash64") -> DataFrame:
     """Percentile interval of the pooled mean when whole clusters are resampled.
 
     Per group: mean, lo, hi, n, n_clusters, excludes_zero. Bounds are NULL below two clusters.
-    ``alpha`` may be a column name. A draw's mean weights clusters by their size. Cluster sums
-    are written once: every step reads them, and their known size decides the join with the
-    draws x clusters picks.
+    ``alpha`` may be a column name. A draw's mean weights clusters by their size. Clusters are
+    summed on the map side; a group's sums, two numbers a cluster, meet every piece of the draws,
+    where the clusters' multiplicity vectors weigh them. No row stands for a pick.
     """
     level = F.col(alpha) if isinstance(alpha, str) else F.lit(alpha)
     group = [*keys, *([alpha] if isinstance(alpha, str) else [])]
     known = values.where(F.col(value).isNotNull())
     sums = stage(known.groupBy(*group, F.col(cluster).alias("_cluster")).agg(
-        F.sum(value).alias("_sum"), F.count("*").alias("_n")), "clusters")
-    slots = sums.withColumn("_slot", F.row_number().over(
-        W.partitionBy(*group).orderBy("_cluster")) - 1)
-    head = sums.groupBy(*group).agg(
-        (F.sum("_sum") / F.sum("_n")).alias("mean"), F.sum("_n").alias("n"),
-        F.count("*").alias("n_clusters"))
-    sized = slots.select(*group, "_slot").join(
-        head.where(F.col("n_clusters") >= 2).select(*group, "n_clusters"), group)
-    picks = (sized.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-             .select(*group, "_draw", pick(F.col("n_clusters"), seed, F.col("_draw"),
-                                           F.col("_slot"), algorithm=algorithm).alias("_slot")))
-    means = (picks.join(slots.drop("_cluster"), [*group, "_slot"])
-             .groupBy(*group, "_draw").agg((F.sum("_sum") / F.sum("_n")).alias("_mean")))
-    lo_hi = F.percentile("_mean", F.array(F.lit(0.025), F.lit(0.975)))
-    if isinstance(alpha, str):
-        bounds = _bounds_at(means, group, level)
-    elif alpha == 0.05:
-        bounds = means.groupBy(*group).agg(lo_hi.alias("_ci"))
-    else:
-        bounds = means.groupBy(*group).agg(F.percentile("_mean", F.array(
-            F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_ci"))
+        F.sum(value).cast("double").alias("_sum"), F.count("*").alias("_n")), "clusters")
+    packed = sums.groupBy(*group).agg(
+        (F.sum("_sum") / F.sum("_n")).alias("mean"), F.sum("_n").alias("n"), F.count("*").alias("n_clusters"),
+        F.array_sort(F.collect_list(F.struct("_cluster", "_sum", "_n"))).alias("_all"))
+    packed = stage(packed.select(*group, "mean", "n", "n_clusters", F.col("_all._sum").alias("_sums"), F.col("_all._n").alias("_sizes")), "packed-clusters")
+    pieces = packed.where("n_clusters >= 2").select(*group, F.explode(F.sequence(
+        F.lit(0), F.lit(draws - 1), F.lit(PIECE))).alias("_first"), "_sums", "_sizes").repartition("_first", *group)
+    schema = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in group) + ", _means array<double>"
+    means = pieces.mapInArrow(_draw_means(seed, algorithm, draws), schema)
+    bounds = _bounds_at(means, group, level)
     lo, hi = F.get("_ci", F.lit(0)), F.get("_ci", F.lit(1))
-    return head.join(bounds, group, "left").select(
-        *group, "mean", lo.alias("lo"), hi.alias("hi"), "n", "n_clusters",
+    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
+    return packed.alias("h").join(bounds.alias("b"), same, "left").select(
+        *[F.col(f"h.{c}").alias(c) for c in group], "mean", lo.alias("lo"), hi.alias("hi"), "n", "n_clusters",
         F.coalesce((lo > ZERO) | (hi < -ZERO), F.lit(False)).alias("excludes_zero"))
 
 
 def _bounds_at(means: DataFrame, group: list[str], level: Column) -> DataFrame:
-    """Linear-interpolated percentiles at a level that differs by group.
+    """Linear-interpolated percentiles at a level that may differ by group.
 
     ``draws`` values per group are sorted in an array; their number is fixed by the call.
     """
-    packed = means.groupBy(*group).agg(F.array_sort(F.collect_list("_mean")).alias("_all"))
+    packed = means.groupBy(*group).agg(F.array_sort(F.flatten(F.collect_list("_means"))).alias("_all"))
 
     def at(q: Column) -> Column:
         spot = q * (F.size("_all") - 1)

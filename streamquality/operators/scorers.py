@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.hashing import priority, uniform
 from ..functions.numeric import div
 from ..staging import attach, stage
-from .order import running_offsets
+from .attribution import attribute_kept, with_packet  # noqa: F401
 
 KEY = "recording_id"
 VALUE = ["t_us", "x", "y", "p"]
@@ -85,34 +85,6 @@ def probit(p: float) -> float:
 
 # --- attribution of returned rows to input rows ---------------------------------------------
 
-def occurrence(rows: DataFrame, idx: str, block: int = 65536) -> DataFrame:
-    """Add ``occ``: 1-based copy number among identical (recording, t, x, y, p) rows.
-
-    Copies are counted per block of ``idx`` first, so a value repeated a billion times is
-    numbered from one row per block rather than inside one group.
-    """
-    keys = [KEY, *VALUE]
-    tagged = rows.withColumn("_blk", div(F.col(idx).cast("bigint"), block))
-    counts = tagged.groupBy(*keys, "_blk").agg(F.count("*").alias("_n"))
-    offsets = running_offsets(counts, keys, "_blk", ["_n"]).drop("_n_total")
-    local = F.row_number().over(W.partitionBy(*keys, "_blk").orderBy(idx))
-    return (tagged.withColumn("_local", local).join(offsets, [*keys, "_blk"])
-            .withColumn("occ", F.col("_local") + F.col("_n_before"))
-            .drop("_blk", "_local", "_n_before"))
-
-
-def attribute_kept(events: DataFrame, kept: DataFrame) -> DataFrame:
-    """Input index of every returned row: the k-th copy returned is the k-th copy read.
-
-    ``kept`` holds (recording, kept_idx, t, x, y, p) in output order. Rows without a source
-    have a NULL ``event_idx``.
-    """
-    keys = [KEY, *VALUE, "occ"]
-    source = occurrence(events.select(KEY, "event_idx", *VALUE), "event_idx")
-    target = occurrence(kept.select(KEY, "kept_idx", *VALUE), "kept_idx")
-    return target.join(source.select(*keys, "event_idx"), keys, "left")
-
-
 def attribution_report(attributed: DataFrame, block: int = 65536) -> DataFrame:
     """Per recording: returned rows, unmatched rows and order inversions (both must be 0)."""
     b = attributed.withColumn("_b", div("kept_idx", block))
@@ -153,20 +125,14 @@ def summarise_groups(per_recording: DataFrame) -> DataFrame:
         F.max("mixed_groups").alias("max_mixed_in_one_recording"))
 
 
-def compare_routes(exact: DataFrame, whole: DataFrame, labels: DataFrame,
-                   slice_size: int) -> DataFrame:
+def compare_routes(exact: DataFrame, whole: DataFrame, slice_size: int) -> DataFrame:
     """Two attributions of the same returned rows: rows that move, signal on the scored prefix.
 
-    Both sides hold (recording, method, kept_idx, event_idx).
+    Both sides hold (recording, method, kept_idx, event_idx, label), the label of the input row.
     """
     keys = [KEY, "method", "kept_idx"]
-    pair = exact.select(*keys, F.col("event_idx").alias("e")).join(
-        whole.select(*keys, F.col("event_idx").alias("w")), keys, "full")
-    lab = labels.select(KEY, "event_idx", "label")
-    pair = (pair.join(lab.withColumnsRenamed({"event_idx": "e", "label": "label_e"}),
-                      [KEY, "e"], "left")
-            .join(lab.withColumnsRenamed({"event_idx": "w", "label": "label_w"}),
-                  [KEY, "w"], "left"))
+    pair = exact.select(*keys, F.col("event_idx").alias("e"), F.col("label").alias("label_e")).join(
+        whole.select(*keys, F.col("event_idx").alias("w"), F.col("label").alias("label_w")), keys, "full")
     total = exact.groupBy(KEY, "method").agg(F.count("*").alias("kept"))
     pair = attach(pair, total, [KEY, "method"], name="kept")
     scored = F.col("kept_idx") < div("kept", slice_size) * slice_size
@@ -348,15 +314,6 @@ def support_filter(support: DataFrame, minimum: int) -> DataFrame:
     return support.withColumn("score", two_level(F.col("support") >= minimum))
 
 
-def with_packet(events: DataFrame, packet_table: DataFrame, block: int = 65536) -> DataFrame:
-    """Add each event's packet ``start``; packets meet events by the index blocks they touch."""
-    touched = packet_table.select(KEY, "start", "stop", F.explode(F.sequence(
-        div("start", block), div(F.col("stop") - 1, block))).alias("_b"))
-    inside = (F.col("event_idx") >= F.col("start")) & (F.col("event_idx") < F.col("stop"))
-    return events.withColumn("_b", div("event_idx", block)).join(
-        touched, [KEY, "_b"]).where(inside).drop("_b", "stop")
-
-
 def attribute_in_packets(events: DataFrame, packet_table: DataFrame, kept: DataFrame) -> DataFrame:
     """Input index of rows a filter returned packet by packet.
 

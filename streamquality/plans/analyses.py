@@ -476,7 +476,7 @@ def _(ws):
 @registry.add("a13_repeatability", Q.query(REPEATED, """
 SELECT count(*) AS cells, round(avg(spread), 9) AS spread_mean, round(median(spread), 9) AS spread_median, round(min(spread), 9) AS spread_min, round(max(spread), 9) AS spread_max,
   round(sqrt(avg(sd * sd)), 9) AS pooled_sd, count(*) FILTER (WHERE spread > 0.1) AS cells_exceeding, round(avg(CASE WHEN spread > 0.1 THEN 1.0 ELSE 0.0 END), 9) AS share_exceeding,
-  arg_max(cell, spread) AS worst_cell FROM rcl WHERE repetitions >= 2"""))
+  first(cell ORDER BY round(spread, 12) DESC, cell DESC) AS worst_cell FROM rcl WHERE repetitions >= 2"""))
 def _(ws):
     return rounded(analysis.repeatability(repeat_cells(ws), 0.1))
 
@@ -576,7 +576,7 @@ def _(ws):
     f"""ov AS (SELECT a.dataset, a.recording_id, a.method, a.r_star, a.mesr_star - o.mesr_star AS margin, nat.native_retention FROM summ a JOIN summ o ON o.dataset = a.dataset AND o.recording_id = a.recording_id AND o.method = 'label_oracle'
        JOIN flg ON flg.method = a.method LEFT JOIN nat ON nat.dataset = a.dataset AND nat.recording_id = a.recording_id AND nat.method = a.method WHERE a.method <> 'label_oracle' AND NOT is_null)"""], """
 SELECT dataset, count(*) AS comparable_cells, count(*) FILTER (WHERE margin > 1e-12) AS cells_beating_oracle, count(*) FILTER (WHERE margin > 1e-12 AND abs(r_star - native_retention) <= 0.05 + 1e-9) AS violations_at_native,
-  round(max(margin), 9) AS max_margin, round(avg(margin), 9) AS mean_margin, arg_max(method, margin) AS worst_method FROM ov GROUP BY dataset"""))
+  round(max(margin), 9) AS max_margin, round(avg(margin), 9) AS mean_margin, first(CASE WHEN margin > 1e-12 THEN method END ORDER BY round(margin, 12) DESC, method) AS worst_method FROM ov GROUP BY dataset"""))
 def _(ws):
     best = summary(ws).join(ws.native(), analysis.CELL, "left").join(methods(ws).select("method", "is_null"), "method")
     return rounded(oracle.oracle_violations(best, "label_oracle", 0.05))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import word
+from ..functions.numeric import blind
 from ..functions.tails import mcnemar_exact
 from ..operators import grid, metric, nulls, regime, resample
 from ..schema import RETENTION_PCT, SEED
@@ -40,25 +41,25 @@ def _(ws):
 
 
 @registry.add("n1_fixed_gain", Q.query([*Q.BENCH, DELTA, PROFILE], """
-SELECT dataset, method, arg_max(r_pct, mean) AS best_r_pct, round(max(mean), 9) AS best_mean, count(*) FILTER (WHERE mean > 0) AS n_positive, count(*) AS n_below_one,
-  count(*) FILTER (WHERE mean > 0) > 0 AS raises_mesr FROM pr WHERE r_pct < 100 GROUP BY ALL"""))
+SELECT dataset, method, first(r_pct ORDER BY round(mean, 12) DESC, r_pct) AS best_r_pct, round(max(mean), 9) AS best_mean, count(*) FILTER (WHERE round(mean, 12) > 0) AS n_positive, count(*) AS n_below_one,
+  count(*) FILTER (WHERE round(mean, 12) > 0) > 0 AS raises_mesr FROM pr WHERE r_pct < 100 GROUP BY ALL"""))
 def _(ws):
     return rounded(nulls.fixed_gain(nulls.retention_profile(null_points(ws), ["dataset", "method"]), ["dataset", "method"]))
 
 
 @registry.add("n1_max_selected", Q.query([*Q.BENCH, DELTA, """
 mx AS (SELECT dataset, method, recording_id, r_pct, delta FROM dl WHERE method IN ('raw', 'random_null')
-  QUALIFY row_number() OVER (PARTITION BY dataset, method, recording_id ORDER BY delta DESC, r_pct) = 1)"""], """
+  QUALIFY row_number() OVER (PARTITION BY dataset, method, recording_id ORDER BY round(delta, 12) DESC, r_pct) = 1)"""], """
 SELECT dataset, method, round(avg(delta), 9) AS mean, count(*) AS n, round(avg(CASE WHEN r_pct = 100 THEN 1.0 ELSE 0.0 END), 9) AS share_argmax_at_r1 FROM mx GROUP BY ALL"""))
 def _(ws):
     return rounded(nulls.max_selected(null_points(ws), ["dataset", "method"]))
 
 
 @registry.add("n1_fixed_retention_bootstrap", Q.query([*Q.BENCH, DELTA, "np AS (SELECT * FROM dl WHERE method IN ('raw', 'random_null'))",
-    *boot_ctes("np", "bt", "dataset, method, r_pct", "delta", "recording_id", 200)], """
+    *boot_ctes("np", "bt", "dataset, method, r_pct", "delta", "recording_id", DRAWS)], """
 SELECT dataset, method, r_pct, round(mean, 9) AS mean, round(lo, 9) AS lo, round(hi, 9) AS hi, n, n_clusters, excludes_zero FROM bt"""))
 def _(ws):
-    return rounded(resample.bootstrap(null_points(ws), ["dataset", "method", "r_pct"], "delta", KEY, 200, algorithm="md5"))
+    return rounded(resample.bootstrap(null_points(ws), ["dataset", "method", "r_pct"], "delta", KEY, DRAWS, algorithm="md5"))
 
 
 @registry.add("n2_scene_intervals", Q.query([*Q.BENCH, DELTA, "np AS (SELECT * FROM dl WHERE method IN ('raw', 'random_null') AND r_pct < 100)",
@@ -102,13 +103,13 @@ def seed_profiles(ws) -> DataFrame:
 
 @registry.add("n3_draw_sensitivity", Q.query(SEEDED, """
 SELECT dataset, r_pct, count(*) AS n, round(avg(mean), 9) AS mean, round(stddev_samp(mean), 9) AS sd, round(min(mean), 9) AS min, round(max(mean), 9) AS max,
-  round(max(mean) - min(mean), 9) AS range, count(*) FILTER (WHERE mean > 0) AS seeds_positive FROM sp WHERE r_pct < 100 GROUP BY ALL"""))
+  round(max(mean) - min(mean), 9) AS range, count(*) FILTER (WHERE round(mean, 12) > 0) AS seeds_positive FROM sp WHERE r_pct < 100 GROUP BY ALL"""))
 def _(ws):
     return rounded(nulls.draw_sensitivity(seed_profiles(ws), ["dataset"]))
 
 
 @registry.add("n3_positive_counts", Q.query(SEEDED, """
-SELECT dataset, seed, count(*) FILTER (WHERE mean > 0) AS n_positive, count(*) AS n_below_one FROM sp WHERE r_pct < 100 GROUP BY ALL"""))
+SELECT dataset, seed, count(*) FILTER (WHERE round(mean, 12) > 0) AS n_positive, count(*) AS n_below_one FROM sp WHERE r_pct < 100 GROUP BY ALL"""))
 def _(ws):
     return nulls.positive_counts(seed_profiles(ws), ["dataset"])
 
@@ -116,7 +117,7 @@ def _(ws):
 @registry.add("n4_blank_lead", Q.query([*SEEDED, Q.SCORED, *Q.CURVE, DELTA,
     """ld AS (SELECT d.dataset, c.seed, d.method, avg(d.delta - c.delta) AS lead, count(*) AS n FROM dl d JOIN scv c ON c.dataset = d.dataset AND c.recording_id = d.recording_id
        AND c.r_pct = 60 WHERE d.r_pct = 60 AND d.method IN ('fa', 'fb', 'fc', 'sc') AND c.delta IS NOT NULL GROUP BY ALL)"""], """
-SELECT dataset, seed, method AS best_filter, round(lead, 9) AS lead, n FROM ld QUALIFY row_number() OVER (PARTITION BY dataset, seed ORDER BY lead DESC) = 1"""))
+SELECT dataset, seed, method AS best_filter, round(lead, 9) AS lead, n FROM ld QUALIFY row_number() OVER (PARTITION BY dataset, seed ORDER BY round(lead, 12) DESC, method) = 1"""))
 def _(ws):
     filters = points(ws).where("r_pct = 60").where(F.col("method").isin("fa", "fb", "fc", "sc"))
     control = nulls.deltas(seed_curves(ws)).where("r_pct = 60")
@@ -259,7 +260,7 @@ def _(ws):
 
 
 @registry.add("n10_positive_before_after", Q.query([*COLD, "sp AS (SELECT dataset, method, r_pct, avg(before) AS b, avg(after) AS a FROM ba WHERE method = 'random_null' AND r_pct < 100 GROUP BY ALL)"], """
-SELECT dataset, method, count(*) FILTER (WHERE b > 0) AS n_positive_before, count(*) FILTER (WHERE a > 0) AS n_positive_after, count(*) AS n_retentions FROM sp GROUP BY ALL"""))
+SELECT dataset, method, count(*) FILTER (WHERE round(b, 12) > 0) AS n_positive_before, count(*) FILTER (WHERE round(a, 12) > 0) AS n_positive_after, count(*) AS n_retentions FROM sp GROUP BY ALL"""))
 def _(ws):
     pairs = nulls.before_after(points(ws), cold_points(ws), ["dataset"]).where("method = 'random_null'")
     return nulls.specificity_counts(nulls.specificity(pairs, ["dataset"]), ["dataset"])
@@ -268,7 +269,7 @@ def _(ws):
 MARGINS = [*COLD, """runs AS (SELECT 'before' AS run, dataset, recording_id, method, r_pct, delta FROM dl UNION ALL SELECT 'after', dataset, recording_id, method, r_pct, delta FROM cdl),
 rr AS (SELECT * FROM runs WHERE method IN ('fa', 'fb', 'fc', 'sc', 'raw', 'random_null') AND r_pct IN (20, 60)),
 co AS (SELECT dataset, recording_id, r_pct FROM rr GROUP BY ALL HAVING count(DISTINCT run || method) = 12),
-mg AS (SELECT k.dataset, k.r_pct, k.run, k.method, count(*) AS n, avg(k.delta) AS delta, avg(k.delta - b.delta) AS minus_null, count(*) FILTER (WHERE k.delta - b.delta > 0) AS n_above_null
+mg AS (SELECT k.dataset, k.r_pct, k.run, k.method, count(*) AS n, avg(k.delta) AS delta, avg(k.delta - b.delta) AS minus_null, count(*) FILTER (WHERE round(k.delta - b.delta, 12) > 0) AS n_above_null
   FROM rr k JOIN co USING (dataset, recording_id, r_pct) JOIN rr b ON b.dataset = k.dataset AND b.recording_id = k.recording_id AND b.r_pct = k.r_pct AND b.run = k.run AND b.method = 'random_null'
   GROUP BY ALL)"""]
 
@@ -285,13 +286,13 @@ def _(ws):
 
 
 @registry.add("n11_best_margin", Q.query(MARGINS, """
-SELECT dataset, r_pct, run, arg_max(method, minus_null) AS best, round(max(minus_null), 9) AS minus_null FROM mg WHERE method NOT IN ('raw', 'random_null') GROUP BY ALL"""))
+SELECT dataset, r_pct, run, first(method ORDER BY round(minus_null, 12) DESC, method) AS best, round(max(minus_null), 9) AS minus_null FROM mg WHERE method NOT IN ('raw', 'random_null') GROUP BY ALL"""))
 def _(ws):
     return rounded(nulls.best_margin(margins(ws), ["dataset"], NULLS))
 
 
 @registry.add("n12_level_lead", Q.query([*Q.BENCH], """
-SELECT a.dataset, count(*) AS n, count(*) FILTER (WHERE a.mesr - b.mesr > 0) AS n_positive, round(avg(a.mesr - b.mesr), 9) AS mean, round(min(a.mesr - b.mesr), 9) AS min, round(max(a.mesr - b.mesr), 9) AS max
+SELECT a.dataset, count(*) AS n, count(*) FILTER (WHERE round(a.mesr - b.mesr, 12) > 0) AS n_positive, round(avg(a.mesr - b.mesr), 9) AS mean, round(min(a.mesr - b.mesr), 9) AS min, round(max(a.mesr - b.mesr), 9) AS max
 FROM crv a JOIN crv b USING (dataset, recording_id, r_pct) WHERE a.method = 'fc' AND b.method = 'random_null' AND r_pct = 60 AND a.evaluable AND b.evaluable GROUP BY ALL"""))
 def _(ws):
     return rounded(nulls.level_lead(points(ws).where("r_pct = 60"), "fc", "random_null", ["dataset"]))
@@ -335,7 +336,7 @@ def _(ws):
 
 
 @registry.add("n16_controls_agreement", Q.query([*Q.BENCH, DELTA, PROFILE,
-    "bb AS (SELECT dataset, arg_max(r_pct, mean) AS r_pct FROM pr WHERE method = 'random_null' AND r_pct < 100 GROUP BY dataset)"], """
+    "bb AS (SELECT dataset, first(r_pct ORDER BY round(mean, 12) DESC, r_pct) AS r_pct FROM pr WHERE method = 'random_null' AND r_pct < 100 GROUP BY dataset)"], """
 SELECT a.dataset, a.r_pct, round(a.mean, 9) AS random_mean, round(b.mean, 9) AS prefix_mean, round(abs(a.mean - b.mean), 9) AS gap
 FROM bb JOIN pr a USING (dataset, r_pct) JOIN pr b ON b.dataset = a.dataset AND b.r_pct = a.r_pct AND b.method = 'raw' WHERE a.method = 'random_null'"""))
 def _(ws):
@@ -349,33 +350,33 @@ def _(ws):
 
 
 @registry.add("n16_widest_draw_sd", Q.query([*SEEDED, "ds AS (SELECT dataset, r_pct, stddev_samp(mean) AS sd, row_number() OVER (PARTITION BY dataset ORDER BY r_pct) AS i FROM sp WHERE r_pct < 100 GROUP BY dataset, r_pct)"], """
-SELECT dataset, round(max(sd) FILTER (WHERE i = 1), 9) AS sd_first, round(max(sd) FILTER (WHERE i > 1), 9) AS sd_rest, arg_max(r_pct, sd) FILTER (WHERE i > 1) AS at_r_pct FROM ds GROUP BY dataset"""))
+SELECT dataset, round(max(sd) FILTER (WHERE i = 1), 9) AS sd_first, round(max(sd) FILTER (WHERE i > 1), 9) AS sd_rest, first(r_pct ORDER BY round(sd, 12) DESC, r_pct) FILTER (WHERE i > 1) AS at_r_pct FROM ds GROUP BY dataset"""))
 def _(ws):
     rows = nulls.draw_sensitivity(seed_profiles(ws), ["dataset"])
     floor = rows.groupBy("dataset").agg(F.min("r_pct").alias("floor"))
     first = F.col("r_pct") == F.col("floor")
     return rounded(rows.join(floor, "dataset").groupBy("dataset").agg(
         F.max(F.when(first, F.col("sd"))).alias("sd_first"), F.max(F.when(~first, F.col("sd"))).alias("sd_rest"),
-        F.max_by("r_pct", F.when(~first, F.col("sd"))).alias("at_r_pct")))
+        F.min_by("r_pct", F.when(~first, F.struct(-blind("sd"), "r_pct"))).alias("at_r_pct")))
 
 
 # --- resampling ------------------------------------------------------------------------------
 
 @registry.add("b1_bootstrap_mean", Q.query([*Q.BENCH, DELTA, "np AS (SELECT * FROM dl WHERE r_pct = 40)",
-    *boot_ctes("np", "bt", "dataset, method", "delta", "recording_id", 500)], """
+    *boot_ctes("np", "bt", "dataset, method", "delta", "recording_id", DRAWS)], """
 SELECT dataset, method, round(mean, 9) AS mean, round(lo, 9) AS lo, round(hi, 9) AS hi, n, n_clusters, excludes_zero FROM bt"""))
 def _(ws):
-    return rounded(resample.bootstrap(points(ws).where("r_pct = 40"), ["dataset", "method"], "delta", KEY, 500, algorithm="md5"))
+    return rounded(resample.bootstrap(points(ws).where("r_pct = 40"), ["dataset", "method"], "delta", KEY, DRAWS, algorithm="md5"))
 
 
 @registry.add("b2_cluster_bootstrap", Q.query(["vals AS (SELECT l_returnflag AS grp, l_suppkey AS cl, CAST(round(l_discount * 100) AS BIGINT) AS v FROM lineitem)",
-    *boot_ctes("vals", "bt", "grp", "v", "cl", 200)], """
+    *boot_ctes("vals", "bt", "grp", "v", "cl", DRAWS)], """
 SELECT grp, round(mean, 9) AS mean, round(lo, 9) AS lo, round(hi, 9) AS hi, n, n_clusters, excludes_zero FROM bt"""))
 def _(ws):
     rows = read(ws.spark, ws.sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("grp"), F.col("l_suppkey").alias("cl"),
         F.round(F.col("l_discount") * 100).cast("bigint").alias("v"))
-    return rounded(resample.cluster_bootstrap(rows, ["grp"], "v", "cl", 200, algorithm="md5"))
+    return rounded(resample.cluster_bootstrap(rows, ["grp"], "v", "cl", DRAWS, algorithm="md5"))
 
 
 @registry.add("b3_spread_summary", Q.query([*Q.BENCH, "spd AS (SELECT dataset, recording_id, max(mesr) - min(mesr) AS sp FROM crv WHERE method = 'sc' AND evaluable GROUP BY ALL)",

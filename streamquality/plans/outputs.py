@@ -17,7 +17,7 @@ from .positions import per_corpus
 registry = Registry()
 KEY = "recording_id"
 MASKS = ["fa", "fb", "fc"]
-DRAWS = 400
+DRAWS = resample.DRAWS
 
 
 @registry.add("d1_d2_d3_controls", Q.query([*Q.STREAMS, Q.GRID, Q.SCORED], """
@@ -77,21 +77,32 @@ def kept_rows(ws) -> DataFrame:
     """Rows a filter returned, as values in output order."""
     c = CORPORA[1]
     placed = order.with_mask_positions(coarse(ws), ["fa"], c.block).where("fa")
-    return placed.select(KEY, F.col("fa_pos").alias("kept_idx"), "event_idx", "t_us", "x", "y", "p")
+    return placed.select(KEY, F.col("fa_pos").alias("kept_idx"), "event_idx", "t_us", "x", "y", "p", "label")
 
 
-@registry.add("d7_attribution", Q.query([Q.LI, COARSE,
-    "src AS (SELECT *, row_number() OVER (PARTITION BY recording_id, t_us, x, y, p ORDER BY event_idx) AS occ FROM co)",
-    """kept AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY event_idx) - 1 AS kept_idx FROM co WHERE fa)""",
-    "tgt AS (SELECT *, row_number() OVER (PARTITION BY recording_id, t_us, x, y, p ORDER BY kept_idx) AS occ FROM kept)",
-    """att AS (SELECT t.recording_id, t.kept_idx, s.event_idx FROM tgt t LEFT JOIN src s ON s.recording_id = t.recording_id
-       AND s.t_us = t.t_us AND s.x = t.x AND s.y = t.y AND s.p = t.p AND s.occ = t.occ)"""], """
-SELECT recording_id, count(*) AS kept, count(*) FILTER (WHERE event_idx IS NULL) AS unmatched,
-  count(*) FILTER (WHERE event_idx <= prev) AS inversions FROM (
-  SELECT *, lag(event_idx) OVER (PARTITION BY recording_id ORDER BY kept_idx) AS prev FROM att) GROUP BY ALL"""))
+#: The forward scan, row by row: all times at once, as a scan can't go back to an earlier time.
+FORWARD = ["""kept AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY event_idx) - 1 AS kept_idx, count(*) OVER (PARTITION BY recording_id) AS total FROM co WHERE fa)""",
+    "tgt AS (SELECT *, row_number() OVER (PARTITION BY recording_id, t_us ORDER BY kept_idx) AS i FROM kept)",
+    """scan AS (SELECT DISTINCT recording_id, t_us, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS kept_idx, CAST(-1 AS BIGINT) AS event_idx FROM kept UNION ALL
+       SELECT c.recording_id, c.t_us, t.i, t.kept_idx, min(e.event_idx) FROM scan c JOIN tgt t ON t.recording_id = c.recording_id AND t.t_us = c.t_us AND t.i = c.i + 1
+         JOIN co e ON e.recording_id = t.recording_id AND e.t_us = t.t_us AND e.x = t.x AND e.y = t.y AND e.p = t.p AND e.event_idx > c.event_idx
+       GROUP BY c.recording_id, c.t_us, t.i, t.kept_idx)""",
+    """att AS (SELECT k.recording_id, k.kept_idx, k.total, k.event_idx AS e, k.label AS le, c.event_idx AS w, s.label AS lw FROM kept k
+       LEFT JOIN scan c ON c.recording_id = k.recording_id AND c.kept_idx = k.kept_idx LEFT JOIN co s ON s.recording_id = c.recording_id AND s.event_idx = c.event_idx)"""]
+
+
+def recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes)
+
+
+@registry.add("d7_attribution", recursive(Q.LI, COARSE, *FORWARD) + """
+SELECT recording_id, count(*) AS kept, count(*) FILTER (WHERE w IS NULL) AS unmatched,
+  count(*) FILTER (WHERE w <= prev) AS inversions, CAST(sum(w % 1000003) AS BIGINT) AS idx_sum FROM (
+  SELECT *, lag(w) OVER (PARTITION BY recording_id ORDER BY kept_idx) AS prev FROM att) GROUP BY ALL""")
 def _(ws):
-    kept = kept_rows(ws).drop("event_idx")
-    return scorers.attribution_report(scorers.attribute_kept(coarse(ws), kept))
+    found = stage(scorers.attribute_kept(coarse(ws), kept_rows(ws)), "attributed")
+    sums = found.groupBy(KEY).agg(F.sum(F.col("event_idx") % 1000003).alias("idx_sum"))
+    return scorers.attribution_report(found).join(sums, KEY)
 
 
 @registry.add("d8_packets", "WITH RECURSIVE " + ",\n".join([Q.LI, COARSE,
@@ -106,8 +117,15 @@ def _(ws):
     return scorers.packets(coarse(ws), block=2048)
 
 
-@registry.add("d7_packet_attribution", Q.query([Q.LI, COARSE, "kept AS (SELECT * FROM co WHERE fa)"], """
-SELECT recording_id, count(*) AS kept, count(*) FILTER (WHERE event_idx IS NULL) AS unmatched, count(*) FILTER (WHERE event_idx <> event_idx) AS moved FROM kept GROUP BY ALL"""))
+@registry.add("d7_packet_attribution", recursive(*[Q.LI, COARSE, """pk AS (SELECT recording_id, event_idx, t_us, x, y, p, lag(event_idx) OVER (PARTITION BY recording_id, t_us, x, y, p ORDER BY event_idx) AS prev, fa FROM co)""",
+    """cut AS (SELECT recording_id, CAST(0 AS BIGINT) AS start FROM co GROUP BY recording_id UNION ALL
+       SELECT c.recording_id, min(r.event_idx) FROM cut c JOIN pk r ON r.recording_id = c.recording_id AND r.prev >= c.start GROUP BY c.recording_id)""",
+    "ranges AS (SELECT *, lead(start) OVER (PARTITION BY recording_id ORDER BY start) AS stop FROM cut)",
+    """src AS (SELECT pk.*, r.start FROM pk ASOF JOIN cut r ON r.recording_id = pk.recording_id AND pk.event_idx >= r.start)""",
+    """found AS (SELECT k.recording_id, k.event_idx AS truth, s.event_idx FROM src k LEFT JOIN src s ON s.recording_id = k.recording_id AND s.start = k.start
+       AND s.t_us = k.t_us AND s.x = k.x AND s.y = k.y AND s.p = k.p WHERE k.fa)"""]) + """
+SELECT recording_id, count(*) AS kept, count(*) FILTER (WHERE event_idx IS NULL) AS unmatched, count(*) FILTER (WHERE event_idx <> truth) AS moved,
+  CAST(sum(event_idx % 1000003) AS BIGINT) AS idx_sum FROM found GROUP BY ALL""")
 def _(ws):
     events = coarse(ws)
     table = stage(scorers.packets(events, block=2048), "packets")
@@ -115,7 +133,8 @@ def _(ws):
     found = scorers.attribute_in_packets(events, table, kept)
     return found.groupBy(KEY).agg(
         F.count("*").alias("kept"), F.count_if(F.col("event_idx").isNull()).alias("unmatched"),
-        F.count_if(F.col("event_idx") != F.col("truth")).alias("moved"))
+        F.count_if(F.col("event_idx") != F.col("truth")).alias("moved"),
+        F.sum(F.col("event_idx") % 1000003).alias("idx_sum"))
 
 
 GROUPS = """g AS (SELECT recording_id, t_us, x, y, p, count(*) AS n, count(*) FILTER (WHERE label = 0) AS sg FROM co GROUP BY ALL),
@@ -137,35 +156,29 @@ def _(ws):
     return scorers.summarise_groups(scorers.identical_groups(coarse(ws)))
 
 
-ROUTES = ["src AS (SELECT *, row_number() OVER (PARTITION BY recording_id, t_us, x, y, p ORDER BY event_idx) AS occ FROM co)",
-          "kept AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY event_idx) - 1 AS kept_idx, count(*) OVER (PARTITION BY recording_id) AS total FROM co WHERE fa)",
-          "tgt AS (SELECT *, row_number() OVER (PARTITION BY recording_id, t_us, x, y, p ORDER BY kept_idx) AS occ FROM kept)",
-          """pair AS (SELECT t.recording_id, t.kept_idx, t.total, t.event_idx AS e, s.event_idx AS w, t.label AS le, s.label AS lw FROM tgt t JOIN src s
-             ON s.recording_id = t.recording_id AND s.t_us = t.t_us AND s.x = t.x AND s.y = t.y AND s.p = t.p AND s.occ = t.occ)""",
-          """routes AS (SELECT recording_id, 'fa' AS method, count(*) AS kept, count(*) FILTER (WHERE e <> w) AS moved,
+ROUTES = [*FORWARD, """routes AS (SELECT recording_id, 'fa' AS method, count(*) AS kept, count(*) FILTER (WHERE e IS DISTINCT FROM w) AS moved,
              count(*) FILTER (WHERE kept_idx < total // 600 * 600) AS scored,
              count(*) FILTER (WHERE kept_idx < total // 600 * 600 AND le = 0) AS tp_scored,
-             count(*) FILTER (WHERE kept_idx < total // 600 * 600 AND lw = 0) AS tp_scored_whole_merge FROM pair GROUP BY recording_id)"""]
+             count(*) FILTER (WHERE kept_idx < total // 600 * 600 AND lw = 0) AS tp_scored_whole_merge FROM att GROUP BY recording_id)"""]
 
 
 def _routes(ws):
     rows = kept_rows(ws)
-    exact = rows.select(KEY, F.lit("fa").alias("method"), "kept_idx", "event_idx")
-    whole = scorers.attribute_kept(coarse(ws), rows.drop("event_idx")).select(
-        KEY, F.lit("fa").alias("method"), "kept_idx", "event_idx")
-    return scorers.compare_routes(exact, whole, coarse(ws), CORPORA[1].slice_size)
+    columns = [KEY, F.lit("fa").alias("method"), "kept_idx", "event_idx", "label"]
+    whole = scorers.attribute_kept(coarse(ws), rows, carry=["label"])
+    return scorers.compare_routes(rows.select(*columns), whole.select(*columns), CORPORA[1].slice_size)
 
 
-@registry.add("d10_route_comparison", Q.query([Q.LI, COARSE, *ROUTES], "SELECT * FROM routes"))
+@registry.add("d10_route_comparison", recursive(Q.LI, COARSE, *ROUTES) + " SELECT * FROM routes")
 def _(ws):
     return _routes(ws)
 
 
-@registry.add("d10_route_summary", Q.query([Q.LI, COARSE, *ROUTES], """
+@registry.add("d10_route_summary", recursive(Q.LI, COARSE, *ROUTES) + """
 SELECT count(*) AS cells, count(*) FILTER (WHERE moved > 0) AS cells_moved, CAST(sum(moved) AS BIGINT) AS events_moved, max(moved) AS max_moved,
   count(*) FILTER (WHERE tp_scored <> tp_scored_whole_merge) AS tp_changed_cells,
   greatest(0, max(tp_scored_whole_merge - tp_scored)) AS max_tp_overcount,
-  greatest(0, -min(tp_scored_whole_merge - tp_scored)) AS max_tp_undercount FROM routes"""))
+  greatest(0, -min(tp_scored_whole_merge - tp_scored)) AS max_tp_undercount FROM routes""")
 def _(ws):
     return scorers.summarise_routes(_routes(ws))
 
@@ -324,7 +337,7 @@ def _(ws):
 gaps AS (SELECT a.dataset, a.method AS a, b.method AS b, avg(a.mesr - b.mesr) AS diff, count(*) AS n_recordings FROM cell a JOIN cell b
   ON b.dataset = a.dataset AND b.recording_id = a.recording_id AND a.method < b.method WHERE a.mesr IS NOT NULL AND b.mesr IS NOT NULL GROUP BY ALL)"""], """
 SELECT dataset, round(abs(diff), 9) AS gap, CASE WHEN diff >= 0 THEN a ELSE b END AS higher, CASE WHEN diff >= 0 THEN b ELSE a END AS lower, n_recordings
-FROM gaps QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY abs(diff) DESC) = 1"""))
+FROM gaps QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY round(abs(diff), 12) DESC, a, b) = 1"""))
 def _(ws):
     return rounded(oracle.widest_filter_gap(native_cells(ws)))
 
@@ -367,12 +380,11 @@ con AS (SELECT c.dataset, c.recording_id, c.method, sc.scene, k.contrast, CASE k
 def boot_ctes(source: str, out: str, keys: str, value: str, cluster: str, draws: int = DRAWS,
               seed: int = Q.SEED, alpha: str = "0.05") -> list[str]:
     """CTEs of the cluster bootstrap with md5 picks."""
-    on = " AND ".join(f"s.{k} = p.{k}" for k in keys.replace(" ", "").split(","))
     return [
         f"""{out}_s AS (SELECT {keys}, {cluster} AS cl, sum({value}) AS sm, count(*) AS n FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL)""",
         f"""{out}_k AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY cl) - 1 AS slot, count(*) OVER (PARTITION BY {keys}) AS k FROM {out}_s)""",
-        f"""{out}_p AS (SELECT {keys}, d AS draw, {Q.word(str(seed), 'd', 'slot')} % k AS pick FROM {out}_k CROSS JOIN range(0, {draws}) t(d) WHERE k >= 2)""",
-        f"""{out}_m AS (SELECT {', '.join('p.' + k.strip() for k in keys.split(','))}, draw, sum(sm) / sum(n) AS m FROM {out}_p p JOIN {out}_k s ON {on} AND s.slot = p.pick GROUP BY ALL)""",
+        f"""{out}_p AS (SELECT k, d AS draw, slot, {Q.word(str(seed), 'd', 'slot')} % k AS pick FROM (SELECT DISTINCT k, slot FROM {out}_k WHERE k >= 2) CROSS JOIN range(0, {draws}) t(d))""",
+        f"""{out}_m AS (SELECT {', '.join('s.' + k.strip() for k in keys.split(','))}, draw, sum(sm) / sum(n) AS m FROM {out}_k s JOIN {out}_p p ON s.k = p.k AND s.slot = p.pick GROUP BY ALL)""",
         f"""{out}_b AS (SELECT {keys}, quantile_cont(m, {alpha} / 2) AS lo, quantile_cont(m, 1 - {alpha} / 2) AS hi FROM {out}_m GROUP BY {keys})""",
         f"""{out} AS (SELECT h.*, lo, hi, coalesce(lo > 1e-12 OR hi < -1e-12, false) AS excludes_zero FROM (SELECT {keys}, sum(sm) / sum(n) AS mean, CAST(sum(n) AS BIGINT) AS n,
            count(*) AS n_clusters FROM {out}_s GROUP BY {keys}) h LEFT JOIN {out}_b USING ({keys}))""",

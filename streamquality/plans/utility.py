@@ -206,9 +206,9 @@ def _(ws):
     return rounded(downstream.mean_within(per, ["dataset", "dropped"]))
 
 
-@registry.add("w10_inversion", Q.query([*DROPS, """iv AS (SELECT *, row_number() OVER (PARTITION BY dataset, dropped, r_pct ORDER BY accuracy, method) AS ar, count(*) OVER (PARTITION BY dataset, dropped, r_pct) AS methods FROM drb)"""], """
+@registry.add("w10_inversion", Q.query([*DROPS, """iv AS (SELECT *, row_number() OVER (PARTITION BY dataset, dropped, r_pct ORDER BY round(accuracy, 12), method) AS ar, count(*) OVER (PARTITION BY dataset, dropped, r_pct) AS methods FROM drb)"""], """
 SELECT dataset, dropped, r_pct, method AS top_mesr_method, round(accuracy, 9) AS accuracy, ar AS accuracy_rank, methods FROM iv
-QUALIFY row_number() OVER (PARTITION BY dataset, dropped, r_pct ORDER BY mesr DESC, method DESC) = 1"""))
+QUALIFY row_number() OVER (PARTITION BY dataset, dropped, r_pct ORDER BY round(mesr, 12) DESC, method DESC) = 1"""))
 def _(ws):
     return rounded(downstream.inversion(drops(ws), ["dataset", "dropped"])).withColumn(
         "accuracy_rank", F.col("accuracy_rank").cast("bigint"))

@@ -118,6 +118,56 @@ def test_whole_stream_attribution_takes_the_earliest_copy(spark):
     assert got == [0, 2]
 
 
+def values_of(spark, rows, name="a"):
+    return spark.createDataFrame([(name, i, *v) for i, v in enumerate(rows)], "recording_id string, kept_idx bigint, t_us bigint, x int, y int, p int")
+
+
+def forward_scan(source, target):
+    out, i = [], 0
+    for v in target:
+        while i < len(source) and source[i] != v:
+            i += 1
+        if i == len(source):
+            break
+        out.append(i)
+        i += 1
+    return out + [None] * (len(target) - len(out))
+
+
+def scanned(spark, cases, block):
+    """Each case, a recording of its own, by the operator."""
+    source = [(f"r{c}", i, *v) for c, (rows, _) in enumerate(cases) for i, v in enumerate(rows)]
+    target = [(f"r{c}", i, *v) for c, (_, rows) in enumerate(cases) for i, v in enumerate(rows)]
+    kept = spark.createDataFrame(target, "recording_id string, kept_idx bigint, t_us bigint, x int, y int, p int")
+    got = scorers.attribute_kept(spark.createDataFrame(source, EVENT), kept, block).orderBy("kept_idx").collect()
+    return [[r["event_idx"] for r in got if r["recording_id"] == f"r{c}"] for c in range(len(cases))]
+
+
+@pytest.mark.parametrize("block", [1, 64])
+def test_forward_scan_takes_the_first_copy_behind_the_last_match(spark, block):
+    B_ = (A[0], A[1] + 1, A[2], A[3])
+    cases = [([A, B_, A], [B_, A]), ([A, B_, A], [A, A]), ([A, B_, A], [B_, B_, A]), ([A, C], [C, A]), ([A, C], [])]
+    assert scanned(spark, cases, block) == [[1, 2], [0, 2], [1, None, None], [1, None], []]
+
+
+@pytest.mark.parametrize("block", [64, 300])
+def test_forward_scan_on_random_streams(spark, block):
+    import random
+    r, cases = random.Random(block), []
+    for clock in (40, 130, 10**9):
+        rows = [(i // clock, r.randrange(3), r.randrange(2), 0) for i in range(900)]
+        for share in (0.1, 0.5, 0.9):
+            kept = [v for v in rows if r.random() < share]
+            cases += [(rows, kept), (rows, kept[:40] + [(10**6, 0, 0, 0)] + kept[40:]), (rows, kept[::-1])]
+    assert scanned(spark, cases, block) == [forward_scan(*c) for c in cases]
+
+
+def test_carried_columns_are_those_of_the_matched_row(spark):
+    frame = events(spark, [A, A, C]).withColumn("label", F.col("event_idx") * 10)
+    got = scorers.attribute_kept(frame, values_of(spark, [A, C, C]), carry=["label"]).orderBy("kept_idx").collect()
+    assert [(r["event_idx"], r["label"]) for r in got] == [(0, 0), (2, 20), (None, None)]
+
+
 def test_packet_attribution_finds_the_copy_that_was_kept(spark):
     frame = events(spark, [A, A, C])
     table = scorers.packets(frame).cache()
@@ -130,7 +180,9 @@ def test_packet_attribution_finds_the_copy_that_was_kept(spark):
 def test_attribution_report_flags_reordering_and_strangers(spark):
     frame = events(spark, [A, B, C])
     bad = kept_of(frame, [2, 0]).drop("event_idx")
-    assert scorers.attribution_report(scorers.attribute_kept(frame, bad)).first()["inversions"] == 1
+    assert scorers.attribution_report(scorers.attribute_kept(frame, bad)).first()["unmatched"] == 1  # no ordered part of the input
+    swapped = spark.createDataFrame([("a", 0, 5), ("a", 1, 3)], "recording_id string, kept_idx bigint, event_idx bigint")
+    assert scorers.attribution_report(swapped).first()["inversions"] == 1
     alien = spark.createDataFrame([("a", 0, 99, 5, 5, 1)], "recording_id string, kept_idx bigint, t_us bigint, x int, y int, p int")
     assert scorers.attribution_report(scorers.attribute_kept(frame, alien)).first()["unmatched"] == 1
 
