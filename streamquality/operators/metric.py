@@ -210,14 +210,19 @@ def esr_v2(events: DataFrame, sensors: DataFrame, slice_size: int) -> DataFrame:
 
 
 def esr_v2_survey(v2: DataFrame, corpus: str) -> DataFrame:
-    """Variant-to-plain ratios over every slice that scores, of every recording."""
+    """Variant-to-plain ratios over every slice that scores, of every recording: per corpus, with
+    the factor ``1000 / sqrt(pixels)`` that would be the ratio if only the scale differed, and over all
+    (corpus ``overall``). ``v2`` has the sensor's ``pixels``."""
     usable = v2.where(F.col("esr") > 0).withColumn("ratio", F.col("esr_v2") / F.col("esr"))
-    return usable.groupBy(corpus).agg(
+    return usable.rollup(corpus).agg(
+        F.when(F.grouping(corpus) == 0, 1000.0 / F.sqrt(F.max("pixels"))).alias("thousand_over_sqrt_k"),
+        F.grouping(corpus).alias("_all"),
         F.count("*").alias("slices"), F.percentile("ratio", F.lit(0.5)).alias("ratio_median"),
         F.min("ratio").alias("ratio_min"), F.max("ratio").alias("ratio_max"),
         F.count_if(F.col("ratio") == 0).alias("collapsed"),
         (F.log10(F.max("ratio") / F.min(F.when(F.col("ratio") > 0, F.col("ratio")))))
-        .alias("spread_log10"))
+        .alias("spread_log10")).where("slices > 0").withColumn(
+        corpus, F.when(F.col("_all") == 1, "overall").otherwise(F.col(corpus))).drop("_all")
 
 
 def permute_pixels(events: DataFrame, a: int, b: int, width: int, height: int) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions.numeric import div, kept_total
 from ..operators import metric, order, regime
 from ..schema import RETENTION_PCT
 from ..sources.tables import CORPORA, EVENT_STREAM, Workspace, read
+from ..staging import attach
 from .base import Registry, rounded
 from . import sql as Q
 
@@ -330,10 +331,13 @@ def _variant(ws):
     "u AS (SELECT *, esr_v2 / esr AS ratio FROM both2 WHERE esr > 0)"], """
 SELECT dataset, count(*) AS slices, round(median(ratio), 9) AS ratio_median, round(min(ratio), 9) AS ratio_min,
   round(max(ratio), 9) AS ratio_max, count(*) FILTER (WHERE ratio = 0) AS collapsed,
-  round(log10(max(ratio) / min(ratio) FILTER (WHERE ratio > 0)), 9) AS spread_log10
-FROM u GROUP BY ALL"""))
+  round(log10(max(ratio) / min(ratio) FILTER (WHERE ratio > 0)), 9) AS spread_log10, round(1000 / sqrt(3072), 9) AS thousand_over_sqrt_k
+FROM u GROUP BY dataset
+UNION ALL SELECT 'overall', count(*), round(median(ratio), 9), round(min(ratio), 9), round(max(ratio), 9), count(*) FILTER (WHERE ratio = 0),
+  round(log10(max(ratio) / min(ratio) FILTER (WHERE ratio > 0)), 9), NULL FROM u HAVING count(*) > 0"""))
 def _(ws):
-    return rounded(metric.esr_v2_survey(_variant(ws), "dataset"))
+    pixels = ws.recordings().select(KEY, (F.col("width") * F.col("height")).alias("pixels"))
+    return rounded(metric.esr_v2_survey(attach(_variant(ws), pixels, [KEY]), "dataset"))
 
 
 @registry.add("m15_sensor_occupancy", Q.query([*Q.STREAMS, FIRST], """

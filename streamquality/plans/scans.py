@@ -301,7 +301,8 @@ def header_lines(ws) -> DataFrame:
     entry = F.concat(F.lit('#   <entry key="Chip.DVS.Filter'), F.col("event_id") % 6, F.lit('" value="'),
                      F.when(F.col("user_id") % 2 == 0, "true").otherwise("false"), F.lit('"/>'))
     other = F.concat(F.lit('#   <entry key="Chip.Other" value="'), F.col("event_id") % 2, F.lit('"/>'))
-    return e.select(file.alias("file"), F.explode(F.array(field, entry, other)).alias("line"))
+    lines = e.select(file.alias("file"), F.explode(F.array(field, entry, other)).alias("line"))
+    return headers.whole(lines.unionByName(lines.select("file", F.lit(headers.END).alias("line")).distinct()))
 
 
 @registry.add("s23_header_fields", """

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..staging import attach
+
+#: Fixed value: the line that ends a header.
+END = "#End Of ASCII Header"
 ENTRY = r'<entry key="([^"]+)" value="([^"]*)"\s*/>'
 
 
@@ -21,6 +25,15 @@ def unexpected_keys(keys: DataFrame, allowed: list[str]) -> DataFrame:
     return key_counts(keys.where(~F.col("key").isin(allowed)))
 
 
+def whole(lines: DataFrame, marker: str = END) -> DataFrame:
+    """The lines; a file without a line that begins with the end marker fails the job, as what was read
+    of its header may be a part."""
+    ended = lines.groupBy("file").agg(F.bool_or(F.col("line").startswith(marker)).alias("_ended"))
+    checked = attach(lines, ended, ["file"], name="headers")
+    refusal = F.raise_error(F.concat(F.lit("no end of header in "), "file"))
+    return checked.where(F.when(F.coalesce("_ended", F.lit(False)), F.lit(True)).otherwise(refusal.cast("boolean"))).drop("_ended")
+
+
 def fields(lines: DataFrame, names: list[str]) -> DataFrame:
     """``# name: value`` header fields per file, for the named fields."""
     m = [F.regexp_extract("line", r"^# ([A-Za-z]+):\s*(.*)$", i) for i in (1, 2)]

@@ -91,6 +91,10 @@ def test_settings_and_fields(spark):
     rows = spark.createDataFrame([("f", "# AEChip: Davis"), ("f", '#  <entry key="C.DVS.Filter" value="true"/>'), ("f", '# <entry key="D.X" value="1"/>')], "file string, line string")
     assert [tuple(r) for r in headers.fields(rows, ["AEChip"]).collect()] == [("f", "AEChip", "Davis")]
     assert [tuple(r) for r in headers.settings(rows, "C.DVS.").collect()] == [("f", "Filter", "true")]
+    with pytest.raises(Exception, match="no end of header in f"):
+        headers.whole(rows).collect()
+    ended = rows.union(spark.createDataFrame([("f", headers.END)], rows.schema))
+    assert headers.whole(ended).count() == rows.count() + 1
 
 
 def test_incremental_sink_resumes(spark, stream, tmp_path):
