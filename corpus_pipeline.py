@@ -24,7 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 80% of its five-word shingles: the smallest id."""
     ship_package(spark)
-    return jaccard.distinct(docs, width=5, percent=80)
+    # at this width many texts may meet many others: large cells, so that each is shipped to few of them
+    return jaccard.distinct(docs, width=5, percent=80, cell=1 << 23)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

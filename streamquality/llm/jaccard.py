@@ -274,7 +274,7 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, _LONG), pa.array(b, _LONG)], ["a", "b"])
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, cell: int = CELL) -> DataFrame:
     """``key, n_shingles, component_id, first, tie`` of every row: rows of one component are joined by
     links, pairs whose sets share at least ``percent`` of their union; its id is its smallest key.
     ``first`` marks the row that stands for its component (rows, if it is repeated); ``tie`` is
@@ -283,7 +283,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     Equal sets are one node, so copies cost nothing but their row, and rows that repeat a key with
     another text keep apart. A null or wordless text has an empty set, links with nothing and is
     its own component. A null key is a row like others; a component of null keys alone has a null
-    id. Sets are compared as 64-bit hashes of their n-grams."""
+    id. Sets are compared as 64-bit hashes of their n-grams. A task holds two blocks of ``cell`` elements, 8 bytes
+    each; larger ones ship fewer copies of the texts of a large family."""
     known = stage(sets(docs, key, text, width), "jaccard-sets")
     nodes = known.filter("n > 0").groupBy("sid").agg(
         F.first("n").alias("n"), F.min(F.struct("k", "tie")).alias("one"), *[F.first(f"b{c}").alias(f"b{c}") for c in range(4)])
@@ -301,9 +302,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     step = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-9
     own = F.floor(F.log("n") / F.lit(step))
     work = members.join(sizes, "family").select("family", "sid", "n", F.explode(
-        F.when(F.col("all") > CELL, F.array(own - 1, own)).otherwise(F.array(F.lit(0).cast("long")))).alias("band"))
+        F.when(F.col("all") > cell, F.array(own - 1, own)).otherwise(F.array(F.lit(0).cast("long")))).alias("band"))
     bands = work.groupBy("family", "band").agg(F.sum("n").alias("all"), F.count("*").alias("m")).filter("m > 1")
-    work = work.join(bands, ["family", "band"]).withColumn("blocks", F.ceil(F.col("all") / CELL))
+    work = work.join(bands, ["family", "band"]).withColumn("blocks", F.ceil(F.col("all") / cell))
     work = _in_blocks(work, "family", F.col("blocks"), "sid").select("family", "band", "i", "j", "sid")
     work = work.join(nodes.select("sid", "one.*"), "sid").select("family", "band", "i", "j", "sid", F.col("k").alias("k2"), F.col("tie").alias("tie2"))
     work = stage(work, "jaccard-work")
@@ -312,8 +313,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     texts = texts.filter(may(F.xxhash64("k", F.xxhash64("t"))))
     # both sides grow with the corpus, so neither is broadcast at any size
     cells = texts.join(work.hint("merge"), F.col("k").eqNullSafe(F.col("k2")) & (F.xxhash64("t") == F.col("tie2")))
-    cell = ["family", "band", "i", "j"]
-    cells = cells.select(*cell, "sid", "t").repartition(*cell).sortWithinPartitions(*cell)
+    place = ["family", "band", "i", "j"]
+    cells = cells.select(*place, "sid", "t").repartition(*place).sortWithinPartitions(*place)
     links = components(cells.mapInArrow(lambda batches: _links(batches, width, percent), "a long, b long"))
     rows = known.join(links.withColumnRenamed("node", "sid"), "sid", "left").select(
         "k", "tie", "n", F.coalesce("root", "sid").alias("root"))
@@ -325,10 +326,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         (~linked | own.eqNullSafe(F.col("one"))).alias("first"), "tie")
 
 
-def distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, cell: int = CELL) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component of :func:`join` the row of
     the smallest key, once. Rows without words stay."""
-    found = join(docs, key, text, width, percent).select(
+    found = join(docs, key, text, width, percent, cell).select(
         F.col(key).alias("_key"), F.col("tie").alias("_tie"), F.col("n_shingles").alias("_n"), "first")
     # rows of which some go: those that don't stand first, and repeated ones; the others stay where they are
     some = stage(found.filter("_n > 0").groupBy("_key", "_tie").agg(F.count("*").alias("_rows"), F.bool_or("first").alias("_first"))
