@@ -274,7 +274,7 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, _LONG), pa.array(b, _LONG)], ["a", "b"])
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, cell: int = CELL) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, cell: int | None = None) -> DataFrame:
     """``key, n_shingles, component_id, first, tie`` of every row: rows of one component are joined by
     links, pairs whose sets share at least ``percent`` of their union; its id is its smallest key.
     ``first`` marks the row that stands for its component (rows, if it is repeated); ``tie`` is
@@ -283,8 +283,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     Equal sets are one node, so copies cost nothing but their row, and rows that repeat a key with
     another text keep apart. A null or wordless text has an empty set, links with nothing and is
     its own component. A null key is a row like others; a component of null keys alone has a null
-    id. Sets are compared as 64-bit hashes of their n-grams. A task holds two blocks of ``cell`` elements, 8 bytes
+    id. Sets are compared as 64-bit hashes of their n-grams. A task holds two blocks of ``cell`` elements (2^21), 8 bytes
     each; larger ones ship fewer copies of the texts of a large family."""
+    cell = cell or CELL
     known = stage(sets(docs, key, text, width), "jaccard-sets")
     nodes = known.filter("n > 0").groupBy("sid").agg(
         F.first("n").alias("n"), F.min(F.struct("k", "tie")).alias("one"), *[F.first(f"b{c}").alias(f"b{c}") for c in range(4)])
@@ -326,7 +327,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         (~linked | own.eqNullSafe(F.col("one"))).alias("first"), "tie")
 
 
-def distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, cell: int = CELL) -> DataFrame:
+def distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, cell: int | None = None) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component of :func:`join` the row of
     the smallest key, once. Rows without words stay."""
     found = join(docs, key, text, width, percent, cell).select(
