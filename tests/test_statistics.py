@@ -106,6 +106,32 @@ def test_cluster_bootstrap_weights_scenes_by_size(spark):
     assert (row["lo"], row["hi"]) == (1.0, 2.0) and row["excludes_zero"]
 
 
+def test_bootstrap_draws_whole_clusters_slot_by_slot(spark, monkeypatch):
+    import hashlib
+    monkeypatch.setattr(resample, "PIECE", 64)
+    rows = [(g, f"c{i % k}", float(i * 7 % 13)) for g, k, n in (("a", 5, 40), ("b", 3, 20), (None, 5, 11), ("one", 1, 4)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "k string, s string, v double")
+    got = {r["k"]: r for r in resample.cluster_bootstrap(frame, ["k"], "v", "s", 200, seed=9, algorithm="md5").collect()}
+    for g in ("a", "b", None):
+        values = {}
+        for k, s, v in rows:
+            if k == g:
+                values.setdefault(s, []).append(v)
+        clusters = [values[s] for s in sorted(values)]
+        means = []
+        for d in range(200):
+            picks = [int(hashlib.md5(f"9|{d}|{slot}".encode()).hexdigest()[:8], 16) % len(clusters) for slot in range(len(clusters))]
+            drawn = [v for p in picks for v in clusters[p]]
+            means.append(sum(drawn) / len(drawn))
+        means.sort()
+        def at(q):
+            spot = q * 199
+            low = int(spot)
+            return means[low] + (means[min(low + 1, 199)] - means[low]) * (spot - low)
+        assert (got[g]["lo"], got[g]["hi"]) == pytest.approx((at(0.025), at(0.975)))
+    assert got["one"]["lo"] is None
+
+
 def test_one_cluster_has_no_interval(spark):
     rows = spark.createDataFrame([("k", "s", 1.0), ("k", "s", 3.0)], "k string, s string, v double")
     row = resample.cluster_bootstrap(rows, ["k"], "v", "s", 50).first()
