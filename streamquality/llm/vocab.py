@@ -72,7 +72,7 @@ def _encoder(vocabulary: Vocabulary) -> PieceEncoder:
             else:
                 spelt = "".join([letters[b] for b in piece.encode()])
             return [t.id for t in model.tokenize(spelt)]
-        return PieceEncoder(vocabulary.pattern, piece_ids)
+        return PieceEncoder(vocabulary.pattern, piece_ids, limit=600_000)
     return held((__name__, hash(vocabulary)), make)
 
 
@@ -99,5 +99,5 @@ def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str
         ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays).astype(np.int32)))
         return pa.RecordBatch.from_arrays([batch.column("k"), ids], ["k", "ids"])
     rows = arrow_map(df.select(F.col(key).alias("k"), F.col(text).alias("t")), run,
-                     f"k {df.schema[key].dataType.simpleString()}, ids array<int>", "t", lambda: None)  # the worker's next task goes on with what is remembered, some 40 MB
+                     f"k {df.schema[key].dataType.simpleString()}, ids array<int>", "t", lambda: None)  # the worker's next task goes on with what is remembered, 120 MB at most
     return rows.withColumnRenamed("k", key)
