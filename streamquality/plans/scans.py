@@ -58,10 +58,10 @@ SELECT recording_id, count(*) AS n, CAST(sum(t) AS BIGINT) AS t_sum, CAST(sum(p)
 GROUP BY ALL""")
 def _(ws):
     e = read(ws.spark, ws.sf_dir, "events").select(
-        F.col("event_type").alias(KEY), ((F.col("event_id") * 7919) % 104729).alias("src"),
+        F.col("event_type").alias(KEY), ((F.col("event_id") * 7919) % 104729).alias("src"), "event_id",
         ((micros("ts") % 1_000_000_000).cast("double") / 1_000_000).alias("sec"),
         ((F.col("event_id") % 10) / 10.0).alias("pol"))
-    return readers.normalise_seconds(e, "sec", "pol", "src").groupBy(KEY).agg(
+    return readers.normalise_seconds(e, "sec", "pol", "src", "event_id").groupBy(KEY).agg(
         F.count("*").alias("n"), F.sum("t_us").alias("t_sum"), F.sum("p").alias("p_sum"), F.min("t_us").alias("t_min"))
 
 

@@ -36,9 +36,12 @@ def read_whitespace(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return parse_whitespace(rows).drop("_block")
 
 
-def normalise_seconds(rows: DataFrame, seconds: str, polarity: str, source: str) -> DataFrame:
-    """Seconds since the first row **in file order** to whole microseconds, half-even; p >= 0.5."""
-    first = rows.groupBy(KEY).agg(F.min_by(seconds, source).alias("_s0"))
+def normalise_seconds(rows: DataFrame, seconds: str, polarity: str, *source: str) -> DataFrame:
+    """Seconds since the first row **in file order** to whole microseconds, half-even; p >= 0.5.
+
+    Rows of an equal place in ``source`` come in the order of the columns named after it.
+    """
+    first = rows.groupBy(KEY).agg(F.min_by(seconds, F.struct(*source)).alias("_s0"))
     return attach(rows, first, [KEY], name="first").withColumns({
         "t_us": F.rint((F.col(seconds) - F.col("_s0")) * 1e6).cast("bigint"),
         "p": (F.col(polarity) >= 0.5).cast("int")}).drop("_s0")

@@ -58,6 +58,14 @@ def test_seconds_rebase_on_file_order(spark):
     assert got[0] == (0, 1) and got[1] == (-1_000_000, 0) and got[2][0] in (2, 3)
 
 
+def test_seconds_rebase_on_one_row_of_equal_places(spark):
+    rows = [("a", 7, e, 1.0 + e, 0.9) for e in range(40)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "recording_id string, i int, e int, s double, q double").repartition(4, "e")
+        got = {r["e"]: r["t_us"] for r in readers.normalise_seconds(df, "s", "q", "i", "e").collect()}
+        assert got == {e: e * 1_000_000 for e in range(40)}
+
+
 def test_scene_stride_keeps_levels_together(spark):
     rows = spark.createDataFrame([("p", f"s{i}", l) for i in range(5) for l in range(4)], "part string, scene string, level int")
     got = readers.with_scene_stride(rows, "part", "scene", 2).groupBy("scene").count().collect()
