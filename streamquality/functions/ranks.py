@@ -20,7 +20,7 @@ def distinct_ranks(df: DataFrame, keys: list[str], value: str, out: str,
     extra = [c.alias(n) for n, c in (counts or {}).items()]
     values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count("*").alias("_c"), *extra)
-    placed = running_sums(values, keys, [value], ["_c"], "ranks")
+    placed = running_sums(values, keys, [value], ["_c"], "ranks", df)
     return placed.select(*keys, value, *(counts or {}), F.col("_c").alias(f"{out}_ties"),
                          (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias(out))
 

@@ -204,3 +204,16 @@ def test_support_filter_counts_earlier_neighbours_only(spark):
     rows = events(spark, [(0, 5, 5, 0), (4, 6, 5, 0), (4, 6, 6, 0), (15, 5, 5, 0), (15, 30, 30, 0)])
     got = {r["event_idx"]: r["support"] for r in scorers.neighbourhood_support(rows, 1, 12).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 2, 4: 0}
+
+
+def test_tasks_follow_the_rows(spark, stream, monkeypatch):
+    events, _ = stream
+    flagged = events.withColumn("m", events["score"] < 2)
+    before = {tuple(r) for r in order.with_mask_positions(flagged, ["m"], 16).select("recording_id", "event_idx", "m_pos").collect()}
+    monkeypatch.setattr(order, "PIECE", 100)
+    ranged = order.range_ordered(events, ["recording_id"], ["event_idx"], "many")
+    assert ranged.select("_part").distinct().count() > 40
+    dealt = order.spread(flagged, ["recording_id", "event_idx"])
+    assert dealt.rdd.getNumPartitions() == -(-flagged.count() // 100)
+    got = order.with_mask_positions(flagged, ["m"], 16).select("recording_id", "event_idx", "m_pos")
+    assert {tuple(r) for r in got.collect()} == before
