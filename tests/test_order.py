@@ -217,3 +217,16 @@ def test_tasks_follow_the_rows(spark, stream, monkeypatch):
     assert dealt.rdd.getNumPartitions() == -(-flagged.count() // 100)
     got = order.with_mask_positions(flagged, ["m"], 16).select("recording_id", "event_idx", "m_pos")
     assert {tuple(r) for r in got.collect()} == before
+
+
+def test_shares_meet_the_stream_without_a_shuffle_by_recording(spark):
+    from streamquality.plans import outputs
+    from streamquality.sources.tables import CORPORA, workspace
+    ws = workspace(spark, "/root/testdata/sf0.01")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        tagged, _ = outputs._mask_shares(CORPORA[1], ws, False)
+        plan = tagged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
