@@ -143,3 +143,21 @@ def test_scored_share_of_a_capped_budget(spark):
     sizes = spark.createDataFrame([(80_000,)], "n bigint")
     got = {r["r_pct"]: (r["scored"], r["kept"]) for r in scored_share(sizes, "n", [40, 100], 10_240, 30_000).collect()}
     assert got == {40: (30_000, 32_000), 100: (60_000, 80_000)}
+
+
+def test_sweep_of_sizes_without_a_common_chunk(spark, stream):
+    sizes = [7, 40, 100, 997]
+    assert metric.commensurable([100, 200, 300, 500, 1000]) == [([1000, 500, 300, 200, 100], 30_000)]
+    groups = metric.commensurable(sizes)
+    assert len(groups) == 2 and all(length % s == 0 for some, length in groups for s in some)
+    events, _ = stream
+    flagged = events.withColumn("all", events["x"] >= 0)
+    got = {(r["recording_id"], r["method"], r["slice_size"]): r["mesr"]
+           for r in metric.slice_size_sweep(flagged, ["keep", "all"], sizes, 64).collect()}
+    assert len(got) == 3 * 2 * len(sizes)
+    for size in sizes:
+        want = {(r["recording_id"], r["method"], size): r["mesr"]
+                for r in metric.mesr_of_masks(flagged, ["keep", "all"], size, 64).collect()}
+        for key in [k for k in got if k[2] == size]:
+            assert (got[key] is None) == (key not in want)
+            assert got[key] is None or abs(got[key] - want[key]) < 1e-12
