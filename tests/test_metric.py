@@ -161,3 +161,16 @@ def test_sweep_of_sizes_without_a_common_chunk(spark, stream):
         for key in [k for k in got if k[2] == size]:
             assert (got[key] is None) == (key not in want)
             assert got[key] is None or abs(got[key] - want[key]) < 1e-12
+
+
+def test_curve_is_dealt_out_by_rows(spark, stream, monkeypatch):
+    events, _ = stream
+    scores = {"raw": None, "s": F.col("score")}
+    numbered = lambda df: df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM")
+    whole = grid.slices(events, scores, 40, 16, [30, 100])
+    want = {tuple(r[:4]): r["ntss"] for r in whole.collect()}
+    monkeypatch.setattr(order, "PIECE", 500)
+    dealt = grid.slices(events, scores, 40, 16, [30, 100])
+    assert numbered(dealt) == numbered(events) + 2
+    got = {tuple(r[:4]): r["ntss"] for r in dealt.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
