@@ -7,8 +7,9 @@ shuffled, and the result is the same. Elements that one document alone holds onl
 of its prefix; a document whose prefix they fill is like no other and drops out.
 
 Sets with the same prefix and size become one group. Groups meet in the bucket of each prefix
-element; pairs pass by size and by a parity bitmap, which bounds the difference of the sets from
-below (bits in which a group's members differ don't count). A bucket gives a spanning forest of
+element; pairs pass by size and by two bounds of the difference of the sets from below: a parity
+bitmap (bits in which a group's members differ don't count), and the elements that stand before the
+bucket's own, as two sets that link pass in the bucket of their first common element. A bucket gives a spanning forest of
 its passing pairs, not the pairs. The components of these forests, expanded to their members, hold
 every link, and within them sets are rebuilt from the texts and compared exactly. Large components
 are taken apart by size (sets that link differ little in it); what is still large, buckets included,
@@ -121,16 +122,19 @@ def elements(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
 
 
 def prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """``sid, n, prefix``: the elements of each set's prefix that another set holds as well."""
+    """``sid, n, prefix, alone``: the elements of each set's prefix that another set holds as well, and how
+    many elements that no other set holds stand before them."""
     held = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     shared = rows.join(held, "h").select("sid", "n", "counted", F.struct(
         "later", F.when(F.col("later") == 0, F.col("df")).otherwise(0).alias("df"), "h").alias("e"))
     per = shared.groupBy("sid", "n", "counted").agg(F.sort_array(F.collect_set("e")).alias("es"))
     later = F.size(F.filter("es", lambda e: e["later"] == 1))
     places = F.least(_prefix_column(percent), F.col("counted"))
-    room = places - (F.col("counted") - (F.size("es") - later))
+    alone = F.col("counted") - (F.size("es") - later)
+    room = places - alone
     take = F.greatest(room, F.lit(0)) + later
-    return per.filter(take > 0).select("sid", "n", F.transform(F.slice("es", F.lit(1), take.cast("int")), lambda e: e["h"]).alias("prefix"))
+    return per.filter(take > 0).select(
+        "sid", "n", F.transform(F.slice("es", F.lit(1), take.cast("int")), lambda e: e["h"]).alias("prefix"), alone.alias("alone"))
 
 
 def _prefix_column(percent: int) -> Column:
@@ -164,7 +168,7 @@ def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Recor
 def _bucket_forests(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Edges ``a, b`` of a spanning forest of the passing pairs in each bucket."""
     for batch in _runs(batches, ["h", "i", "j"]):
-        h, i, j, gid, n = (batch.column(c).to_numpy() for c in ("h", "i", "j", "gid", "n"))
+        h, i, j, gid, n, place = (batch.column(c).to_numpy() for c in ("h", "i", "j", "gid", "n", "place"))
         bits = np.stack([batch.column(f"b{c}").to_numpy() for c in range(4)], 1).astype(np.uint64)
         mask = np.stack([batch.column(f"m{c}").to_numpy() for c in range(4)], 1).astype(np.uint64)
         new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
@@ -172,7 +176,8 @@ def _bucket_forests(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
         group = np.repeat(np.arange(len(new)), ends - new)
 
         def passing(x, y):
-            apart = np.bitwise_count((bits[x] ^ bits[y]) & ~mask[x] & ~mask[y]).sum(-1)
+            # of a pair's first common element, what stands before it in either set is not in the other
+            apart = np.maximum(np.bitwise_count((bits[x] ^ bits[y]) & ~mask[x] & ~mask[y]).sum(-1), place[x] + place[y])
             small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
             return (100 * small >= percent * large) & (apart <= most_apart(small + large, percent)) & (gid[x] != gid[y])
 
@@ -214,10 +219,10 @@ def _in_blocks(rows: DataFrame, by: str, blocks: Column, name: str) -> DataFrame
 def candidates(groups: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` between groups of which some members may link: each bucket's forest."""
     columns = [f"{x}{c}" for x in "bm" for c in range(4)]
-    rows = groups.select("gid", "n", *columns, F.explode("prefix").alias("h"))
+    rows = groups.select("gid", "n", "alone", *columns, F.posexplode("prefix").alias("place", "h")).withColumn("place", F.col("alone") + F.col("place"))
     held = groups.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
     rows = rows.join(held, "h").withColumn("blocks", F.ceil(F.col("size") / BUCKET))
-    rows = _in_blocks(rows, "h", F.col("blocks"), "gid").select("h", "i", "j", "gid", "n", *columns)
+    rows = _in_blocks(rows, "h", F.col("blocks"), "gid").select("h", "i", "j", "gid", "n", "place", *columns)
     dealt = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "gid")
     return dealt.mapInArrow(lambda batches: _bucket_forests(batches, percent), "a long, b long").distinct()
 
@@ -291,7 +296,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         F.first("n").alias("n"), F.min(F.struct("k", "tie")).alias("one"), *[F.first(f"b{c}").alias(f"b{c}") for c in range(4)])
     per = stage(prefixes(elements(docs, text, width, percent), percent).join(nodes.drop("n", "one"), "sid"), "jaccard-prefixes")
     groups = per.groupBy("n", "prefix").agg(
-        F.min("sid").alias("gid"), *[F.bit_or(f"b{c}").alias(f"b{c}") for c in range(4)],
+        F.min("sid").alias("gid"), F.min("alone").alias("alone"), *[F.bit_or(f"b{c}").alias(f"b{c}") for c in range(4)],
         *[F.bit_or(f"b{c}").bitwiseXOR(F.bit_and(f"b{c}")).alias(f"m{c}") for c in range(4)])
     groups = stage(groups, "jaccard-groups")
     members = stage(per.select("sid", "n", "prefix").join(groups.select("n", "prefix", "gid"), ["n", "prefix"]).select("sid", "n", "gid"), "jaccard-members")

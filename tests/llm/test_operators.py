@@ -226,6 +226,29 @@ def test_jaccard_in_blocks(docs, corpus, empty, monkeypatch):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_of_long_texts_that_share_a_passage(spark, monkeypatch):
+    rng = random.Random(5)
+    def words(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, texts = words(420), []
+    for i in range(30):
+        texts.append(passage + words(1200) if i % 3 else words(1600))
+    for i, at in ((0, 700), (1, 900), (2, 1500)):  # near copies, a little under and over the threshold
+        texts += [texts[i][:at] + words(k) + texts[i][at + k:] for k in (40, 100, 160, 175, 230)]
+    corpus = list(enumerate(map(" ".join, texts)))
+    made = []
+    real = jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", lambda *a: made.append(real(*a)) or made[-1])
+    got = jaccard.join(spark.createDataFrame(corpus, "doc_id long, text string"), width=5, percent=80).collect()
+    want = plain_components(corpus, 5, 80)
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in got], want)
+    assert len({c for *_, c in want}) < len(corpus)
+    family = lambda i: i if i < 30 else (i - 30) // 5
+    order = {jaccard.identity(jaccard.shingles(t, 5)): i for i, t in corpus}
+    edges = [(order[a], order[b]) for a, b in made[0].collect()]
+    assert edges and all(family(a) == family(b) for a, b in edges)  # a passage alone brings no two texts together
+
+
 def test_distinct(docs, corpus):
     kept = jaccard.distinct(docs, width=4, percent=85)
     assert kept.columns == docs.columns
