@@ -93,11 +93,9 @@ class PieceEncoder:
         for k in np.flatnonzero(odd):
             parts[k] = b""
         sizes = np.where(odd, 0, sizes // 4)
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        at = np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        flat = ids[np.repeat(at[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = pa.array(np.frombuffer(b"".join(parts), "<u4"))
+        ends = np.cumsum(sizes[codes])
+        flat = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(sizes)], ids).take(coded.indices).flatten().to_numpy()
         last = np.cumsum(counts)
         odds = np.r_[0, np.cumsum(odd[codes])][np.stack([last - counts, last])] if len(codes) else np.zeros((2, len(texts)), int)
         bounds = np.r_[0, ends][np.stack([last - counts, last])] if len(codes) else np.zeros((2, len(texts)), int)

@@ -67,8 +67,8 @@ def _encoder(vocabulary: Vocabulary) -> PieceEncoder:
         model = Tokenizer.from_str(vocabulary.json).model
         letters = byte_letters()
         def piece_ids(piece: str) -> list[int]:
-            if piece.isascii() and piece[0] == " " and piece[1:].isalpha():
-                spelt = letters[32] + piece[1:]
+            if piece.isascii() and piece.isprintable():  # only the space has a letter other than itself
+                spelt = piece.replace(" ", letters[32])
             else:
                 spelt = "".join([letters[b] for b in piece.encode()])
             return [t.id for t in model.tokenize(spelt)]
