@@ -5,18 +5,22 @@ the next returned row if their values are equal, so every returned row gets the
 the row before it. What a block of input rows does is a function of the returned row it begins
 with; such functions are evaluated for all blocks at once, at a guess of where each begins, and
 again where the block before it ended elsewhere. The scan is done when every block begins where
-the one before it ended, so the result is exact whatever the guesses were.
+the one before it ended, so the result is exact whatever the guesses were. A block starts a bit
+early, where a run of equal times starts or in the run before it, so that a near guess has met the
+true scan when the block itself begins.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import div
 from ..staging import attach, stage
-from .order import running_sums
+from .order import PIECE, running_sums, spread
 
 KEY = "recording_id"
 VALUE = ["t_us", "x", "y", "p"]
@@ -24,42 +28,47 @@ BLOCK = 65536
 
 
 def _heads(events: DataFrame, kept: DataFrame, block: int) -> DataFrame:
-    """``KEY, blk, t_us, begin``: the time at which each block begins, and a guess of the first returned row that each block of input rows may hold.
+    """``KEY, blk, t_us, begin, start``: the time at which each block begins, and a guess of the first returned row to be asked for from input row ``start`` on.
 
-    With both sides in time order, rows up to the time at which the block begins have been asked
-    for before or within it, so the first later one is where the block's scan soon is. Inside a
-    run of equal times longer than a block, the guess goes by the share of the run passed, and a
-    bit further: a scan that begins too far ahead meets the true one, one that lags may not.
+    With both sides in time order, a run of equal times begins with the first returned row of that
+    time, so a block starts where its first run does. If that is more than `_early` rows before the
+    block, it starts so many rows early, and the guess goes by the share of the run passed half of
+    them later: a scan that begins too far ahead meets the true one, one that lags may not.
     """
-    blk = div("event_idx", block)
-    ends = events.groupBy(KEY, blk.alias("blk")).agg(
-        F.min_by("t_us", "event_idx").alias("t_us"), F.max_by("t_us", "event_idx").alias("_last"))
-    ends = stage(ends, "scan-blocks")
-    asked = kept.groupBy(KEY, "t_us").agg(F.count("*").alias("n")).withColumn("blk", F.lit(-1).cast("bigint"))
+    early = _early(block)
+    ends = stage(events.where(F.col("event_idx") % block == 0).select(KEY, div("event_idx", block).alias("blk"), "t_us"), "scan-blocks")
+    runs = attach(events.select(KEY, "t_us", "event_idx"), ends.select(KEY, "t_us").distinct(), [KEY, "t_us"], name="scan-runs").groupBy(
+        KEY, "t_us").agg(F.min("event_idx").alias("_first"), F.count("*").alias("_length"))
+    asked = stage(kept.groupBy(KEY, "t_us").agg(F.count("*").alias("n")).withColumn("blk", F.lit(-1).cast("bigint")), "scan-asked")
     both = asked.unionByName(ends.select(KEY, "t_us", F.lit(0).cast("bigint").alias("n"), "blk"))
     upto = running_sums(both, [KEY], ["t_us", "blk"], ["n"], "scan-guess").where("blk >= 0")
     here = upto.select(KEY, "blk", F.col("n_before").alias("_upto")).join(ends, [KEY, "blk"]).join(
-        asked.drop("blk"), [KEY, "t_us"], "left")
-    run = W.partitionBy(KEY, "t_us")
-    share = (F.col("blk") - F.min("blk").over(run) + 1) / (F.count("*").over(run) + 1)
-    inside = F.col("_upto") - F.floor(F.coalesce("n", F.lit(0)) * (1 - share)) + block // 8
-    whole = F.col("_last") == F.col("t_us")
-    return here.select(KEY, "blk", "t_us", F.when(F.col("blk") == 0, 0).when(
-        whole, F.least("_upto", inside)).otherwise(F.col("_upto")).cast("bigint").alias("begin"))
+        runs, [KEY, "t_us"], "left").join(asked.drop("blk"), [KEY, "t_us"], "left")
+    n = F.coalesce("n", F.lit(0))
+    first = F.coalesce("_first", F.col("blk") * block)
+    here = here.withColumn("start", F.greatest(first, F.col("blk") * block - early))
+    passed = F.least(F.lit(1.0), (F.col("start") + early // 2 - first) / F.coalesce("_length", F.lit(1)))
+    guess = F.col("_upto") - n + F.when(F.col("start") == first, 0).otherwise(F.floor(n * passed))
+    return here.select(KEY, "blk", "t_us", F.when(F.col("blk") == 0, 0).otherwise(guess).cast("bigint").alias("begin"), "start")
+
 
+def _early(block: int) -> int:
+    """How many rows before itself a block may start."""
+    return block // 4
 
-def _scan(carry: list[str]):
+
+def _scan(block: int, carry: list[str]):
     """One block: its input rows and the returned rows from ``begin`` on."""
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _matched(pdf, carry)
+        return _matched(pdf, block, carry)
     return scan
 
 
-def _matched(pdf: pd.DataFrame, carry: list[str]) -> pd.DataFrame:
+def _matched(pdf: pd.DataFrame, block: int, carry: list[str]) -> pd.DataFrame:
     pdf = pdf.sort_values("idx", kind="stable")
     codes = pdf.groupby(VALUE, sort=False, dropna=False).ngroup().to_numpy()
     is_source = pdf["blk_source"].to_numpy()
-    index = pdf["idx"].to_numpy()
+    index = pdf["idx"].to_numpy()[is_source]
     copies: dict[int, list[int]] = {}
     for place, code in enumerate(codes[is_source].tolist()):
         copies.setdefault(code, []).append(place)
@@ -75,44 +84,54 @@ def _matched(pdf: pd.DataFrame, carry: list[str]) -> pd.DataFrame:
         last = places.pop()
         found.append(last)
     at = np.array(found, dtype=np.int64)
-    begin = int(pdf["begin"].iloc[0])
+    blk, asked = int(pdf["blk"].iloc[0]), int(pdf["begin"].iloc[0])
+    # what matches before the block only tells where it begins
+    at = at[index[at] >= blk * block]
     source = pdf[is_source]
-    return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "blk": [pdf["blk"].iloc[0]], "begin": [begin], "after": [begin + len(found)],
-                         "event_idx": [index[is_source][at].tolist()], **{c: [source[c].to_numpy()[at].tolist()] for c in carry}})
+    return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "blk": [blk], "begin": [asked + len(found) - len(at)], "after": [asked + len(found)],
+                         "event_idx": [index[at].tolist()], **{c: [source[c].to_numpy()[at].tolist()] for c in carry}})
 
 
-def _solve(events: DataFrame, kept: DataFrame, heads: DataFrame, block: int, carry: list[str]) -> DataFrame:
-    """Evaluate ``heads`` blocks from where they begin. A block of n rows matches n returned ones at most."""
-    source = attach(events.withColumn("blk", div("event_idx", block)), heads, [KEY, "blk"], name="scan-heads").select(
+def _solve(events: DataFrame, kept: DataFrame, heads: DataFrame, block: int, carry: list[str], early: int = 0) -> DataFrame:
+    """Evaluate ``heads`` blocks from ``start``, ``early`` rows before them at most, and ``begin``. n rows match n returned ones at most."""
+    blk = div("event_idx", block)
+    if early:
+        blk = F.explode(F.when(F.col("event_idx") % block >= block - early, F.array(blk, blk + 1)).otherwise(F.array(blk)))
+    source = attach(events.withColumn("blk", blk), heads, [KEY, "blk"], name="scan-heads").where("event_idx >= start").select(
         KEY, "blk", "begin", F.lit(True).alias("blk_source"), F.col("event_idx").alias("idx"), *VALUE, *carry)
-    asks = heads.withColumn("_b", F.explode(F.array(div("begin", block), div("begin", block) + 1)))
+    asks = heads.withColumn("_b", F.explode(F.array(*[div("begin", block) + i for i in range(3 if early else 2)])))
     target = attach(kept.withColumn("_b", div("kept_idx", block)), asks, [KEY, "_b"], name="scan-asks").where(
-        (F.col("kept_idx") >= F.col("begin")) & (F.col("kept_idx") < F.col("begin") + block))
+        (F.col("kept_idx") >= F.col("begin")) & (F.col("kept_idx") - F.col("begin") < (F.col("blk") + 1) * block - F.col("start")))
     target = target.select(KEY, "blk", "begin", F.lit(False).alias("blk_source"), F.col("kept_idx").alias("idx"), *VALUE,
                            *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in carry])
     kinds = "".join(f", {c} array<{events.schema[c].dataType.simpleString()}>" for c in carry)
-    return source.unionByName(target).groupBy(KEY, "blk").applyInPandas(
-        _scan(carry), f"{KEY} {events.schema[KEY].dataType.simpleString()}, blk bigint, begin bigint, after bigint, event_idx array<bigint>{kinds}")
+    # a block's group holds its input rows and as many returned ones
+    return spread(source.unionByName(target), [KEY, "blk"], heads, max(1, PIECE // (2 * block))).groupBy(KEY, "blk").applyInPandas(
+        _scan(block, carry), f"{KEY} {events.schema[KEY].dataType.simpleString()}, blk bigint, begin bigint, after bigint, event_idx array<bigint>{kinds}")
 
 
 def attribute_kept(events: DataFrame, kept: DataFrame, block: int = BLOCK, carry: list[str] | None = None) -> DataFrame:
     """Input index of every returned row: the first copy behind the one of the row before it.
 
-    ``events`` are in time order. ``kept`` holds (recording, kept_idx from 0, t, x, y, p) in output order. From the first row that the scan
-    can't find, rows have a NULL ``event_idx``: they are no ordered part of the input. Columns
+    ``events`` are in time order. ``kept`` holds (recording, kept_idx from 0, t, x, y, p) in output order; both are read several times. From the
+    first row that the scan can't find, rows have a NULL ``event_idx``: they are no ordered part of the input. Columns
     ``carry`` of the matched input rows come along. Each round evaluates the blocks that began at a
-    wrong row; time-ordered streams take two or three rounds, one of them for a few blocks.
+    wrong row; time-ordered streams take one, and more only where a filter's rate drifts within a run of equal times longer than a block.
     """
     carry = carry or []
     events = events.select(KEY, "event_idx", *VALUE, *carry)
     rows = kept.select(KEY, "kept_idx", *VALUE)
     heads = stage(_heads(events, rows, block), "scan-begin")
-    solved = stage(_solve(events, rows, heads.drop("t_us"), block, carry), "scan")
+    rounds = [stage(_solve(events, rows, heads.drop("t_us"), block, carry, _early(block)), "scan")]
+    ends_of = lambda i: rounds[i].select(KEY, "blk", "begin", "after", F.lit(i).alias("_round"))
+    # a recording's blocks: one short row each
+    solved = stage(ends_of(0), "scan-ends")
     order = W.partitionBy(KEY).orderBy("blk")
     while True:
-        # a recording's blocks: one short row each
-        ends = solved.select(KEY, "blk", "begin", F.coalesce(F.lag("after").over(order), F.lit(0)).alias("_due"))
-        wrong = stage(ends.where("begin <> _due").select(KEY, "blk", F.col("_due").alias("begin")), "scan-wrong")
+        ends = solved.withColumn("_due", F.coalesce(F.lag("after").over(order), F.lit(0)))
+        # a block that lags ends too early to tell where the next one begins
+        ends = ends.withColumn("_wait", F.coalesce(F.lag(F.col("begin") < F.col("_due")).over(order), F.lit(False)))
+        wrong = stage(ends.where("begin <> _due").select(KEY, "blk", F.col("_due").alias("begin"), "_wait"), "scan-wrong")
         if wrong.isEmpty():
             break
         # all before the first wrong block is right; if its row is of an earlier time, nothing behind matches any more
@@ -120,14 +139,17 @@ def attribute_kept(events: DataFrame, kept: DataFrame, block: int = BLOCK, carry
         asked = attach(rows.select(KEY, F.col("kept_idx").alias("begin"), F.col("t_us").alias("_t")), first, [KEY, "begin"], name="scan-first")
         over = stage(asked.join(heads.select(KEY, "blk", "t_us"), [KEY, "blk"]).where("_t < t_us").select(KEY, F.col("blk").alias("_over")), "scan-over")
         live = lambda df: df.join(over, KEY, "left").where("_over is null or blk < _over").drop("_over")
-        wrong = live(wrong)
-        again = _solve(events, rows, wrong, block, carry)
-        solved = stage(live(solved).join(wrong.select(KEY, "blk"), [KEY, "blk"], "left_anti").unionByName(again), "scan")
+        again = live(wrong).where("not _wait").select(KEY, "blk", "begin", (F.col("blk") * block).alias("start"))
+        rounds.append(stage(_solve(events, rows, again, block, carry), "scan"))
+        new = ends_of(len(rounds) - 1)
+        solved = stage(live(solved).join(new.select(KEY, "blk"), [KEY, "blk"], "left_anti").unionByName(new), "scan-ends")
     pairs = F.arrays_zip("event_idx", *carry)
-    found = solved.select(KEY, "begin", F.posexplode(pairs).alias("_i", "_m")).select(
+    tables = [t.drop("begin", "after").withColumn("_round", F.lit(i)) for i, t in enumerate(rounds)]
+    last = attach(reduce(DataFrame.unionByName, tables), solved.drop("after"), [KEY, "blk", "_round"], name="scan-last")
+    found = last.select(KEY, "begin", F.posexplode(pairs).alias("_i", "_m")).select(
         KEY, (F.col("begin") + F.col("_i")).alias("kept_idx"), F.col("_m.event_idx").alias("event_idx"), *[F.col(f"_m.{c}").alias(c) for c in carry])
     reach = solved.groupBy(KEY).agg(F.max("after").alias("_reach"))
-    lost = rows.join(reach, KEY, "left").where(F.coalesce("_reach", F.lit(0)) <= F.col("kept_idx")).select(
+    lost = attach(rows, reach, [KEY], "left", name="scan-reach").where(F.coalesce("_reach", F.lit(0)) <= F.col("kept_idx")).select(
         KEY, "kept_idx", F.lit(None).cast("bigint").alias("event_idx"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in carry])
     return found.unionByName(lost)
 

@@ -162,6 +162,19 @@ def test_forward_scan_on_random_streams(spark, block):
     assert scanned(spark, cases, block) == [forward_scan(*c) for c in cases]
 
 
+@pytest.mark.parametrize("shares", [(0.5, 0.5), (0.3, 0.6)])
+def test_forward_scan_takes_no_round_per_block_of_a_long_run(spark, monkeypatch, shares):
+    import random
+    from streamquality.operators import attribution
+    r, staged, n = random.Random(5), [], 40_000
+    monkeypatch.setattr(attribution, "stage", lambda df, name, plain=attribution.stage: staged.append(name) or plain(df, name))
+    rows = [(0, r.randrange(4), r.randrange(3), r.randrange(2)) for _ in range(n)]
+    kept = [v for i, v in enumerate(rows) if r.random() < shares[2 * i // n]]
+    assert scanned(spark, [(rows, kept)], 2000) == [forward_scan(rows, kept)]
+    if shares[0] == shares[1]:  # a steady filter
+        assert staged.count("scan") <= 2
+
+
 def test_carried_columns_are_those_of_the_matched_row(spark):
     frame = events(spark, [A, A, C]).withColumn("label", F.col("event_idx") * 10)
     got = scorers.attribute_kept(frame, values_of(spark, [A, C, C]), carry=["label"]).orderBy("kept_idx").collect()
