@@ -116,7 +116,8 @@ def attribute_kept(events: DataFrame, kept: DataFrame, block: int = BLOCK, carry
     ``events`` are in time order. ``kept`` holds (recording, kept_idx from 0, t, x, y, p) in output order; both are read several times. From the
     first row that the scan can't find, rows have a NULL ``event_idx``: they are no ordered part of the input. Columns
     ``carry`` of the matched input rows come along. Each round evaluates the blocks that began at a
-    wrong row; time-ordered streams take one, and more only where a filter's rate drifts within a run of equal times longer than a block.
+    wrong row; time-ordered streams take one, or two if runs of equal times are longer than a block,
+    and more only where a filter's rate drifts within such a run.
     """
     carry = carry or []
     events = events.select(KEY, "event_idx", *VALUE, *carry)
