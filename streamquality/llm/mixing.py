@@ -23,6 +23,7 @@ from ..staging import stage
 from .common import arrow_map
 
 SPREAD = 256
+PIECE = 1 << 17  # slots that a task writes out
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -104,7 +105,8 @@ def plan_sources(items: DataFrame, share: float, most: float, weights: list[floa
 
 def draw_slots(spark: SparkSession, plan: list[dict], seed: int, shard_slots: int) -> DataFrame:
     """``shard, no, turn, block, copy``: every slot of every output shard. ``copy`` is the pass
-    over the source, from 0."""
+    over the source, from 0. A shard's draws of a source are one short row until they are dealt out to
+    tasks of ``PIECE`` slots each."""
     drawn = [s for s in plan if s["draws"]]
     schema = "shard long, no int, turn long, block long, copy int"
     total = sum(s["draws"] for s in drawn)
@@ -144,7 +146,8 @@ def draw_slots(spark: SparkSession, plan: list[dict], seed: int, shard_slots: in
                     [pa.array(np.full(len(draw), r["shard"])), pa.array(np.full(len(draw), r["no"], np.int32)),
                      pa.array(np.arange(len(draw))), pa.array(block), pa.array(copy.astype(np.int32))],
                     ["shard", "no", "turn", "block", "copy"])
-    return rows.select("shard", "no", "first", "n", "blocks", "salt").mapInArrow(slots, schema)
+    rows = rows.select("shard", "no", "first", "n", "blocks", "salt").repartition(-(-total // PIECE), "shard", "no")
+    return rows.mapInArrow(slots, schema)
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5,
@@ -171,7 +174,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     pieces = pieces.select(
         "no", "block", "offset", F.greatest(F.lit(0), F.col("block") * block - F.col("offset")).alias("from_word"),
         F.least(F.col("size"), (F.col("block") + 1) * block - F.col("offset")).alias("to_word"))
-    slots = draw_slots(spark, plan, seed, shard_slots).join(pieces, ["no", "block"])
+    # Spark sizes slots by the short rows they are made of, and blocks by the documents: it would broadcast either
+    slots = draw_slots(spark, plan, seed, shard_slots).hint("merge").join(pieces.hint("merge"), ["no", "block"])
     return items.withColumnRenamed("key", key), slots.select("shard", "turn", "no", "copy", "offset", "from_word", "to_word")
 
 

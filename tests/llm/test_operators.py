@@ -390,6 +390,21 @@ def test_mix(docs, corpus, empty):
     assert [d.count() for d in mixing.mix(empty)] == [0, 0]
 
 
+def test_slots_are_neither_broadcast_nor_made_in_one_task(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 40)
+    slots = mixing.mix(docs, block=8, shard_slots=50)[1]
+    n = slots.count()
+    rows = slots.select("*")
+    assert len(rows.collect()) == n
+    joins = re.findall(r"\w+Join \[[^\]]*block[^\]]*\]", rows._jdf.queryExecution().executedPlan().toString())
+    assert joins and all(j.startswith("SortMergeJoin") for j in joins)
+    plan = [{"no": i, "source": f"s{i}", "source_size": 800, "target": 0.0, "blocks": 100, "draws": 150} for i in range(2)]
+    drawn = mixing.draw_slots(spark, plan, 7, 50)
+    assert drawn.rdd.getNumPartitions() == 8  # 300 slots
+    assert sorted(map(tuple, drawn.filter("no = 1 AND copy = 0").select("block").collect())) == [(i,) for i in range(100)]
+    assert drawn.select("no", "copy", "block").distinct().count() == drawn.count() == 300
+
+
 def test_mixed_texts(docs, corpus):
     rows = mixing.mixed_texts(docs, block=8).collect()
     items, slots = mixing.mix(docs, block=8)
