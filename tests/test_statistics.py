@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from streamquality.functions import ranks, tails
+from streamquality.functions import md5, ranks, tails
 from streamquality.operators import analysis, contrasts, downstream, nulls, regime, resample
 from streamquality.operators.order import range_ordered
 
@@ -132,6 +133,32 @@ def test_bootstrap_draws_whole_clusters_slot_by_slot(spark, monkeypatch):
     assert got["one"]["lo"] is None
 
 
+def test_md5_of_many_texts_is_hashlibs():
+    import hashlib
+    for seed, draws, k in ((7, [0, 9, 10, 99, 10_000], 1203), (-3, [5], 40_001), (10**30, range(95, 105), 12), (10**60, [1], 3)):
+        want = [[int(hashlib.md5(f"{seed}|{d}|{slot}".encode()).hexdigest()[:8], 16) for slot in range(k)] for d in draws]
+        assert md5.numbers(seed, np.array(draws), k).tolist() == want
+
+
+def test_pieces_of_the_draws_go_round_the_tasks(spark, monkeypatch):
+    import hashlib
+    import re
+    monkeypatch.setattr(resample, "PIECE", 30)
+    monkeypatch.setattr(resample, "PICKS", 200)
+    monkeypatch.setattr(resample, "SHARED", 2)
+    sums = {(g, c): float((i * 7 + c * c) % 23) for i, g in enumerate("abcdefg") for c in range(3 if g == "g" else 6)}
+    frame = spark.createDataFrame([(g, c, v) for (g, c), v in sums.items()], "k string, s int, v double")
+    rows = resample.cluster_bootstrap(frame, ["k"], "v", "s", 101, seed=9, alpha=0.1, algorithm="md5")
+    got = {r["k"]: r for r in rows.collect()}
+    dealt = re.findall(r"direct_shuffle_partition_id\(.*, (\d+)\), REPARTITION_BY_NUM", rows._jdf.queryExecution().executedPlan().toString())
+    # 101 draws: 3 shares of 6 groups of 6 clusters in 3 pieces, a group of 3 clusters in 1; 101 * (3 * 6 + 6 + 1 * 3 + 1) / 200 tasks at most
+    assert set(dealt) == {"10"}
+    for g, k in [*((g, 6) for g in "abcdef"), ("g", 3)]:
+        draws = [[int(hashlib.md5(f"9|{d}|{slot}".encode()).hexdigest()[:8], 16) % k for slot in range(k)] for d in range(101)]
+        means = sorted(sum(sums[g, c] for c in picks) / k for picks in draws)
+        assert (got[g]["lo"], got[g]["hi"]) == pytest.approx((means[5], means[95])), g
+
+
 def test_one_cluster_has_no_interval(spark):
     rows = spark.createDataFrame([("k", "s", 1.0), ("k", "s", 3.0)], "k string, s string, v double")
     row = resample.cluster_bootstrap(rows, ["k"], "v", "s", 50).first()
