@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,15 @@ def test_stages(spark):
     assert ids.join(digests, "doc_id").filter("d = decoded_sha256").count() == docs.count()
 
 
+def test_the_mix_broadcasts_no_slots(spark):
+    """Their number grows with the words, and all would pass through the driver."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    mixed = corpus_pipeline.source_mix(spark, docs, DATA)
+    assert mixed.collect()
+    joins = re.findall(r"\w+Join \[[^\]]*block[^\]]*\]", mixed._jdf.queryExecution().executedPlan().toString())
+    assert joins and all(j.startswith("SortMergeJoin") for j in joins)
+
+
 def test_stages_of_no_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, apply in corpus_pipeline.STAGES:
